@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import materialize
+from almanac.llm.words import word_hashes
 
 CHUNK_TOKENS = 60_000
 #: Bytes of text for each range of keys.
@@ -36,25 +37,10 @@ EM_ROUNDS = 40
 
 _END = xxhash.xxh3_64_intdigest(b" end ")
 _START = xxhash.xxh3_64_intdigest(b" start ")
-_KEEP_WORDS = 400_000
-_hashes: dict[bytes, int] = {}
-
 _SHAPE = "dest int, chunk string, part int, u binary, b binary, un binary, bn binary, ids array<string>, sizes binary, held boolean, distinct long"
 _NAMES = [x.split()[0] for x in _SHAPE.split(", ")]
 
 
-def _word_hashes(words: list[bytes]) -> list[int]:
-    get = _hashes.get
-    out = list(map(get, words))
-    if None in out:
-        if len(_hashes) > _KEEP_WORDS:
-            _hashes.clear()
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = _hashes[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    return out
-
-
 def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = context * np.uint64(0x9E3779B97F4A7C15) + word
@@ -128,7 +114,7 @@ def _sender(ranges: int):
 
         for batch in batches:
             for key, text, held in zip(*(c.to_pylist() for c in batch.columns)):
-                words = _word_hashes((text or "").encode().lower().split())
+                words = word_hashes((text or "").encode().lower().split())
                 words.append(_END)
                 if size[held] and size[held] + len(words) > CHUNK_TOKENS:
                     yield flush(held)
