@@ -1,11 +1,60 @@
-"""Corpus pipeline: placeholder until its stages exist."""
+"""Corpus pipeline: quality classifier, quality rules, near duplicates, packing.
 
-STAGES: list = []
+Each stage reads what its predecessor kept, as Parquet. All but the last return the columns of ``documents``; the
+last returns the packed pieces of the documents that are left.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from almanac.llm import ngram_join, packing, quality_classifier, quality_rules
+from almanac.llm.common import shared_dir, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), quality_classifier.THRESHOLD)
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither base nor calibrated rules reject."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    return ngram_join.keep_first(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the documents' pieces in packed sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier_stage),
+    ("quality_rules", quality_rules_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("packing", packing_stage),
+]
+
+#: Votes, calibrated cutoffs, shingle sets and tokenizers are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/almanac-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
