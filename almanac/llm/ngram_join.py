@@ -8,10 +8,13 @@ pair must share min(l, l') prefix shingles before it is verified.
 1. One pass hashes each text's shingles: set size, set identity and a frequency sketch of fixed size.
 2. A second pass sends prefix entries, packed, to ranges of the hash space; a range keeps shingles found in two or more
    different sets. Shingles that a task holds in more than HOT sets bypass the ranges, so no range fills up.
-3. Every kept shingle links its sets to one hub; hub pairs are verified and joined into components. A family of
-   thousands of near copies collapses here in as many checks as it has members.
-4. Shingles whose sets already share one component are done. For the others all pairs across components are counted,
-   filtered by length and number of matches, and verified. No link between different texts is lost.
+3. In each of ROUNDS rounds every kept shingle links its sets to one hub, of its largest component so far; hub pairs are verified and joined into
+   components. Families of thousands of near copies collapse here in about as many checks as they have members.
+4. Shingles whose sets already share one component are done. For the others, the components that meet are paired, and
+   all pairs of their members are filtered by length and by bitmap and verified. No link between texts is lost.
+
+The bitmap of a set has a bit for each shingle, modulo its width; two sets differ in at least as many shingles as their
+bitmaps do in bits, so a pair whose bitmaps differ too much cannot reach the threshold.
 
 Sets are named by 64-bit hashes, as are shingles. Texts of documents to verify are fetched by a join that broadcasts
 their ids up to BROADCAST_IDS of them and shuffles beyond.
@@ -28,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.common import materialize
@@ -38,6 +41,9 @@ from almanac.llm.words import word_hashes
 WIDTH = 5
 PERCENT = 75
 MAX_MATCHES = 4
+ROUNDS = 4
+#: Hubs that a set is compared with in one round; the last step covers what this leaves.
+HUBS = 3
 #: Counters of the frequency sketch: its size does not depend on the input.
 SKETCH = 1 << 18
 _SKETCH_PARTS = 64
@@ -75,6 +81,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """Bits of the shingles modulo a power of two, at least twice their number."""
+    width = max(64, 1 << (2 * len(found) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(found & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int = PERCENT) -> bool:
+    """False only for pairs below the threshold."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+
+
 # Pass 1
 
 
@@ -89,17 +114,18 @@ def _profile(batches):
                 sketch += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             ids = pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64())
             nothing = pa.nulls(part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), ids, nothing.cast(pa.int32()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=["doc_id", "n", "s", "part", "salt", "counts"])
+            bits = pa.array([bitmap(x) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), ids, bits, nothing.cast(pa.int32()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=["doc_id", "n", "s", "bits", "part", "salt", "counts"])
     if sketch.any():
         cut = np.split(sketch, _SKETCH_PARTS)
         k = len(cut)
         salt = TaskContext.get().partitionId() % 1024
         nothing = pa.nulls(k)
-        yield pa.RecordBatch.from_arrays([nothing.cast(_profile.kind), nothing.cast(pa.int64()), nothing.cast(pa.int64()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in cut], pa.binary())], names=["doc_id", "n", "s", "part", "salt", "counts"])
+        yield pa.RecordBatch.from_arrays([nothing.cast(_profile.kind), nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.binary()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in cut], pa.binary())], names=["doc_id", "n", "s", "bits", "part", "salt", "counts"])
 
 
 def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, s) of every document, and the sketch."""
+    """(doc_id, n, s, bits) of every document, and the sketch."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -108,7 +134,7 @@ def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         _profile.kind = types.to_arrow_type(kind)
         yield from _profile(batches)
 
-    found = materialize(docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, s long, part int, salt int, counts binary"), "profiles")
+    found = materialize(docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, s long, bits binary, part int, salt int, counts binary"), "profiles")
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, "<i8") for x in rows["counts"]], axis=0)
@@ -120,7 +146,7 @@ def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((_SKETCH_PARTS, SKETCH // _SKETCH_PARTS), np.int64)
     for row in counts.select("part", "counts").collect():
         sketch[row["part"]] = np.frombuffer(row["counts"], "<i8")
-    return found.filter("part is null").select("doc_id", "n", "s"), sketch.ravel()
+    return found.filter("part is null").select("doc_id", "n", "s", "bits"), sketch.ravel()
 
 
 # Pass 2
@@ -239,8 +265,22 @@ def _entries(docs: DataFrame, sketch: np.ndarray, ranges: int) -> DataFrame:
 # Verification
 
 
+def _possible(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose lengths and bitmaps leave the threshold within reach."""
+    side = lambda k: nodes.select(F.col("s").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    loaded = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").filter(_FITS)
+
+    def check(batches):
+        for batch in batches:
+            good = list(map(may_be_similar, *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return loaded.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(check, "a long, b long")
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (a, b) of sets whose similarity reaches the threshold."""
+    pairs = materialize(_possible(nodes, pairs), "possible")
     ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     wanted = materialize(nodes.join(ends, "s", "left_semi").select("doc").distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -252,8 +292,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 sets = [x for x in map(shingles, batch.column(0).slice(lo, 256).to_pylist()) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "members"])
 
-    sets = materialize(texts.mapInArrow(make, "s long, members binary"), "sets").groupBy("s").agg(F.first("members").alias("members"))
-    sets = materialize(sets, "sets")
+    sets = materialize(texts.mapInArrow(make, "s long, members binary").dropDuplicates(["s"]), "sets")
     loaded = pairs.join(sets.select(F.col("s").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("s").alias("a"), F.col("members").alias("left")), "a")
 
     def check(batches):
@@ -268,40 +307,55 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 _FITS = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
 
 
+def _contended(rows: DataFrame) -> DataFrame:
+    """The rows whose token is held by two components or more."""
+    tokens = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+    return rows.join(tokens, "token", "left_semi")
+
+
 def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
-    return rows.join(components.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    named = components.join(sizes, "component").withColumnRenamed("node", "s")
+    found = rows.drop("component", "members").join(named, "s", "left")
+    return found.withColumn("component", F.coalesce("component", "s")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     profiles, sketch = _profiles(docs)
-    nodes = materialize(profiles.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc")), "nodes")
+    nodes = profiles.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = materialize(nodes, "nodes")
     # about a quarter of all shingles are prefix entries
     cold, hot = _entries(docs, sketch, max(16, int(sketch.sum()) // (4 * RANGE_ENTRIES) + 1))
-    entries = materialize(cold.unionByName(hot).dropDuplicates(["token", "s"]), "entries")
-
-    hubs = entries.groupBy("token").agg(F.min(F.struct("s", "n")).alias("hub"))
-    stars = entries.join(hubs, "token").select(F.col("hub.s").alias("a"), F.col("s").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-    stars = materialize(stars.filter("a <> b").filter(_FITS).select("a", "b").distinct(), "stars")
-    links = _verified(docs, nodes, stars)
-    components = materialize(connected_components(links), "components")
-
-    labelled = materialize(_labelled(entries, components), "labelled")
-    contended = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    rest = labelled.join(contended, "token", "left_semi")
-    shares = rest.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = shares.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    rest = materialize(rest.join(largest, "token"), "contended")
-    left = rest.filter("component <> largest").select("token", F.col("s").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"))
-    right = rest.select("token", F.col("s").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), "largest")
-    pairs = left.join(right, "token").filter("c_b = largest OR c_a < c_b").filter("c_a <> c_b").filter(_FITS)
-    pairs = pairs.select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("l_a", "l_b").alias("need"))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
-    more = _verified(docs, nodes, materialize(pairs, "pairs"))
-    components = connected_components(links.unionByName(more))
-
-    names = nodes.join(components.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    rest = materialize(_contended(cold.unionByName(hot).withColumn("component", F.col("s"))), "entries")
+
+    links = components = None
+    for turn in range(ROUNDS):
+        order = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: B023, E731
+        hubs = rest.groupBy("token").agg(F.max(F.struct("members", order("component").alias("x"), order("s").alias("y"), "s", "component", "n")).alias("hub"))
+        stars = rest.join(hubs, "token").filter("component <> hub.component").select(F.col("hub.s").alias("a"), F.col("s").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
+        stars = stars.filter(_FITS).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+        best = Window.partitionBy("b").orderBy(F.desc("k"), "a")
+        found = _verified(docs, nodes, stars.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS))
+        if not found.limit(1).count():
+            break
+        links = found if links is None else links.unionByName(found)
+        components = materialize(connected_components(links), "components")
+        rest = materialize(_contended(_labelled(rest, components)), "contended")
+
+    # what is left: components that meet in a shingle; all pairs of their members
+    held = rest.groupBy("token", "component").agg(F.max("l").alias("l"))
+    met = held.select("token", F.col("component").alias("c_a")).join(held.select("token", F.col("component").alias("c_b")), "token").filter("c_a < c_b")
+    met = met.select("c_a", "c_b").distinct()
+    members = rest.select("s", "component", "n").distinct()
+    left = members.select(F.col("s").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    right = members.select(F.col("s").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
+    more = _verified(docs, nodes, met.join(left, "c_a").join(right, "c_b").filter(_FITS))
+    links = more if links is None else links.unionByName(more)
+    components = connected_components(links)
+
+    names = nodes.select("s", "doc").join(components.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     names = materialize(names, "names")
     smallest = names.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = names.join(smallest, "component").select("s", "component_id")
