@@ -328,7 +328,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     # about a quarter of all shingles are prefix entries
     cold, hot = _entries(docs, sketch, max(16, int(sketch.sum()) // (4 * RANGE_ENTRIES) + 1))
-    rest = materialize(_contended(cold.unionByName(hot).withColumn("component", F.col("s"))), "entries")
+    rest = materialize(_contended(cold.unionByName(hot).withColumn("component", F.col("s")).withColumn("members", F.lit(1).cast("long"))), "entries")
 
     links = components = None
     for turn in range(ROUNDS):
