@@ -244,6 +244,8 @@ def _entries(docs: DataFrame, sketch: np.ndarray, ranges: int) -> DataFrame:
     sent = docs.select("text").mapInArrow(send, _SENT_SHAPE)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["dest"].iloc[0] >= ranges:  # hot entries, as they are
+            return rows[["token", "s", "n", "l"]]
         tokens = np.concatenate([np.frombuffer(x, "<u8") for x in rows["tokens"]])
         ids = np.concatenate([np.frombuffer(x, "<i8") for x in rows["ids"]])
         sizes = np.concatenate([np.frombuffer(x, "<i4") for x in rows["sizes"]])
@@ -258,8 +260,7 @@ def _entries(docs: DataFrame, sketch: np.ndarray, ranges: int) -> DataFrame:
         kept = new & ((sets > 1) | hot)[group] & (flags < 128)  # flagged ones come on their own
         return pd.DataFrame({"token": tokens[kept].view(np.int64), "s": ids[kept], "n": sizes[kept], "l": (flags[kept] & 127).astype(np.int32)})
 
-    cold = sent.filter("tokens is not null").select("dest", "tokens", "ids", "sizes", "matches").groupBy("dest").applyInPandas(meet, "token long, s long, n int, l int")
-    return cold, sent.filter("token is not null").select("token", "s", "n", "l")
+    return sent.groupBy("dest").applyInPandas(meet, "token long, s long, n int, l int")
 
 
 # Verification
@@ -327,8 +328,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     nodes = profiles.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "nodes")
     # about a quarter of all shingles are prefix entries
-    cold, hot = _entries(docs, sketch, max(16, int(sketch.sum()) // (4 * RANGE_ENTRIES) + 1))
-    rest = materialize(_contended(cold.unionByName(hot).withColumn("component", F.col("s")).withColumn("members", F.lit(1).cast("long"))), "entries")
+    found = _entries(docs, sketch, max(16, int(sketch.sum()) // (4 * RANGE_ENTRIES) + 1))
+    rest = materialize(_contended(found.withColumn("component", F.col("s")).withColumn("members", F.lit(1).cast("long"))), "entries")
 
     links = components = None
     for turn in range(ROUNDS):
