@@ -1,14 +1,16 @@
 """N-gram Jaccard join: connected components of documents whose shingle sets are similar, exactly.
 
-Adaptive multi-match prefixes. Shingles are ordered by estimated corpus frequency, rarest first. Two sets of Jaccard
-similarity t share at least ceil(t n) shingles of either one's n; so with prefixes of n - ceil(t n) + l shingles they
-share at least l. Each document picks the l (1 to MAX_MATCHES) whose longer prefix promises fewer candidates, and a
-pair must share min(l, l') prefix shingles before it is verified.
-
-1. One pass hashes each text's shingles: set size, set identity and a frequency sketch of fixed size.
-2. A second pass sends prefix entries, packed, to ranges of the hash space; a range keeps shingles found in two or more
-   different sets. Shingles that a task holds in more than HOT sets bypass the ranges, so no range fills up.
-3. In each of ROUNDS rounds every kept shingle links its sets to one hub, of its largest component so far; hub pairs are verified and joined into
+Adaptive multi-match prefixes. Shingles are ordered by corpus frequency, rarest first. Two sets of Jaccard similarity t
+share at least ceil(t n) shingles of either one's n; so with prefixes of n - ceil(t n) + l shingles they share at least
+l. Each document picks the l (1 to MAX_MATCHES) whose longer prefix promises fewer candidates, and a pair shares
+min(l, l') prefix shingles or is not similar.
+
+1. One pass hashes each text's shingles. A task cuts its documents into chunks and sends each chunk's distinct shingles,
+   with the number of its sets that hold them, to ranges of the hash space, packed; which sets hold them stays with
+   the chunk's own row, so a shingle of many sets costs a range one entry a chunk. A range answers with the shingles
+   that two or more sets hold, and in how many they are.
+2. Each chunk picks its sets' prefixes. Shingles of one set only come first in them and are never sent on.
+3. In each round every kept shingle links its sets to one hub, of its largest component so far; hub pairs are verified and joined into
    components. Families of thousands of near copies collapse here in about as many checks as they have members.
 4. Shingles whose sets already share one component are done. For the others, the components that meet are paired, and
    all pairs of their members are filtered by length and by bitmap and verified. No link between texts is lost.
@@ -34,23 +36,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import materialize
+from almanac.llm.common import drop_table, materialize
 from almanac.llm.components import connected_components
+from almanac.llm.packed import range_edges, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from almanac.llm.words import word_hashes
 
 WIDTH = 5
 PERCENT = 75
 MAX_MATCHES = 4
-ROUNDS = 4
+ROUNDS = 8
+#: A round is followed by another if it settles this share of the entries.
+WORTH = 0.1
 #: Hubs that a set is compared with in one round; the last step covers what this leaves.
 HUBS = 3
-#: Counters of the frequency sketch: its size does not depend on the input.
-SKETCH = 1 << 18
-_SKETCH_PARTS = 64
-#: A shingle in more sets of one task than this is hot.
-HOT = 32
-RANGE_ENTRIES = 1 << 20
-CHUNK_DOCS = 2048
+CHUNK_SHINGLES = 1 << 19
+CHUNK_DOCS = 4096
+#: Bytes of text for each range of shingles.
+RANGE_BYTES = 24 << 20
 BROADCAST_IDS = 2_000_000
 
 
@@ -100,167 +102,137 @@ def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int = PERCEN
     return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
 
 
-# Pass 1
-
-
-def _profile(batches):
-    sketch = np.zeros(SKETCH, np.int64)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
-            sets = [shingles(x) for x in part.column(1).to_pylist()]
-            sizes = [len(x) for x in sets]
-            if any(sizes):
-                sketch += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-            ids = pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64())
-            nothing = pa.nulls(part.num_rows)
-            bits = pa.array([bitmap(x) if len(x) else None for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), ids, bits, nothing.cast(pa.int32()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=["doc_id", "n", "s", "bits", "part", "salt", "counts"])
-    if sketch.any():
-        cut = np.split(sketch, _SKETCH_PARTS)
-        k = len(cut)
-        salt = TaskContext.get().partitionId() % 1024
-        nothing = pa.nulls(k)
-        yield pa.RecordBatch.from_arrays([nothing.cast(_profile.kind), nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.binary()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in cut], pa.binary())], names=["doc_id", "n", "s", "bits", "part", "salt", "counts"])
-
-
-def _profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, s, bits) of every document, and the sketch."""
-    kind = docs.schema["doc_id"].dataType
-
-    def run(batches):
-        import pyspark.sql.pandas.types as types
-
-        _profile.kind = types.to_arrow_type(kind)
-        yield from _profile(batches)
-
-    found = materialize(docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, s long, bits binary, part int, salt int, counts binary"), "profiles")
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, "<i8") for x in rows["counts"]], axis=0)
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "salt": rows["salt"].iloc[:1], "counts": [total.tobytes()]})
-
-    counts = found.filter("part is not null").select("part", "salt", "counts")
-    for keys in (["part", "salt"], ["part"]):
-        counts = counts.groupBy(*keys).applyInPandas(add, "part int, salt int, counts binary")
-    sketch = np.zeros((_SKETCH_PARTS, SKETCH // _SKETCH_PARTS), np.int64)
-    for row in counts.select("part", "counts").collect():
-        sketch[row["part"]] = np.frombuffer(row["counts"], "<i8")
-    return found.filter("part is null").select("doc_id", "n", "s", "bits"), sketch.ravel()
+# Frequencies and prefixes
 
+_SENT_SHAPE = "dest int, chunk string, part int, keys binary, counts binary, owners binary, docs array<{kind}>, sizes array<long>, sets array<long>, bits array<binary>"
+_SENT = [x.split()[0] for x in _SENT_SHAPE.split(", ")]
 
-# Pass 2
 
+def prefix(freq: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """How many shared shingles the adaptive prefix of a set of ``n`` holds, and the matches l that it supports.
 
-def frequency_classes(sketch: np.ndarray) -> np.ndarray:
-    """For each counter, the power of two by which it exceeds what unrelated shingles explain; 0: nothing notable."""
-    mean = sketch.mean()
-    noise = mean + 6 * np.sqrt(mean + 1)
-    return np.where(sketch > noise, np.frexp(np.maximum(sketch - mean, 1.0))[1], 0).astype(np.uint8)
-
-
-def prefix(found: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The adaptive prefix of a set and the matches l that it supports."""
-    n = len(found)
-    order_class = classes[(found % np.uint64(SKETCH)).astype(np.int64)]
-    order = np.lexsort((found, order_class))
-    least = -(-percent * n // 100)
-    base = n - least + 1
+    ``freq``: ascending numbers of sets that hold each of its shared shingles; its other shingles come before them.
+    """
+    base = n + percent * n // -100 + 1
     most = min(MAX_MATCHES, n - base + 1)
-    # expected sets that meet each shingle; l matches are wanted where they thin candidates more than they add entries
-    meets = np.where(order_class[order[: base + most - 1]] > 0, 2.0 ** order_class[order[: base + most - 1]], 0.0)
-    cost = [meets[: base + k].sum() / (k + 1) ** 2 + k for k in range(most)]
-    matches = int(np.argmin(cost)) + 1
-    return found[order[: base + matches - 1]], matches
-
-
-def _chunk(sets: list[np.ndarray], classes: np.ndarray, ranges: int):
-    """Rows of one chunk: packed entries for each range, and hot entries on their own."""
-    made = [prefix(x, classes) for x in sets]
-    ids = np.array([_set_id(x) for x in sets], np.int64)
-    keep = np.unique(ids, return_index=True)[1]
-    tokens = np.concatenate([made[i][0] for i in keep])
-    owner = np.repeat(np.arange(len(keep)), [len(made[i][0]) for i in keep])
-    ids = ids[keep]
-    size = np.array([len(sets[i]) for i in keep], np.int32)
-    matches = np.array([made[i][1] for i in keep], np.int32)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    count = np.diff(np.append(first, len(tokens)))
-    hot = np.repeat(count > HOT, count)
-    cold = ~hot
-    lead = np.zeros(len(tokens), bool)
-    lead[first] = True
-    sent = cold | lead  # a hot shingle's first entry tells the range about it
-    edges = [np.uint64((i << 64) // ranges) for i in range(1, ranges)]
-    rows = []
-    t, o, h = tokens[sent], owner[sent], hot[sent]
-    cut = np.concatenate([[0], np.searchsorted(t, edges), [len(t)]])
-    for p in range(ranges):
-        s = slice(cut[p], cut[p + 1])
-        if s.start < s.stop:
-            rows.append((p, t[s].tobytes(), ids[o[s]].tobytes(), size[o[s]].tobytes(), (matches[o[s]] | h[s] << 7).astype(np.uint8).tobytes()))
-    return rows, (tokens[hot].astype(np.int64), ids[owner[hot]], size[owner[hot]], matches[owner[hot]])
-
-
-_SENT = ["dest", "tokens", "ids", "sizes", "matches", "token", "s", "n", "l"]
-_SENT_SHAPE = "dest int, tokens binary, ids binary, sizes binary, matches binary, token long, s long, n int, l int"
-
-
-def _entries(docs: DataFrame, sketch: np.ndarray, ranges: int) -> DataFrame:
-    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(sketch))  # SKETCH bytes
+    held = np.clip(base + np.arange(most) - (n - len(freq)), 0, len(freq))
+    meets = np.append(0, np.cumsum(freq - 1))[held]  # other sets that the prefix meets; l matches thin them
+    step = np.arange(most)
+    matches = int(np.argmin(meets / (step + 1) ** 2 + step))
+    return int(held[matches]), matches + 1
+
+
+def _sender(ranges: int, kind):
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    edges = range_edges(ranges)
+
+    def rows_of(ids: list, sets: list[np.ndarray], name: str):
+        names = [_set_id(x) if len(x) else None for x in sets]
+        first: dict[int, int] = {}
+        for i, s in enumerate(names):
+            if s is not None:
+                first.setdefault(s, i)
+        own = list(first.values())
+        tokens = np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in own)])
+        owner = np.repeat(np.array(own, np.int64), [len(sets[i]) for i in own])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        lead = np.flatnonzero(np.concatenate([np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1]]))
+        keys, counts = tokens[lead], np.diff(np.append(lead, len(tokens)))
+        name = f"{name}-{xxhash.xxh3_64_hexdigest(tokens.tobytes())}"
+        cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+        rows = [(p, name, p, squeeze_sorted(keys[lo:hi]), squeeze(counts[lo:hi], "<u4"), None, None, None, None, None) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if lo < hi]
+        dest = ranges + xxhash.xxh3_64_intdigest(name.encode()) % ranges
+        rows.append((dest, name, -1, None, squeeze(counts, "<u4"), squeeze(owner, "<u4"), ids, [len(x) for x in sets], [x or 0 for x in names], [bitmap(x) if len(x) else None for x in sets]))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_SENT)
 
     def send(batches):
-        own, waiting = classes.value, []
-        turn = TaskContext.get().partitionId() * 7919
-
-        def flush():
-            nonlocal turn
-            rows, hot = _chunk(waiting, own, ranges)
-            dest, *blobs = zip(*rows)
-            n = len(rows)
-            empty = [pa.nulls(n).cast(k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs), *empty], names=_SENT)
-            n = len(hot[0])
-            if n:
-                turn += 1
-                spread = (np.arange(n) + turn) % ranges + ranges
-                empty = [pa.nulls(n).cast(pa.binary())] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), *empty, *(pa.array(x, k) for x, k in zip(hot, kinds))], names=_SENT)
-
+        task, count, size, ids, sets = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text)
-                if len(found):
-                    waiting.append(found)
-                    if len(waiting) == CHUNK_DOCS:
-                        yield from flush()
-                        waiting.clear()
-        if waiting:
-            yield from flush()
-
-    sent = docs.select("text").mapInArrow(send, _SENT_SHAPE)
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["dest"].iloc[0] >= ranges:  # hot entries, as they are
-            return rows[["token", "s", "n", "l"]]
-        tokens = np.concatenate([np.frombuffer(x, "<u8") for x in rows["tokens"]])
-        ids = np.concatenate([np.frombuffer(x, "<i8") for x in rows["ids"]])
-        sizes = np.concatenate([np.frombuffer(x, "<i4") for x in rows["sizes"]])
-        flags = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["matches"]])
-        order = np.lexsort((ids, tokens))
-        tokens, ids, sizes, flags = tokens[order], ids[order], sizes[order], flags[order]
-        new_token = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        new = new_token | np.concatenate([[True], ids[1:] != ids[:-1]])
-        group = np.cumsum(new_token) - 1
-        sets = np.bincount(group, new)
-        hot = np.bincount(group, flags >> 7) > 0
-        kept = new & ((sets > 1) | hot)[group] & (flags < 128)  # flagged ones come on their own
-        return pd.DataFrame({"token": tokens[kept].view(np.int64), "s": ids[kept], "n": sizes[kept], "l": (flags[kept] & 127).astype(np.int32)})
-
-    return sent.groupBy("dest").applyInPandas(meet, "token long, s long, n int, l int")
+                if ids and (size + len(found) > CHUNK_SHINGLES or len(ids) == CHUNK_DOCS):
+                    yield rows_of(ids, sets, f"{task}-{count}")
+                    count, size, ids, sets = count + 1, 0, [], []
+                ids.append(key)
+                sets.append(found)
+                size += len(found)
+        if ids:
+            yield rows_of(ids, sets, f"{task}-{count}")
+
+    return send
+
+
+def _answers(rows: pd.DataFrame) -> pd.DataFrame:
+    """For a range of shingles: which of each chunk's are in two or more sets, and in how many."""
+    if rows["part"].iloc[0] < 0:
+        return rows
+    rows = rows.reset_index(drop=True)
+    parts = [unsqueeze_sorted(x) for x in rows["keys"]]
+    counts = np.concatenate([unsqueeze(x, "<u4") for x in rows["counts"]])
+    unique, at = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(at, counts, len(unique)).astype(np.int64)[at]
+    ends = np.cumsum([len(x) for x in parts])
+    keys, freqs, places = [], [], []
+    for own, total_own in zip(parts, np.split(total, ends[:-1])):
+        shared = np.flatnonzero(total_own > 1)
+        keys.append(squeeze_sorted(own[shared]))
+        freqs.append(squeeze(total_own[shared], "<u8"))
+        places.append(len(own).to_bytes(8, "little") + squeeze_sorted(shared.astype(np.uint64)))
+    rows["keys"], rows["counts"], rows["owners"] = keys, freqs, places
+    return rows
+
+
+def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
+    """(token, s, n, l) of the shared prefix shingles of a chunk's sets."""
+    own = rows[rows["part"] < 0].iloc[0]
+    answers = rows[rows["part"] >= 0].sort_values("part")
+    counts, owner = unsqueeze(own["counts"], "<u4").astype(np.int64), unsqueeze(own["owners"], "<u4").astype(np.int64)
+    shift, keys, freqs, places = 0, [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for k, f, p in zip(answers["keys"], answers["counts"], answers["owners"]):
+        keys.append(unsqueeze_sorted(k))
+        freqs.append(unsqueeze(f, "<u8"))
+        places.append(unsqueeze_sorted(p[8:]).astype(np.int64) + shift)
+        shift += int.from_bytes(p[:8], "little")
+    if shift != len(counts):
+        raise RuntimeError(f"chunk {own['chunk']}: answers for {shift} of {len(counts)} shingles")
+    keys, freqs, places = np.concatenate(keys), np.concatenate(freqs).astype(np.int64), np.concatenate(places)
+    times = counts[places]
+    start = (np.cumsum(counts) - counts)[places]
+    entry = np.repeat(start - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    owner, keys, freqs = owner[entry], np.repeat(keys, times), np.repeat(freqs, times)
+    order = np.lexsort((keys, freqs, owner))  # rarest first in each set
+    owner, keys, freqs = owner[order], keys[order], freqs[order]
+    sizes, sets = own["sizes"], own["sets"]
+    cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]])).tolist() + [len(owner)]
+    token, s, n, l = [np.empty(0, np.uint64)], [], [], []  # noqa: E741
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        i = int(owner[lo])
+        many, matches = prefix(freqs[lo:hi], int(sizes[i]))
+        if many:
+            token.append(keys[lo : lo + many])
+            s += [int(sets[i])] * many
+            n += [int(sizes[i])] * many
+            l += [matches] * many  # noqa: E741
+    return pd.DataFrame({"token": np.concatenate(token).view(np.int64), "s": np.array(s, np.int64), "n": np.array(n, np.int32), "l": np.array(l, np.int32)})
+
+
+def _frequencies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, s, bits) of every document, and the rows (token, s, n, l) of shared prefix shingles."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(16, -(-size // RANGE_BYTES))
+    shape = _SENT_SHAPE.format(kind=kind.simpleString())
+    sent = docs.select("doc_id", "text").mapInArrow(_sender(ranges, to_arrow_type(kind)), shape)
+    known = materialize(sent.groupBy("dest").applyInPandas(_answers, shape), "shingles")
+    rows = known.filter("part < 0").select(F.explode(F.arrays_zip("docs", "sizes", "sets", "bits")).alias("x"))
+    profiles = materialize(rows.select(F.col("x.docs").alias("doc_id"), F.col("x.sizes").alias("n"), F.expr("if(x.sizes > 0, x.sets, null)").alias("s"), F.col("x.bits").alias("bits")), "profiles")
+    found = known.select("chunk", "part", "keys", "counts", "owners", "sizes", "sets").groupBy("chunk").applyInPandas(_prefixes, "token long, s long, n int, l int")
+    found = materialize(found.dropDuplicates(["token", "s"]), "prefixes")
+    drop_table(known)
+    return profiles, found
 
 
 # Verification
@@ -324,11 +296,9 @@ def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    profiles, sketch = _profiles(docs)
+    profiles, found = _frequencies(docs)
     nodes = profiles.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "nodes")
-    # about a quarter of all shingles are prefix entries
-    found = _entries(docs, sketch, max(16, int(sketch.sum()) // (4 * RANGE_ENTRIES) + 1))
     rest = materialize(_contended(found.withColumn("component", F.col("s")).withColumn("members", F.lit(1).cast("long"))), "entries")
 
     links = components = None
@@ -343,7 +313,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
             break
         links = found if links is None else links.unionByName(found)
         components = materialize(connected_components(links), "components")
-        rest = materialize(_contended(_labelled(rest, components)), "contended")
+        before, rest = rest, materialize(_contended(_labelled(rest, components)), "contended")
+        had, has = before.count(), rest.count()
+        drop_table(before)
+        if has > (1 - WORTH) * had:
+            break
 
     # what is left: components that meet in a shingle; all pairs of their members
     held = rest.groupBy("token", "component").agg(F.max("l").alias("l"))
