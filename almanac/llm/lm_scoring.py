@@ -7,7 +7,8 @@ Counting and looking up take one exchange. Each task cuts its documents into chu
 for each range of hashed keys, the chunk's distinct unigrams and bigrams with its training counts, as packed arrays;
 the range's task adds them up and answers each chunk with the totals, in the chunk's order. A frequent key is sent
 once a chunk, so no range is hot. Documents are then scored chunk by chunk from their token places and the totals.
-Keys are 64-bit hashes. What reaches the driver is N, V and a histogram for EM of a fixed number of cells.
+Keys are hashes: of 64 bits for words, of SPARE_BITS more than the corpus
+size needs for bigrams. What reaches the driver is N, V and a histogram for EM of a fixed number of cells.
 
 Edge cases: a null or empty text is the end token alone; a null doc_id trains; without training documents base and
 model are uniform in effect; without held-out documents the weights are DEFAULT_WEIGHTS; repeated rows repeat and
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import materialize
+from almanac.llm.packed import range_edges, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from almanac.llm.words import word_hashes
 
-CHUNK_TOKENS = 60_000
+CHUNK_TOKENS = 1 << 19
 #: Bytes of text for each range of keys.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+#: Bigram keys have this many bits more than the count of the text's bytes, so that they meet alike at every size.
+SPARE_BITS = 22
 BUCKETS = 32
 #: Weights of bigram, unigram and uniform estimates before EM, and in buckets without held-out tokens.
 DEFAULT_WEIGHTS = (0.5, 0.45, 0.05)
@@ -49,55 +53,39 @@ def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """A length, one byte a count, then those of 255 and more in full."""
-    return np.array([len(counts)], "<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
-
-
-def unpack_counts(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<u8", offset=4 + n).astype(np.int64)
-    return out
-
-
-def _places(values: np.ndarray, n: int) -> bytes:
-    return values.astype("<u2" if n <= 1 << 16 else "<u4").tobytes()
-
-
-def _read_places(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if n <= 1 << 16 else "<u4").astype(np.int64)
+def _bigrams(places: np.ndarray, keys: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """The bigram key of each token: of its context and itself."""
+    words = keys[places[:-1]]
+    context = np.empty_like(words)
+    context[1:] = words[:-1]
+    context[starts] = keys[places[-1]]
+    return _mix(context, words) >> np.uint64(64 - bits)
 
 
-def _chunk_rows(ids: list, texts: list[list[int]], held: bool, name: str, ranges: int):
+def _chunk_rows(ids: list, texts: list[list[int]], held: bool, name: str, ranges: int, bits: int):
     """The rows that a chunk sends: one for each range of keys that it uses, and one with its tokens' places."""
     sizes = np.array([len(x) for x in texts], np.int64)
     words = np.fromiter((h for x in texts for h in x), np.uint64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    context = np.empty_like(words)
-    context[1:] = words[:-1]
-    context[starts] = _START
     u_keys, u_at = np.unique(np.append(words, np.uint64(_START)), return_inverse=True)
-    b_keys, b_at = np.unique(_mix(context, words), return_inverse=True)
+    b_keys, b_counts = np.unique(_bigrams(u_at, u_keys, np.cumsum(sizes) - sizes, bits), return_counts=True)
     train = 0 if held else 1
     u_counts = np.bincount(u_at[:-1], minlength=len(u_keys)) * train
     u_counts[u_at[-1]] = len(ids) * train  # how many texts the start precedes
-    b_counts = np.bincount(b_at, minlength=len(b_keys)) * train
+    b_counts = b_counts * train
     name = f"{name}-{xxhash.xxh3_64_hexdigest(words.tobytes())}"
-    edges = [np.uint64(min((i << 64) // ranges, (1 << 64) - 1)) for i in range(1, ranges)]
-    u_cut = np.concatenate([[0], np.searchsorted(u_keys, edges), [len(u_keys)]])
-    b_cut = np.concatenate([[0], np.searchsorted(b_keys, edges), [len(b_keys)]])
+    u_cut = np.concatenate([[0], np.searchsorted(u_keys, range_edges(ranges)), [len(u_keys)]])
+    b_cut = np.concatenate([[0], np.searchsorted(b_keys, range_edges(ranges, bits)), [len(b_keys)]])
     rows = []
     for p in range(ranges):
         u, b = slice(u_cut[p], u_cut[p + 1]), slice(b_cut[p], b_cut[p + 1])
         if u.start < u.stop or b.start < b.stop:
-            rows.append((p, name, p, u_keys[u].tobytes(), b_keys[b].tobytes(), pack_counts(u_counts[u]), pack_counts(b_counts[b]), None, None, held, None))
+            rows.append((p, name, p, squeeze_sorted(u_keys[u]), squeeze_sorted(b_keys[b]), squeeze(u_counts[u], "<u8"), squeeze(b_counts[b], "<u8"), None, None, held, None))
     dest = ranges + xxhash.xxh3_64_intdigest(name.encode()) % ranges
-    rows.append((dest, name, -1, _places(u_at, len(u_keys)), _places(b_at, len(b_keys)), np.array([len(u_keys), len(b_keys)], "<i8").tobytes(), None, ids, sizes.astype("<i8").tobytes(), held, None))
+    rows.append((dest, name, -1, squeeze(u_at, "<u4"), squeeze_sorted(u_keys), None, None, ids, sizes.astype("<i8").tobytes(), held, None))
     return rows
 
 
-def _sender(ranges: int):
+def _sender(ranges: int, bits: int):
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.bool_(), pa.int64()]
 
     def send(batches):
@@ -108,7 +96,7 @@ def _sender(ranges: int):
         def flush(held: bool):
             nonlocal count
             ids, texts = open_[held]
-            rows = _chunk_rows(ids, texts, held, f"{task}-{count}", ranges)
+            rows = _chunk_rows(ids, texts, held, f"{task}-{count}", ranges, bits)
             count, size[held], open_[held] = count + 1, 0, ([], [])
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_NAMES)
 
@@ -135,14 +123,14 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.reset_index(drop=True)
     out, distinct = {}, 0
     for keys, counts in (("u", "un"), ("b", "bn")):
-        parts = [np.frombuffer(x, "<u8") for x in rows[keys]]
-        own = np.concatenate([unpack_counts(x) for x in rows[counts]])
+        parts = [unsqueeze_sorted(x) for x in rows[keys]]
+        own = np.concatenate([unsqueeze(x, "<u8") for x in rows[counts]])
         unique, at = np.unique(np.concatenate(parts), return_inverse=True)
         totals = np.bincount(at, own, len(unique)).astype(np.int64)
         if keys == "u":
             distinct = int(np.count_nonzero(totals[unique != _START]))
         cuts = np.cumsum([len(x) for x in parts])[:-1]
-        out[counts] = [pack_counts(x) for x in np.split(totals[at], cuts)]
+        out[counts] = [squeeze(x, "<u8") for x in np.split(totals[at], cuts)]
     rows["un"], rows["bn"] = out["un"], out["bn"]
     rows["u"] = rows["b"] = None
     rows["distinct"] = [distinct] + [0] * (len(rows) - 1)
@@ -152,23 +140,23 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
 class _Chunk:
     """A chunk's tokens with the training counts of each: word, context, bigram."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: pd.DataFrame, bits: int):
         tokens = rows[rows["part"] < 0].iloc[0]
         answers = rows[rows["part"] >= 0].sort_values("part")
-        u = np.concatenate([unpack_counts(x) for x in answers["un"]])
-        b = np.concatenate([unpack_counts(x) for x in answers["bn"]])
-        n_u, n_b = np.frombuffer(tokens["un"], "<i8").tolist()
-        if (len(u), len(b)) != (n_u, n_b):
-            raise RuntimeError(f"chunk {tokens['chunk']}: answers for {len(u)}, {len(b)} of {n_u}, {n_b} keys")
-        places = _read_places(tokens["u"], n_u)
+        u = np.concatenate([unsqueeze(x, "<u8") for x in answers["un"]]).astype(np.int64)
+        b = np.concatenate([unsqueeze(x, "<u8") for x in answers["bn"]]).astype(np.int64)
+        places, keys = unsqueeze(tokens["u"], "<u4"), unsqueeze_sorted(tokens["b"])
         self.ids, self.held = list(tokens["ids"]), bool(tokens["held"])
         self.sizes = np.frombuffer(tokens["sizes"], "<i8")
         self.starts = np.cumsum(self.sizes) - self.sizes
+        n_b, at = np.unique(_bigrams(places, keys, self.starts, bits), return_inverse=True)
+        if (len(u), len(b)) != (len(keys), len(n_b)):
+            raise RuntimeError(f"chunk {tokens['chunk']}: answers for {len(u)}, {len(b)} of {len(keys)}, {len(n_b)} keys")
         self.word = u[places[:-1]]
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
         self.context[self.starts] = u[places[-1]]
-        self.pair = b[_read_places(tokens["b"], n_b)]
+        self.pair = b[at]
 
     def estimates(self, n: int):
         """(bucket, bigram estimate, unigram estimate) of each token."""
@@ -200,8 +188,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     key = F.col("doc_id").cast("string")
     held = F.coalesce(F.crc32(key.cast("binary")) % 10 == 0, F.lit(False))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(16, -(-size // RANGE_BYTES))
-    sent = docs.select(key.alias("doc_id"), "text", held.alias("held")).mapInArrow(_sender(ranges), _SHAPE)
+    ranges, bits = max(16, -(-size // RANGE_BYTES)), min(64, int(size).bit_length() + SPARE_BITS)
+    sent = docs.select(key.alias("doc_id"), "text", held.alias("held")).mapInArrow(_sender(ranges, bits), _SHAPE)
     known = materialize(sent.groupBy("dest").applyInPandas(_answers, _SHAPE), "ngrams")
     count = F.when(F.col("part") < 0, F.col("sizes"))
 
@@ -215,7 +203,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     distinct = known.agg(F.sum("distinct")).first()[0] or 0
 
     def cells(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, p2, p1 = _Chunk(rows).estimates(n)
+        bucket, p2, p1 = _Chunk(rows, bits).estimates(n)
         level = lambda p: np.where(p > 0, np.rint(2 * np.log2(np.maximum(p, 1e-30))), -999).astype(np.int64)
         cut = pd.DataFrame({"bucket": bucket, "l2": level(p2), "l1": level(p1), "p2": p2, "p1": p1, "n": 1})
         return cut.groupby(["bucket", "l2", "l1"], as_index=False).sum()[["bucket", "l2", "l1", "n", "p2", "p1"]]
@@ -226,7 +214,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     weights = learn_weights(got.to_numpy(np.float64), distinct)
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk = _Chunk(rows)
+        chunk = _Chunk(rows, bits)
         bucket, p2, p1 = chunk.estimates(n)
         w = weights[bucket]
         model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (distinct + 1))
