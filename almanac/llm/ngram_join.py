@@ -10,8 +10,9 @@ min(l, l') prefix shingles or is not similar.
    the chunk's own row, so a shingle of many sets costs a range one entry a chunk. A range answers with the shingles
    that two or more sets hold, and in how many they are.
 2. Each chunk picks its sets' prefixes. Shingles of one set only come first in them and are never sent on.
-3. In each round every kept shingle links its sets to one hub, of its largest component so far; hub pairs are verified and joined into
-   components. Families of thousands of near copies collapse here in about as many checks as they have members.
+3. In each round every kept shingle links its sets to one hub, of its largest component so far; hub pairs are verified
+   and joined into components. Families of thousands of near copies collapse here in about as many checks as they have
+   members. Rounds end when one settles less than WORTH of the entries; the last step covers what they leave.
 4. Shingles whose sets already share one component are done. For the others, the components that meet are paired, and
    all pairs of their members are filtered by length and by bitmap and verified. No link between texts is lost.
 
