@@ -42,3 +42,10 @@ def street_number(address: Column) -> Column:
 
 def content_fingerprint(title: Column, description: Column) -> Column:
     return F.sha2(F.concat(title, F.lit("\n"), F.coalesce(description, F.lit("<none>"))), 256)
+
+
+def calendar_escape(value: Column) -> Column:
+    """Backslash, comma, semicolon and line break as calendar text has them; the backslash goes first."""
+    for plain, escaped in (("\\", "\\\\"), (",", "\\,"), (";", "\;"), ("\n", "\\n")):
+        value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return value

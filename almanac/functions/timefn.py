@@ -30,3 +30,16 @@ def is_midnight(ts: Column) -> Column:
 
 def week_monday(ts: Column) -> Column:
     return F.to_date(F.date_trunc("week", local(ts)))
+
+
+def roll_end_forward(start: Column, end: Column) -> Column:
+    """An end before its start is a day later."""
+    return F.when(end < start, end + F.expr("INTERVAL 24 HOURS")).otherwise(end)
+
+
+def day_heading(ts: Column) -> Column:
+    return F.date_format(local(ts), "EEEE, MMMM d")
+
+
+def clock(ts: Column) -> Column:
+    return F.date_format(local(ts), "h:mm a")

@@ -59,3 +59,12 @@ def trailing_count(rows: DataFrame, key: str, ts: str, minutes: int, out: str) -
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = Window.partitionBy(key).orderBy("micros").rangeBetween(-minutes * 60_000_000, -1)
     return rows.withColumn("micros", micros).withColumn(out, F.count(F.lit(1)).over(span)).drop("micros")
+
+
+def union_distinct(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Keys of all ``tables`` once, with the place (from 1) of the first table that holds each."""
+    marked = [t.select(*keys, F.lit(i).alias("priority")) for i, t in enumerate(tables, 1)]
+    every = marked[0]
+    for other in marked[1:]:
+        every = every.unionByName(other)
+    return every.groupBy(*keys).agg(F.min("priority").alias("priority"))
