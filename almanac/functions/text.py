@@ -46,6 +46,6 @@ def content_fingerprint(title: Column, description: Column) -> Column:
 
 def calendar_escape(value: Column) -> Column:
     """Backslash, comma, semicolon and line break as calendar text has them; the backslash goes first."""
-    for plain, escaped in (("\\", "\\\\"), (",", "\\,"), (";", "\;"), ("\n", "\\n")):
+    for plain, escaped in (("\\", "\\\\"), (",", "\\,"), (";", "\\;"), ("\n", "\\n")):
         value = F.replace(value, F.lit(plain), F.lit(escaped))
     return value
