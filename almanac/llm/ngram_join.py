@@ -54,6 +54,10 @@ CHUNK_SHINGLES = 1 << 19
 CHUNK_DOCS = 4096
 #: Bytes of text for each range of shingles.
 RANGE_BYTES = 24 << 20
+#: Shingles of a range that are sorted together.
+SLICE_SHINGLES = 1 << 18
+#: Texts taken out of an Arrow batch together.
+TEXT_ROWS = 256
 BROADCAST_IDS = 2_000_000
 
 
@@ -150,7 +154,8 @@ def _sender(ranges: int, kind):
     def send(batches):
         task, count, size, ids, sets = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = (row for lo in range(0, batch.num_rows, TEXT_ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(lo, TEXT_ROWS).columns)))
+            for key, text in rows:
                 found = shingles(text)
                 if ids and (size + len(found) > CHUNK_SHINGLES or len(ids) == CHUNK_DOCS):
                     yield rows_of(ids, sets, f"{task}-{count}")
@@ -164,22 +169,38 @@ def _sender(ranges: int, kind):
     return send
 
 
+def _slices(parts: list[np.ndarray]):
+    """Where each of the sorted ``parts`` begins and ends in each of a few slices of their common key range."""
+    lo, hi = min(int(x[0]) for x in parts), max(int(x[-1]) for x in parts)
+    many = 1 + sum(map(len, parts)) // SLICE_SHINGLES
+    edges = np.array([lo + (hi - lo) * k // many for k in range(1, many)], np.uint64)
+    ends = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in parts]
+    for k in range(many):
+        yield [(x[k], x[k + 1]) for x in ends]
+
+
 def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     """For a range of shingles: which of each chunk's are in two or more sets, and in how many."""
     if rows["part"].iloc[0] < 0:
         return rows
     rows = rows.reset_index(drop=True)
     parts = [unsqueeze_sorted(x) for x in rows["keys"]]
-    counts = np.concatenate([unsqueeze(x, "<u4") for x in rows["counts"]])
-    unique, at = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(at, counts, len(unique)).astype(np.int64)[at]
-    ends = np.cumsum([len(x) for x in parts])
+    counts = [unsqueeze(x, "<u4") for x in rows["counts"]]
+    shared, totals = [[] for _ in parts], [[] for _ in parts]
+    for cut in _slices(parts):  # a slice of the keys at a time bounds what sorting them takes
+        unique, at = np.unique(np.concatenate([x[lo:hi] for x, (lo, hi) in zip(parts, cut)]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([x[lo:hi] for x, (lo, hi) in zip(counts, cut)]), len(unique)).astype(np.int64)[at]
+        end = 0
+        for i, (lo, hi) in enumerate(cut):
+            own, end = total[end : end + hi - lo], end + hi - lo
+            found = np.flatnonzero(own > 1)
+            shared[i].append(found + lo)
+            totals[i].append(own[found])
     keys, freqs, places = [], [], []
-    for own, total_own in zip(parts, np.split(total, ends[:-1])):
-        shared = np.flatnonzero(total_own > 1)
-        keys.append(squeeze_sorted(own[shared]))
-        freqs.append(squeeze(total_own[shared], "<u8"))
-        places.append(len(own).to_bytes(8, "little") + squeeze_sorted(shared.astype(np.uint64)))
+    for own, at, total in zip(parts, map(np.concatenate, shared), map(np.concatenate, totals)):
+        keys.append(squeeze_sorted(own[at]))
+        freqs.append(squeeze(total, "<u8"))
+        places.append(len(own).to_bytes(8, "little") + squeeze_sorted(at.astype(np.uint64)))
     rows["keys"], rows["counts"], rows["owners"] = keys, freqs, places
     return rows
 
@@ -262,8 +283,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def make(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sets = [x for x in map(shingles, batch.column(0).slice(lo, 256).to_pylist()) if len(x)]
+            for lo in range(0, batch.num_rows, TEXT_ROWS):
+                sets = [x for x in map(shingles, batch.column(0).slice(lo, TEXT_ROWS).to_pylist()) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "members"])
 
     sets = materialize(texts.mapInArrow(make, "s long, members binary").dropDuplicates(["s"]), "sets")
