@@ -1,0 +1 @@
+"""Readers of listing feeds and pages: text in, one row per listing out."""
