@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.functions import scoring, text, timefn
-from almanac.operators import core, mutations, resolution
-from almanac.plans.queries import _query, _t
+from almanac.operators import core, mutations, resolution, search
+from almanac.plans.queries import _GRAMS, _query, _t
 
 
 def _ntz(value: str):
@@ -221,3 +221,33 @@ def greedy_merge(spark, sf_dir):
     pairs = resolution.same_day_pairs(_t(spark, sf_dir, "events"), "event_id", "ts", ["user_id", "event_type"])
     scored = pairs.select("a", "b", scoring.pair_score(F.lit(1.0), F.lit(1.0), F.col("minutes"), F.lit(False)).alias("score"))
     return resolution.greedy_merge(scored.filter(F.col("score") >= scoring.MERGE_AT))
+
+
+@_query(
+    f"""WITH g AS (SELECT p_partkey, p_brand, p_size, p_retailprice, {_GRAMS.format('p_name')} AS g FROM part),
+    s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS sim, a.p_size = b.p_size AS same, abs(a.p_retailprice - b.p_retailprice) AS far
+      FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey),
+    t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM s WHERE sim >= 0.55)
+    SELECT a, arg_min(b, n) AS b FROM t WHERE n <= 5 AND (sim >= 0.92 OR (sim >= 0.75 AND same) OR (sim >= 0.6 AND far <= 100)) GROUP BY a"""
+)
+def registry_ladder(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    side = lambda c: part.select(F.col("p_partkey").alias(c), F.col("p_size").alias(f"size_{c}"), F.col("p_retailprice").alias(f"price_{c}"))
+    near = core.similar_pairs(part, "p_partkey", "p_name", "p_brand", 0.55).join(side("a"), "a").join(side("b"), "b")
+    sim = F.col("similarity")
+    accepted = (sim >= 0.92) | ((sim >= 0.75) & (F.col("size_a") == F.col("size_b"))) | ((sim >= 0.6) & (F.abs(F.col("price_a") - F.col("price_b")) <= 100))
+    return search.accept_ladder(near, "a", "b", accepted)
+
+
+@_query("""WITH l AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS l FROM documents)
+    SELECT doc_id FROM l WHERE (contains(l, ' mit license ') AND NOT contains(l, ' password ')) OR contains(l, ' river ')""")
+def websearch_match(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").filter(search.matches(F.col("text"), '"mit license" -password or river')).select("doc_id")
+
+
+@_query()
+def hybrid_search(spark, sf_dir):
+    """Words and vectors fused; a test compares with a loop."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("lang").alias("tags"), F.col("text").alias("description"), F.col("source").alias("venue"), F.col("n_chars").alias("next_start"))
+    rows = docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return search.search(rows, "doc_id", "river or license", [1.0] + [0.0] * 63, [F.col("tags") == "en"])
