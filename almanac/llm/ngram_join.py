@@ -53,7 +53,7 @@ HUBS = 3
 CHUNK_SHINGLES = 1 << 19
 CHUNK_DOCS = 4096
 #: Bytes of text for each range of shingles.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 12 << 20
 #: Shingles of a range that are sorted together.
 SLICE_SHINGLES = 1 << 18
 #: Texts taken out of an Arrow batch together.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xxhash
 
-KEEP_WORDS = 400_000
+KEEP_WORDS = 100_000
 _hashes: dict[bytes, int] = {}
 
 
