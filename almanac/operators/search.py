@@ -82,19 +82,31 @@ def vector_leg(rows: DataFrame, key: str, embedding: str, vector: list[float]) -
     return near.select(key, F.row_number().over(Window.orderBy(F.asc_nulls_last("_far"), key)).alias("rank"))
 
 
+def _text_ranks(found: DataFrame, key: str, limit: int, near: DataFrame | None) -> DataFrame:
+    """The ranks (key, rank) that can matter: those of the first ``limit`` rows and of the rows of the vector leg.
+
+    A row of the text leg alone that comes after ``limit`` others is beaten by all of them. The vector leg's rows, of
+    which there are VECTOR_TOP at most, are broadcast and the rows ahead of each counted; no task ranks them all.
+    """
+    order = [F.desc("_score"), F.col(key)]
+    ranks = found.orderBy(*order).limit(limit).select(key, F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    if near is None:
+        return ranks
+    few = F.broadcast(found.join(F.broadcast(near.select(key)), key).select(F.col(key).alias("_k"), F.col("_score").alias("_s")))
+    upto = found.join(few, (F.col("_score") > F.col("_s")) | ((F.col("_score") == F.col("_s")) & (F.col(key) <= F.col("_k"))))  # itself included
+    counted = upto.groupBy(F.col("_k").alias(key)).agg(F.count(F.lit(1)).cast("int").alias("rank"))
+    return ranks.unionByName(counted).groupBy(key).agg(F.min("rank").alias("rank"))
+
+
 def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | None = None, facets: list[Column] | None = None, limit: int = 50) -> DataFrame:
     """(key, score, next_start), best first, of ``rows`` (key, title, tags, description, venue, next_start, embedding).
 
-    With neither text nor vector the order is that of ``next_start``. The text leg is ranked over the rows that fit it;
-    ranks beyond what can reach the first ``limit`` would change no result but are kept, as fusion is exact.
+    With neither text nor vector the order is that of ``next_start``.
     """
     base = rows.filter(reduce(lambda a, b: a & b, facets or [], F.lit(True)))
-    legs = []
+    legs = [vector_leg(base, key, "embedding", vector)] if vector is not None else []
     if query.strip():
-        found = text_leg(base, key, query)
-        legs.append(found.select(key, F.row_number().over(Window.orderBy(F.desc("_score"), key)).alias("rank")))
-    if vector is not None:
-        legs.append(vector_leg(base, key, "embedding", vector))
+        legs.append(_text_ranks(text_leg(base, key, query), key, limit, legs[0] if legs else None))
     scored = base.select(key, "next_start")
     scored = scored.join(reciprocal_rank_fusion(legs, key), key) if legs else scored.withColumn("score", F.lit(0.0))
     return scored.select(key, "score", "next_start").orderBy(F.desc("score"), "next_start", key).limit(limit)

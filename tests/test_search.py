@@ -37,3 +37,19 @@ def test_search(spark):
     assert ids(vector=[1.0, 0.0]) == [1, 4, 3, 2]
     assert ids(query="jazz", vector=[1.0, 0.0], facets=[F.col("next_start") > 2], limit=2) == [1, 3]
     assert abs(df.filter("id = 4").select(search.word_rank({"title": F.col("title")}, "poetry")).first()[0] - 0.6079271) < 1e-6
+
+
+def test_fused_ranks_equal_those_of_all_rows(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(["jazz", "rock", "folk", "night"]) for _ in range(3)), None, r.choice(["jazz", "none"]), "v", i % 7, [r.random(), r.random()]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, title string, tags string, description string, venue string, next_start int, embedding array<double>").cache()
+    text = [x.id for x in search.text_leg(df, "id", "jazz").orderBy(F.desc("_score"), "id").collect()]
+    score = {k: 1 / (60 + i) for i, k in enumerate(text, 1)}
+    for x in search.vector_leg(df, "id", "embedding", [1.0, 0.0]).collect():
+        score[x.id] = score.get(x.id, 0.0) + 1 / (60 + x.rank)
+    want = sorted(score, key=lambda k: (-round(score[k], 12), k % 7, k))[:20]
+    got = search.search(df, "id", "jazz", [1.0, 0.0], limit=20).collect()
+    assert [x.id for x in got] == want
+    assert all(abs(x.score - score[x.id]) < 1e-12 for x in got)
