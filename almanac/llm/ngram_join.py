@@ -24,7 +24,8 @@ their ids up to BROADCAST_IDS of them and shuffles beyond.
 
 Edge cases: null, empty and word-less texts have no shingles and are linked with nothing; texts of fewer than five
 words are one shingle; equal sets share a class; a null doc_id is grouped like others but never names a component;
-repeated rows repeat; an empty table gives an empty result; other columns are ignored.
+repeated rows repeat; an empty table gives an empty result; other columns are ignored. ``keep_first`` goes by sets, so
+null and repeated ids lose no text that is a copy of none.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int = PERCEN
 
 # Frequencies and prefixes
 
-_SENT_SHAPE = "dest int, chunk string, part int, keys binary, counts binary, owners binary, docs array<{kind}>, sizes array<long>, sets array<long>, bits array<binary>"
+_SENT_SHAPE = "dest int, chunk string, part int, keys binary, counts binary, owners binary, docs array<{kind}>, sizes array<long>, sets array<long>, bits array<binary>, texts array<long>"
 _SENT = [x.split()[0] for x in _SENT_SHAPE.split(", ")]
 
 
@@ -128,10 +129,10 @@ def prefix(freq: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
 
 
 def _sender(ranges: int, kind):
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
     edges = range_edges(ranges)
 
-    def rows_of(ids: list, sets: list[np.ndarray], name: str):
+    def rows_of(ids: list, sets: list[np.ndarray], texts: list[int], name: str):
         names = [_set_id(x) if len(x) else None for x in sets]
         first: dict[int, int] = {}
         for i, s in enumerate(names):
@@ -146,25 +147,26 @@ def _sender(ranges: int, kind):
         keys, counts = tokens[lead], np.diff(np.append(lead, len(tokens)))
         name = f"{name}-{xxhash.xxh3_64_hexdigest(tokens.tobytes())}"
         cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-        rows = [(p, name, p, squeeze_sorted(keys[lo:hi]), squeeze(counts[lo:hi], "<u4"), None, None, None, None, None) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if lo < hi]
+        rows = [(p, name, p, squeeze_sorted(keys[lo:hi]), squeeze(counts[lo:hi], "<u4"), None, None, None, None, None, None) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if lo < hi]
         dest = ranges + xxhash.xxh3_64_intdigest(name.encode()) % ranges
-        rows.append((dest, name, -1, None, squeeze(counts, "<u4"), squeeze(owner, "<u4"), ids, [len(x) for x in sets], [x or 0 for x in names], [bitmap(x) if len(x) else None for x in sets]))
+        rows.append((dest, name, -1, None, squeeze(counts, "<u4"), squeeze(owner, "<u4"), ids, [len(x) for x in sets], [x or 0 for x in names], [bitmap(x) if len(x) else None for x in sets], texts))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_SENT)
 
     def send(batches):
-        task, count, size, ids, sets = TaskContext.get().partitionId(), 0, 0, [], []
+        task, count, size, ids, sets, texts = TaskContext.get().partitionId(), 0, 0, [], [], []
         for batch in batches:
             rows = (row for lo in range(0, batch.num_rows, TEXT_ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(lo, TEXT_ROWS).columns)))
-            for key, text in rows:
+            for key, text, name in rows:
                 found = shingles(text)
                 if ids and (size + len(found) > CHUNK_SHINGLES or len(ids) == CHUNK_DOCS):
-                    yield rows_of(ids, sets, f"{task}-{count}")
-                    count, size, ids, sets = count + 1, 0, [], []
+                    yield rows_of(ids, sets, texts, f"{task}-{count}")
+                    count, size, ids, sets, texts = count + 1, 0, [], [], []
                 ids.append(key)
                 sets.append(found)
+                texts.append(name)
                 size += len(found)
         if ids:
-            yield rows_of(ids, sets, f"{task}-{count}")
+            yield rows_of(ids, sets, texts, f"{task}-{count}")
 
     return send
 
@@ -239,18 +241,22 @@ def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": np.concatenate(token).view(np.int64), "s": np.array(s, np.int64), "n": np.array(n, np.int32), "l": np.array(l, np.int32)})
 
 
+def _text_name():
+    return F.xxhash64("text").alias("t")
+
+
 def _frequencies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, s, bits) of every document, and the rows (token, s, n, l) of shared prefix shingles."""
+    """(doc_id, t, n, s, bits) of every document, t being its text's hash, and the rows (token, s, n, l) of shared prefix shingles."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-size // RANGE_BYTES))
     shape = _SENT_SHAPE.format(kind=kind.simpleString())
-    sent = docs.select("doc_id", "text").mapInArrow(_sender(ranges, to_arrow_type(kind)), shape)
+    sent = docs.select("doc_id", "text", _text_name()).mapInArrow(_sender(ranges, to_arrow_type(kind)), shape)
     known = materialize(sent.groupBy("dest").applyInPandas(_answers, shape), "shingles")
-    rows = known.filter("part < 0").select(F.explode(F.arrays_zip("docs", "sizes", "sets", "bits")).alias("x"))
-    profiles = materialize(rows.select(F.col("x.docs").alias("doc_id"), F.col("x.sizes").alias("n"), F.expr("if(x.sizes > 0, x.sets, null)").alias("s"), F.col("x.bits").alias("bits")), "profiles")
+    rows = known.filter("part < 0").select(F.explode(F.arrays_zip("docs", "texts", "sizes", "sets", "bits")).alias("x"))
+    profiles = materialize(rows.select(F.col("x.docs").alias("doc_id"), F.col("x.texts").alias("t"), F.col("x.sizes").alias("n"), F.expr("if(x.sizes > 0, x.sets, null)").alias("s"), F.col("x.bits").alias("bits")), "profiles")
     found = known.select("chunk", "part", "keys", "counts", "owners", "sizes", "sets").groupBy("chunk").applyInPandas(_prefixes, "token long, s long, n int, l int")
     found = materialize(found.dropDuplicates(["token", "s"]), "prefixes")
     drop_table(known)
@@ -315,12 +321,16 @@ def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
     return found.withColumn("component", F.coalesce("component", "s")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The profile of every row of ``docs``; and (s, first, component) of every set, components named by sets.
+
+    ``first`` orders and names the first row of a set: by doc_id, null last, then by text hash.
+    """
     docs = docs.select("doc_id", "text")
     profiles, found = _frequencies(docs)
-    nodes = profiles.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    nodes = materialize(nodes, "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")).alias("first")
+    nodes = profiles.filter("s is not null").groupBy("s").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = materialize(nodes.withColumn("doc", F.col("first.doc_id")), "nodes")
     rest = materialize(_contended(found.withColumn("component", F.col("s")).withColumn("members", F.lit(1).cast("long"))), "entries")
 
     links = components = None
@@ -352,18 +362,38 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     links = more if links is None else links.unionByName(more)
     components = connected_components(links)
 
-    names = nodes.select("s", "doc").join(components.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    names = materialize(names, "names")
-    smallest = names.groupBy("component").agg(F.min("doc").alias("component_id"))
+    names = nodes.select("s", "first").join(components.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    return profiles, materialize(names, "names")
+
+
+def similarity_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+    profiles, names = _components(docs)
+    smallest = names.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     named = names.join(smallest, "component").select("s", "component_id")
     return profiles.join(named, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that name their component: one document of each group."""
-    found = similarity_classes(docs)
-    kept = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.filter("k > 1 OR doc_id IS NULL").limit(1).count():  # repeated ids: one row of each stays
-        out = docs.join(kept.select(F.col("doc_id").alias("kept_id")), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs``, with all their columns, that no earlier row of their component precedes.
+
+    Rows come in the order of doc_id, null last, then of the text's hash; of rows equal in both, one stays: that of the
+    smallest hash of all columns. Rows without shingles are near copies of nothing, and all stay.
+    """
+    profiles, names = _components(docs)
+    survivors = names.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.t", F.lit(True).alias("stays"))
+    rows = profiles.filter("s is not null").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k"))
+    here = lambda found, text: found["doc_id"].eqNullSafe(F.col("kept_id")) & (text == F.col("kept_t"))
+    kept = survivors.withColumnsRenamed({"doc_id": "kept_id", "t": "kept_t"})
+    rows = rows.join(kept, here(rows, rows["t"]), "left").select("doc_id", "t", "k", F.col("stays").isNotNull().alias("stays"))
+    # only keys that go or repeat are looked up: up to BROADCAST_IDS of them, texts need no exchange
+    special = materialize(rows.filter("k > 1 OR NOT stays").select(F.col("doc_id").alias("kept_id"), F.col("t").alias("kept_t"), "stays"), "repeats")
+    look = F.broadcast if special.count() <= BROADCAST_IDS else lambda x: x
+    same = here(docs, F.xxhash64(docs["text"]))
+    out = docs.join(look(special), same, "left_anti")
+    repeated = special.filter("stays")
+    if repeated.limit(1).count():
+        hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        whole = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in hashed])).alias("row")
+        out = out.unionByName(docs.join(look(repeated), same).groupBy("kept_id", "kept_t").agg(whole).select("row.*"))
     return out

@@ -135,6 +135,20 @@ def test_similarity_classes(docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got.values()})
 
 
+def test_keep_first_keeps_texts_of_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    long = [" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(6)]
+    rows = [(None, long[0], "a"), (None, long[1], "b"), (None, long[1], "c"), (None, long[2] + " new", "d"), (None, None, "e"), (None, "", "f"), (None, "", "g")]
+    rows += [(7, long[2], "h"), (7, long[3], "i"), (7, long[3], "i"), (9, long[4], "j"), (8, long[4], "k"), (8, long[5], "l"), (5, "", "m"), (5, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string")
+    kept = ngram_join.keep_first(docs)
+    got = Counter((x.doc_id, x.text) for x in kept.collect())
+    want = [(None, long[0]), (None, long[1]), (None, None), (None, ""), (None, ""), (7, long[2]), (7, long[3]), (8, long[4]), (8, long[5]), (5, ""), (5, "")]
+    assert kept.columns == docs.columns and got == Counter(want)
+    many = [(None, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(40)]
+    assert ngram_join.keep_first(spark.createDataFrame(many, "doc_id long, text string")).count() == 40
+
+
 def test_bitmaps_reject_no_similar_pair():
     r = np.random.default_rng(2)
     for _ in range(200):
