@@ -1,9 +1,9 @@
 """N-gram Jaccard join: connected components of documents whose shingle sets are similar, exactly.
 
-Adaptive multi-match prefixes. Shingles are ordered by corpus frequency, rarest first. Two sets of Jaccard similarity t
+Adaptive prefixes. Shingles are ordered by corpus frequency, rarest first. Two sets of Jaccard similarity t
 share at least ceil(t n) shingles of either one's n; so with prefixes of n - ceil(t n) + l shingles they share at least
-l. Each document picks the l (1 to MAX_MATCHES) whose longer prefix promises fewer candidates, and a pair shares
-min(l, l') prefix shingles or is not similar.
+l. Each document picks the l (1 to MAX_MATCHES) whose longer prefix promises fewer candidates. That a pair must share
+min(l, l') prefix shingles is NOT required of candidates (the README says why): they are a superset, verified exactly.
 
 1. One pass hashes each text's shingles. A task cuts its documents into chunks and sends each chunk's distinct shingles,
    with the number of its sets that hold them, to ranges of the hash space, packed; which sets hold them stays with
@@ -352,7 +352,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
 
     # what is left: components that meet in a shingle; all pairs of their members
-    held = rest.groupBy("token", "component").agg(F.max("l").alias("l"))
+    held = rest.select("token", "component").distinct()
     met = held.select("token", F.col("component").alias("c_a")).join(held.select("token", F.col("component").alias("c_b")), "token").filter("c_a < c_b")
     met = met.select("c_a", "c_b").distinct()
     members = rest.select("s", "component", "n").distinct()
