@@ -6,6 +6,10 @@ often the corpus holds them, rarest first; a pair is verified only if it shares
 order and the threshold leave (prefix filter), the block has enough of the notices' words (length filter), and the
 places of the shared word leave enough words after it (positional filter). All three lose no pair.
 
+Notices of kindred licenses differ in a word or two, which containment cannot tell apart. A notice may therefore have a
+mark, a pattern of what names its license, as "gnu affero"; a pair that meets counts only if the block, with the MARGIN
+words around it, holds the mark.
+
 Edge cases: null and empty texts have no words, no labels and score 0; a notice cut by a block's edge is found in the
 next block; equal rows give equal results; an empty table gives an empty result; other columns are ignored.
 """
@@ -25,26 +29,31 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Public license notices (first sentences), with the labels that containment gives.
+_PLAIN_GNU = " gnu (?!affero |lesser |library )"
+
+# Public license notices (first sentences), with the labels that containment gives and, where other
+# licenses' notices come near, what marks the license. Words of a text stand between single spaces.
 NOTICES = [
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", " (?:gnu affero|affero general) "),
+    ("apache-2.0", "licensed under the apache license version 2 0", " apache "),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org", " apache "),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", " attribution (?!non|share|no )"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", " by nc (?!sa |nd )"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", " by sa "),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", _PLAIN_GNU + "(?!general public license (?:version |v )?v?[12] )"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", _PLAIN_GNU),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("mit", "released under the mit license"),
+    ("lgpl", "licensed under the gnu lesser general public license", " (?:lesser|library) general "),
+    ("mit", "released under the mit license", " mit "),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", " mozilla (?!public license (?:version |v )?v?1 )"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 BLOCK, STRIDE = 48, 24
+#: Words on each side of a block where the rest of a mark may stand.
+MARGIN = 4
 THRESHOLD = 0.8
 
 #: What separates words, once letters are lower case.
@@ -74,23 +83,26 @@ def word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: n for w, n in each.groupBy("word").count().collect()}
 
 
-def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of ``docs``."""
-    notices = notices if notices is not None else NOTICES
-    if any(not 0 < len(t.split()) <= STRIDE for _, t in notices):
+def scan_licenses(docs: DataFrame, notices: list[tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of ``docs``.
+
+    ``notices``: labels with texts and, where needed, marks.
+    """
+    notices = [(*x, "")[:3] for x in (notices if notices is not None else NOTICES)]
+    if any(not 0 < len(t.split()) <= STRIDE for _, t, _ in notices):
         raise ValueError(f"a notice has 1 to {STRIDE} words")
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, t in notices for w in t.split()})
+    vocabulary = sorted({w for _, t, _ in notices for w in t.split()})
     seen = word_counts(docs, vocabulary)
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order, 1)}
     entries = []
-    for k, (label, text) in enumerate(notices):
+    for k, (label, text, mark) in enumerate(notices):
         ranks = sorted(rank[w] for w in set(text.split()))
         need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
-        entries += [(r, at, k, label, need, ranks) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
-    prefixes = spark.createDataFrame(entries, "word_rank int, notice_at int, notice int, label string, need int, notice_ranks array<int>")
+        entries += [(r, at, k, label, need, ranks, mark) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
+    prefixes = spark.createDataFrame(entries, "word_rank int, notice_at int, notice int, label string, need int, notice_ranks array<int>, mark string")
     first_words = sorted({order[r - 1] for r, *_ in entries})
 
     # texts that hold no prefix word of any notice can meet none
@@ -99,13 +111,15 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None,
     candidates = texts.filter(held).dropDuplicates(["key"]).select("key", _words().alias("words"))
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE)))
     known = F.array(*[F.lit(w) for w in order])
-    blocks = candidates.select("key", "words", starts.alias("start")).select("key", F.slice("words", F.col("start") + 1, BLOCK).alias("words"))
+    around = F.slice("words", F.greatest(F.col("start") + 1 - MARGIN, F.lit(1)), BLOCK + 2 * MARGIN)
+    around = F.concat(F.lit(" "), F.array_join(around, " "), F.lit(" ")).alias("around")
+    blocks = candidates.select("key", "words", starts.alias("start")).select("key", F.slice("words", F.col("start") + 1, BLOCK).alias("words"), around)
     ranks = F.array_sort(F.array_distinct(F.transform(F.array_intersect("words", known), lambda w: F.array_position(known, w).cast("int"))))
-    shared = blocks.select("key", ranks.alias("ranks")).filter(F.size("ranks") > 0).select("key", "ranks", F.posexplode("ranks").alias("at", "word_rank"))
+    shared = blocks.select("key", ranks.alias("ranks"), "around").filter(F.size("ranks") > 0).select("key", "ranks", "around", F.posexplode("ranks").alias("at", "word_rank"))
     left = F.least(F.size("notice_ranks") - F.col("notice_at"), F.size("ranks") - F.col("at"))
     met = shared.join(F.broadcast(prefixes), "word_rank").filter((F.size("ranks") >= F.col("need")) & (left >= F.col("need")))
     common = F.size(F.array_intersect("ranks", "notice_ranks"))
-    met = met.filter(common >= F.col("need")).groupBy("key").agg(F.collect_set("label").alias("found"), F.max(common / F.size("notice_ranks")).alias("best"))
+    met = met.filter(common >= F.col("need")).filter((F.col("mark") == "") | F.regexp_like("around", F.col("mark"))).groupBy("key").agg(F.collect_set("label").alias("found"), F.max(common / F.size("notice_ranks")).alias("best"))
 
     rows = texts.select("doc_id", "key", "joined", _words().alias("words"))
     rows = rows.select("doc_id", "key", F.size("words").alias("n_words"), *[_places(p).alias(f"p{i}") for i, p in enumerate(PHRASES)])

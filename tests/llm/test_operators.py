@@ -113,6 +113,32 @@ def test_license_scan(docs):
     assert got[8].n_words == 1
 
 
+def test_license_scan_gives_no_label_of_another_license(spark):
+    by, terms = "This work is licensed under ", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+    want = {
+        by + "the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        by + "the GNU General Public License, version 2.": "gpl",
+        by + "the GNU Affero General Public License, version 3.": "agpl-3.0",
+        "Licensed under the GNU Lesser General Public License, version 3.": "lgpl",
+        terms + "GNU General Public License": "gpl",
+        terms + "GNU Affero General Public License": "",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+        "Licensed under CC BY 4.0.": "cc-by",
+        by + "a Creative Commons Attribution 4.0 International License": "cc-by",
+        by + "a Creative Commons Attribution-ShareAlike 4.0 International License": "",
+        "Licensed under the Apache License, Version 2.0.": "apache,apache-2.0",
+        "Licensed under the Educational Community License, Version 2.0.": "",
+        "Released under the MIT License.": "mit",
+        "Released under the ISC License.": "",
+        by + "the GNU General Public License, version 3. " + "x " * 15 + "Licensed under the GNU Lesser General Public License.": "gpl,gpl-3.0,lgpl",
+    }
+    rows = [(1000 * k + pad, "pad " * pad + text) for k, text in enumerate(want) for pad in (0, 1, 20, 23, 24, 40, 47)]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, labels) in enumerate(want.items()):
+        assert {got[1000 * k + pad] for pad in (0, 1, 20, 23, 24, 40, 47)} == {labels}, text
+
+
 def test_sharding_moves_rows_only_to_the_new_shard(spark):
     docs = spark.range(5000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
     rows = sharding.shard_documents(docs, 24).collect()
