@@ -7,7 +7,7 @@ is compared with all of them by blocked exact cosine products, and its NEIGHBOUR
 
 Edge cases: a null or empty text has the zero vector and scores the sample's mean label; labels without a row, and
 rows without a label, play no part; a document labelled more than once counts with its largest label; without any
-usable label every score is 0.5; equal texts score equally; an empty table gives an empty result; extra columns are
+usable label every score is 0.5 and ``keep_good`` keeps every row; equal texts score equally; an empty table gives an empty result; extra columns are
 ignored by ``score_documents`` and kept by ``keep_good``.
 """
 
@@ -123,6 +123,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model
     """A model from at most ``rows`` labelled documents outside the held-out fold; only these reach the driver."""
     usable = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
+    usable = usable.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels without a row take no place
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` small rows
 
@@ -166,8 +167,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, reject_below: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``reject_below``."""
-    score = _scorer(fit_model(docs, labels), docs.sparkSession)
+    """The rows of ``docs``, with all their columns, whose score is at least ``reject_below``; all without usable labels."""
+    model = fit_model(docs, labels)
+    if not len(model.labels):
+        return docs
+    score = _scorer(model, docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -210,6 +210,14 @@ def test_quality_classifier(docs, labels):
     assert quality_classifier.score_documents(docs, labels.filter("false")).filter("score <> 0.5").count() == 0
 
 
+def test_labels_without_rows_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"{WORDS[i % 16]} text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    assert len(quality_classifier.fit_model(docs, labels, 8).labels) == 8
+    assert quality_classifier.keep_good(docs, labels.filter("doc_id >= 40"), 0.7).count() == 40
+    assert quality_classifier.keep_good(docs, labels.filter("false"), 0.7).count() == 40
+
+
 def test_empty_tables(docs, labels):
     none = docs.filter("doc_id < 0")
     for made in (
