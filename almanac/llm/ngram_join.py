@@ -1,26 +1,29 @@
 """N-gram Jaccard join: connected components of documents whose shingle sets are similar, exactly.
 
-Adaptive prefixes. Shingles are ordered by corpus frequency, rarest first. Two sets of Jaccard similarity t
+Adaptive multi-match prefixes. Shingles are ordered by corpus frequency, rarest first. Two sets of Jaccard similarity t
 share at least ceil(t n) shingles of either one's n; so with prefixes of n - ceil(t n) + l shingles they share at least
-l. Each document picks the l (1 to MAX_MATCHES) whose longer prefix promises fewer candidates. That a pair must share
-min(l, l') prefix shingles is NOT required of candidates (the README says why): they are a superset, verified exactly.
+l. Each document picks the l (1 to MAX_MATCHES) whose longer prefix promises fewer candidates, and a pair is verified
+only if its prefixes share min(l, l') shingles.
 
 1. One pass hashes each text's shingles. A task cuts its documents into chunks and sends each chunk's distinct shingles,
    with the number of its sets that hold them, to ranges of the hash space, packed; which sets hold them stays with
    the chunk's own row, so a shingle of many sets costs a range one entry a chunk. A range answers with the shingles
    that two or more sets hold, and in how many they are.
-2. Each chunk picks its sets' prefixes. Shingles of one set only come first in them and are never sent on.
-3. In each round every kept shingle links its sets to one hub, of its largest component so far; hub pairs are verified
-   and joined into components. Families of thousands of near copies collapse here in about as many checks as they have
-   members. Rounds end when one settles less than WORTH of the entries; the last step covers what they leave.
-4. Shingles whose sets already share one component are done. For the others, the components that meet are paired, and
-   all pairs of their members are filtered by length and by bitmap and verified. No link between texts is lost.
-
-The bitmap of a set has a bit for each shingle, modulo its width; two sets differ in at least as many shingles as their
-bitmaps do in bits, so a pair whose bitmaps differ too much cannot reach the threshold.
-
-Sets are named by 64-bit hashes, as are shingles. Texts of documents to verify are fetched by a join that broadcasts
-their ids up to BROADCAST_IDS of them and shuffles beyond.
+2. Each chunk picks its sets' prefixes. Shingles of one set only come first in them and are never sent on; the position
+   of the first shared one is kept.
+3. Every prefix shingle names one hub, the set in which it comes earliest, and links its other sets to it. Around a
+   common origin of many near copies that is the origin: the family collapses in about as many checks as it has members.
+4. A shingle whose sets are in one component by then is done. For the others, sets of different components are paired,
+   those of a shingle's largest component only with the rest. No link between different texts is lost.
+
+A pair of either step passes four filters before it is verified: lengths; positions, since sets whose first common
+shingle stands at places p and q share at most min(n - p, n' - q); the min(l, l') shared prefix shingles; and then the
+shingles of both texts, exactly. Step 4 costs what passes the first two: a family whose members are many, near, but
+not within the threshold of each other, and without rare shingles of their own, is compared member by member.
+
+Sets are named by 64-bit hashes, as are shingles. Texts to verify are fetched by doc_id and text hash, by a join that
+broadcasts these keys up to BROADCAST_BYTES and shuffles beyond. Chunks and ranges grow with the square root of the
+input, so that the rows sent, one for each chunk and range, hold about as many shingles at every size.
 
 Edge cases: null, empty and word-less texts have no shingles and are linked with nothing; texts of fewer than five
 words are one shingle; equal sets share a class; a null doc_id is grouped like others but never names a component;
@@ -30,15 +33,17 @@ null and repeated ids lose no text that is a copy of none.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import drop_table, materialize
+from almanac.llm.common import drop_tables, materialize
 from almanac.llm.components import connected_components
 from almanac.llm.packed import range_edges, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from almanac.llm.words import word_hashes
@@ -46,20 +51,20 @@ from almanac.llm.words import word_hashes
 WIDTH = 5
 PERCENT = 75
 MAX_MATCHES = 4
-ROUNDS = 8
-#: A round is followed by another if it settles this share of the entries.
-WORTH = 0.1
-#: Hubs that a set is compared with in one round; the last step covers what this leaves.
+#: Hubs that a set is compared with in step 3; step 4 covers what this leaves.
 HUBS = 3
+#: The least shingles of a chunk and of a range, and how many a row sent from one to the other should hold.
 CHUNK_SHINGLES = 1 << 19
-CHUNK_DOCS = 4096
-#: Bytes of text for each range of shingles.
-RANGE_BYTES = 12 << 20
+RANGE_SHINGLES = 1 << 21
+ROW_SHINGLES = 64
+#: Bytes of text that bring about one shingle.
+SHINGLE_BYTES = 6
 #: Shingles of a range that are sorted together.
 SLICE_SHINGLES = 1 << 18
 #: Texts taken out of an Arrow batch together.
 TEXT_ROWS = 256
-BROADCAST_IDS = 2_000_000
+#: Keys of texts up to this size are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -89,29 +94,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    """Bits of the shingles modulo a power of two, at least twice their number."""
-    width = max(64, 1 << (2 * len(found) - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[(found & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int = PERCENT) -> bool:
-    """False only for pairs below the threshold."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    apart = int(np.bitwise_count(x ^ y).sum())
-    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
-
-
 # Frequencies and prefixes
 
-_SENT_SHAPE = "dest int, chunk string, part int, keys binary, counts binary, owners binary, docs array<{kind}>, sizes array<long>, sets array<long>, bits array<binary>, texts array<long>"
+_SENT_SHAPE = "dest int, chunk string, part int, keys binary, counts binary, owners binary, docs array<{kind}>, sizes array<long>, sets array<long>, texts array<long>"
 _SENT = [x.split()[0] for x in _SENT_SHAPE.split(", ")]
+_PROFILE = [("doc_id", None), ("t", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("l", pa.int32()), ("at", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+
+
+def _plan(size: int) -> tuple[int, int]:
+    """Shingles of a chunk, and the number of ranges, for ``size`` bytes of text."""
+    total = size // SHINGLE_BYTES
+    side = math.isqrt(ROW_SHINGLES * total)
+    return max(CHUNK_SHINGLES, side), max(16, -(-total // max(RANGE_SHINGLES, side)))
 
 
 def prefix(freq: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
@@ -128,9 +122,10 @@ def prefix(freq: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
     return int(held[matches]), matches + 1
 
 
-def _sender(ranges: int, kind):
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+def _sender(chunk_shingles: int, ranges: int, kind):
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     edges = range_edges(ranges)
+    chunk_docs = chunk_shingles // 128
 
     def rows_of(ids: list, sets: list[np.ndarray], texts: list[int], name: str):
         names = [_set_id(x) if len(x) else None for x in sets]
@@ -140,16 +135,16 @@ def _sender(ranges: int, kind):
                 first.setdefault(s, i)
         own = list(first.values())
         tokens = np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in own)])
-        owner = np.repeat(np.array(own, np.int64), [len(sets[i]) for i in own])
+        owner = np.repeat(np.array(own, np.uint32), [len(sets[i]) for i in own])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         lead = np.flatnonzero(np.concatenate([np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1]]))
         keys, counts = tokens[lead], np.diff(np.append(lead, len(tokens)))
         name = f"{name}-{xxhash.xxh3_64_hexdigest(tokens.tobytes())}"
         cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-        rows = [(p, name, p, squeeze_sorted(keys[lo:hi]), squeeze(counts[lo:hi], "<u4"), None, None, None, None, None, None) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if lo < hi]
+        rows = [(p, name, p, squeeze_sorted(keys[lo:hi]), squeeze(counts[lo:hi], "<u4"), None, None, None, None, None) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if lo < hi]
         dest = ranges + xxhash.xxh3_64_intdigest(name.encode()) % ranges
-        rows.append((dest, name, -1, None, squeeze(counts, "<u4"), squeeze(owner, "<u4"), ids, [len(x) for x in sets], [x or 0 for x in names], [bitmap(x) if len(x) else None for x in sets], texts))
+        rows.append((dest, name, -1, None, squeeze(counts, "<u4"), squeeze(owner, "<u4"), ids, [len(x) for x in sets], [x or 0 for x in names], texts))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_SENT)
 
     def send(batches):
@@ -158,7 +153,7 @@ def _sender(ranges: int, kind):
             rows = (row for lo in range(0, batch.num_rows, TEXT_ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(lo, TEXT_ROWS).columns)))
             for key, text, name in rows:
                 found = shingles(text)
-                if ids and (size + len(found) > CHUNK_SHINGLES or len(ids) == CHUNK_DOCS):
+                if ids and (size + len(found) > chunk_shingles or len(ids) == chunk_docs):
                     yield rows_of(ids, sets, texts, f"{task}-{count}")
                     count, size, ids, sets, texts = count + 1, 0, [], [], []
                 ids.append(key)
@@ -181,13 +176,12 @@ def _slices(parts: list[np.ndarray]):
         yield [(x[k], x[k + 1]) for x in ends]
 
 
-def _answers(rows: pd.DataFrame) -> pd.DataFrame:
+def _answers(rows: pa.Table) -> pa.Table:
     """For a range of shingles: which of each chunk's are in two or more sets, and in how many."""
-    if rows["part"].iloc[0] < 0:
+    if rows.column("part")[0].as_py() < 0:
         return rows
-    rows = rows.reset_index(drop=True)
-    parts = [unsqueeze_sorted(x) for x in rows["keys"]]
-    counts = [unsqueeze(x, "<u4") for x in rows["counts"]]
+    parts = [unsqueeze_sorted(x) for x in rows.column("keys").to_pylist()]
+    counts = [unsqueeze(x, "<u4") for x in rows.column("counts").to_pylist()]
     shared, totals = [[] for _ in parts], [[] for _ in parts]
     for cut in _slices(parts):  # a slice of the keys at a time bounds what sorting them takes
         unique, at = np.unique(np.concatenate([x[lo:hi] for x, (lo, hi) in zip(parts, cut)]), return_inverse=True)
@@ -203,22 +197,26 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
         keys.append(squeeze_sorted(own[at]))
         freqs.append(squeeze(total, "<u8"))
         places.append(len(own).to_bytes(8, "little") + squeeze_sorted(at.astype(np.uint64)))
-    rows["keys"], rows["counts"], rows["owners"] = keys, freqs, places
+    for name, found in (("keys", keys), ("counts", freqs), ("owners", places)):
+        rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(found, pa.binary()))
     return rows
 
 
-def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
-    """(token, s, n, l) of the shared prefix shingles of a chunk's sets."""
-    own = rows[rows["part"] < 0].iloc[0]
-    answers = rows[rows["part"] >= 0].sort_values("part")
-    counts, owner = unsqueeze(own["counts"], "<u4").astype(np.int64), unsqueeze(own["owners"], "<u4").astype(np.int64)
+def _prefixes(rows: pa.Table) -> pa.Table:
+    """The profile of every document of a chunk; the prefix of a set stands with its first document."""
+    part = np.array(rows.column("part"))
+    ranked = np.argsort(part, kind="stable")  # the chunk's own row has the part -1
+    get = lambda name: rows.column(name).take(pa.array(ranked))
+    own = {k: get(k)[0].as_py() for k in ("chunk", "sizes", "sets")}
+    packed, owners = get("counts").to_pylist(), get("owners").to_pylist()
+    counts, owner = unsqueeze(packed[0], "<u4").astype(np.int64), unsqueeze(owners[0], "<u4").astype(np.int64)
     shift, keys, freqs, places = 0, [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for k, f, p in zip(answers["keys"], answers["counts"], answers["owners"]):
+    for k, f, p in zip(get("keys").to_pylist()[1:], packed[1:], owners[1:]):
         keys.append(unsqueeze_sorted(k))
         freqs.append(unsqueeze(f, "<u8"))
         places.append(unsqueeze_sorted(p[8:]).astype(np.int64) + shift)
         shift += int.from_bytes(p[:8], "little")
-    if shift != len(counts):
+    if part[ranked[0]] >= 0 or shift != len(counts):
         raise RuntimeError(f"chunk {own['chunk']}: answers for {shift} of {len(counts)} shingles")
     keys, freqs, places = np.concatenate(keys), np.concatenate(freqs).astype(np.int64), np.concatenate(places)
     times = counts[places]
@@ -227,65 +225,56 @@ def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
     owner, keys, freqs = owner[entry], np.repeat(keys, times), np.repeat(freqs, times)
     order = np.lexsort((keys, freqs, owner))  # rarest first in each set
     owner, keys, freqs = owner[order], keys[order], freqs[order]
-    sizes, sets = own["sizes"], own["sets"]
+    sizes, docs = own["sizes"], len(own["sizes"])
+    matches, at, held = [None] * docs, [None] * docs, [None] * docs
     cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]])).tolist() + [len(owner)]
-    token, s, n, l = [np.empty(0, np.uint64)], [], [], []  # noqa: E741
     for lo, hi in zip(cut[:-1], cut[1:]):
         i = int(owner[lo])
-        many, matches = prefix(freqs[lo:hi], int(sizes[i]))
+        many, least = prefix(freqs[lo:hi], sizes[i])
         if many:
-            token.append(keys[lo : lo + many])
-            s += [int(sets[i])] * many
-            n += [int(sizes[i])] * many
-            l += [matches] * many  # noqa: E741
-    return pd.DataFrame({"token": np.concatenate(token).view(np.int64), "s": np.array(s, np.int64), "n": np.array(n, np.int32), "l": np.array(l, np.int32)})
-
-
-def _text_name():
-    return F.xxhash64("text").alias("t")
+            matches[i], at[i], held[i] = least, sizes[i] - (hi - lo), keys[lo : lo + many].view(np.int64)
+    names = [s if n else None for s, n in zip(own["sets"], sizes)]
+    columns = [get("docs")[0].values, get("texts")[0].values, sizes, names, matches, at, held]
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k) in zip(columns, _PROFILE)], names=[x for x, _ in _PROFILE])
 
 
-def _frequencies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, t, n, s, bits) of every document, t being its text's hash, and the rows (token, s, n, l) of shared prefix shingles."""
+def _profiles(docs: DataFrame) -> DataFrame:
+    """For every document: its text's hash t, the size n and name s of its set, and of one document of each set in a
+    chunk the matches l, the shared shingles of the prefix, and where the first of them stands."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(16, -(-size // RANGE_BYTES))
+    chunk, ranges = _plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shape = _SENT_SHAPE.format(kind=kind.simpleString())
-    sent = docs.select("doc_id", "text", _text_name()).mapInArrow(_sender(ranges, to_arrow_type(kind)), shape)
-    known = materialize(sent.groupBy("dest").applyInPandas(_answers, shape), "shingles")
-    rows = known.filter("part < 0").select(F.explode(F.arrays_zip("docs", "texts", "sizes", "sets", "bits")).alias("x"))
-    profiles = materialize(rows.select(F.col("x.docs").alias("doc_id"), F.col("x.texts").alias("t"), F.col("x.sizes").alias("n"), F.expr("if(x.sizes > 0, x.sets, null)").alias("s"), F.col("x.bits").alias("bits")), "profiles")
-    found = known.select("chunk", "part", "keys", "counts", "owners", "sizes", "sets").groupBy("chunk").applyInPandas(_prefixes, "token long, s long, n int, l int")
-    found = materialize(found.dropDuplicates(["token", "s"]), "prefixes")
-    drop_table(known)
-    return profiles, found
+    sent = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_sender(chunk, ranges, to_arrow_type(kind)), shape)
+    known = sent.groupBy("dest").applyInArrow(_answers, shape)
+    found = known.groupBy("chunk").applyInArrow(_prefixes, f"doc_id {kind.simpleString()}, t long, n long, s long, l int, at long, prefix array<long>")
+    return materialize(found, "profiles")
 
 
-# Verification
+# Candidates and their verification
 
+_FITS = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+_REACHES = f"{100 + PERCENT} * least(n_a - p_a, n_b - p_b) >= {PERCENT} * (n_a + n_b)"
 
-def _possible(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose lengths and bitmaps leave the threshold within reach."""
-    side = lambda k: nodes.select(F.col("s").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    loaded = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").filter(_FITS)
-
-    def check(batches):
-        for batch in batches:
-            good = list(map(may_be_similar, *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return loaded.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(check, "a long, b long")
+def _entries(nodes: DataFrame, *more: str) -> DataFrame:
+    """(token, s, n, p) of every prefix shingle, p being its position in its set."""
+    found = nodes.filter("prefix is not null").select("s", "n", "at", *more, F.posexplode("prefix").alias("step", "token"))
+    return found.select("token", "s", "n", (F.col("at") + F.col("step")).alias("p"), *more)
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) of sets whose similarity reaches the threshold."""
-    pairs = materialize(_possible(nodes, pairs), "possible")
+    """The rows of ``pairs`` (a, b) of sets that share min(l, l') prefix shingles and whose similarity reaches the threshold."""
+    side = lambda k: nodes.filter("prefix is not null").select(F.col("s").alias(k), F.col("l").alias(f"l_{k}"), F.col("prefix").alias(f"prefix_{k}"))
+    matched = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("l_a", "l_b")
+    pairs = materialize(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").filter(matched).select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    wanted = materialize(nodes.join(ends, "s", "left_semi").select("doc").distinct(), "wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc"]), "left_semi").select("text")
+    wanted = materialize(nodes.join(ends, "s", "left_semi").select(F.col("first.doc_id").alias("key"), F.col("first.t").alias("name")), "wanted")
+    size = wanted.agg(F.sum(F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + 16)).first()[0] or 0
+    ids = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
+    here = docs["doc_id"].eqNullSafe(ids["key"]) & (F.xxhash64(docs["text"]) == ids["name"])
+    texts = docs.join(ids, here, "left_semi").select("text")
 
     def make(batches):
         for batch in batches:
@@ -302,98 +291,105 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             good = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(loaded.select("a", "b", "left", "right").mapInArrow(check, "a long, b long"), "links")
+    links = materialize(loaded.select("a", "b", "left", "right").mapInArrow(check, "a long, b long"), "links")
+    drop_tables(pairs, wanted, sets)
+    return links
 
 
-_FITS = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+def _stars(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the hub of a prefix shingle and another of its sets: for each b the HUBS that it meets most often."""
+    entries = _entries(nodes)
+    order = F.struct(F.expr("(n - p) / n").alias("reach"), F.xxhash64("s").alias("x"), "s", "n", "p")
+    hubs = entries.groupBy("token").agg(F.max(order).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    stars = entries.join(hubs, "token").filter("s <> hub.s").selectExpr("hub.s AS a", "s AS b", "hub.n AS n_a", "hub.p AS p_a", "n AS n_b", "p AS p_b")
+    stars = stars.filter(_FITS).filter(_REACHES).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    best = Window.partitionBy("b").orderBy(F.desc("k"), "a")
+    return stars.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS).select("a", "b")
+
 
+def _contended(nodes: DataFrame) -> DataFrame:
+    """The entries of shingles that two components or more hold, with the component that holds each most often.
 
-def _contended(rows: DataFrame) -> DataFrame:
-    """The rows whose token is held by two components or more."""
-    tokens = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    return rows.join(tokens, "token", "left_semi")
+    Entries that come too late in their set for any partner of their shingle are left out.
+    """
+    entries = _entries(nodes, "component")
+    held = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+    tokens = held.groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.min("least").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    rows = entries.join(tokens.select("token", F.col("most.component").alias("major"), "least"), "token")
+    return rows.filter(f"{100 + PERCENT} * (n - p) >= {PERCENT} * (n + greatest(least, {PERCENT} * n / 100))").drop("least")
 
 
-def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    named = components.join(sizes, "component").withColumnRenamed("node", "s")
-    found = rows.drop("component", "members").join(named, "s", "left")
-    return found.withColumn("component", F.coalesce("component", "s")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+def _rest(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in a shingle, one of them outside its largest component."""
+    side = lambda rows, k: rows.select("token", "major", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "component", "n", "p")]).withColumnRenamed("major", f"major_{k}")
+    minor = side(entries.filter("component <> major"), "a")
+    met = minor.join(side(entries, "b"), "token").filter("component_a <> component_b AND (component_b = major_b OR s_a < s_b)")
+    return met.filter(_FITS).filter(_REACHES).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
 
 
-def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The profile of every row of ``docs``; and (s, first, component) of every set, components named by sets.
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The profile of every row of ``docs``; (s, first, component) of every set, components named by sets; and written
+    tables to drop once both have been read.
 
     ``first`` orders and names the first row of a set: by doc_id, null last, then by text hash.
     """
     docs = docs.select("doc_id", "text")
-    profiles, found = _frequencies(docs)
+    profiles = _profiles(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")).alias("first")
-    nodes = profiles.filter("s is not null").groupBy("s").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"))
-    nodes = materialize(nodes.withColumn("doc", F.col("first.doc_id")), "nodes")
-    rest = materialize(_contended(found.withColumn("component", F.col("s")).withColumn("members", F.lit(1).cast("long"))), "entries")
-
-    links = components = None
-    for turn in range(ROUNDS):
-        order = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: B023, E731
-        hubs = rest.groupBy("token").agg(F.max(F.struct("members", order("component").alias("x"), order("s").alias("y"), "s", "component", "n")).alias("hub"))
-        stars = rest.join(hubs, "token").filter("component <> hub.component").select(F.col("hub.s").alias("a"), F.col("s").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-        stars = stars.filter(_FITS).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-        best = Window.partitionBy("b").orderBy(F.desc("k"), "a")
-        found = _verified(docs, nodes, stars.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS))
-        if not found.limit(1).count():
-            break
-        links = found if links is None else links.unionByName(found)
-        components = materialize(connected_components(links), "components")
-        before, rest = rest, materialize(_contended(_labelled(rest, components)), "contended")
-        had, has = before.count(), rest.count()
-        drop_table(before)
-        if has > (1 - WORTH) * had:
-            break
-
-    # what is left: components that meet in a shingle; all pairs of their members
-    held = rest.select("token", "component").distinct()
-    met = held.select("token", F.col("component").alias("c_a")).join(held.select("token", F.col("component").alias("c_b")), "token").filter("c_a < c_b")
-    met = met.select("c_a", "c_b").distinct()
-    members = rest.select("s", "component", "n").distinct()
-    left = members.select(F.col("s").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    right = members.select(F.col("s").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    more = _verified(docs, nodes, met.join(left, "c_a").join(right, "c_b").filter(_FITS))
-    links = more if links is None else links.unionByName(more)
-    components = connected_components(links)
-
-    names = nodes.select("s", "first").join(components.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    return profiles, materialize(names, "names")
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "l", "at", "prefix")]
+    nodes = materialize(profiles.filter("s is not null").groupBy("s").agg(first, *kept), "nodes")
+
+    def labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
+        joined = rows.join(components.select(F.col("node").alias("component"), F.col("component").alias("smaller")), "component", "left")
+        return joined.withColumn("component", F.coalesce("smaller", "component")).drop("smaller")
+
+    links = _verified(docs, nodes, _stars(nodes))
+    stars = connected_components(links)
+    named = labelled(nodes.withColumn("component", F.col("s")), stars)
+    entries = materialize(_contended(named), "contended")
+    more = _verified(docs, nodes, _rest(entries))
+    ends = [stars.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab"]
+    more_links = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = connected_components(more_links)
+    drop_tables(links, entries, more)
+    return profiles, labelled(named, merged).select("s", "first", "component"), [profiles, nodes, stars, merged]
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
-    profiles, names = _components(docs)
+    profiles, names, tables = _components(docs)
     smallest = names.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     named = names.join(smallest, "component").select("s", "component_id")
-    return profiles.join(named, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = profiles.select("doc_id", "n", "s").join(named, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = materialize(found, "classes")
+    drop_tables(*tables)
+    return found
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no earlier row of their component precedes.
 
     Rows come in the order of doc_id, null last, then of the text's hash; of rows equal in both, one stays: that of the
-    smallest hash of all columns. Rows without shingles are near copies of nothing, and all stay.
+    smallest hash of all columns. Rows without shingles are near copies of nothing, and all stay. Columns of ``docs``
+    may have any names.
     """
-    profiles, names = _components(docs)
-    survivors = names.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.t", F.lit(True).alias("stays"))
+    profiles, names, tables = _components(docs)
+    survivors = names.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.t").alias("kept_t"), F.lit(True).alias("stays"))
     rows = profiles.filter("s is not null").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k"))
-    here = lambda found, text: found["doc_id"].eqNullSafe(F.col("kept_id")) & (text == F.col("kept_t"))
-    kept = survivors.withColumnsRenamed({"doc_id": "kept_id", "t": "kept_t"})
-    rows = rows.join(kept, here(rows, rows["t"]), "left").select("doc_id", "t", "k", F.col("stays").isNotNull().alias("stays"))
-    # only keys that go or repeat are looked up: up to BROADCAST_IDS of them, texts need no exchange
-    special = materialize(rows.filter("k > 1 OR NOT stays").select(F.col("doc_id").alias("kept_id"), F.col("t").alias("kept_t"), "stays"), "repeats")
-    look = F.broadcast if special.count() <= BROADCAST_IDS else lambda x: x
-    same = here(docs, F.xxhash64(docs["text"]))
+    rows = rows.join(survivors, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t")), "left")
+    # only keys that go or repeat are looked up: up to BROADCAST_BYTES of them, texts need no exchange
+    mark = uuid.uuid4().hex  # no column of docs has these names
+    key, name, stays = f"key_{mark}", f"name_{mark}", f"stays_{mark}"
+    special = rows.filter("k > 1 OR stays IS NULL").select(F.col("doc_id").alias(key), F.col("t").alias(name), F.col("stays").isNotNull().alias(stays))
+    special = materialize(special, "repeats")
+    drop_tables(*tables)
+    size = special.agg(F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + 17)).first()[0] or 0
+    look = F.broadcast if size <= BROADCAST_BYTES else lambda x: x
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(name))
     out = docs.join(look(special), same, "left_anti")
-    repeated = special.filter("stays")
+    repeated = special.filter(stays)
     if repeated.limit(1).count():
         hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
         whole = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in hashed])).alias("row")
-        out = out.unionByName(docs.join(look(repeated), same).groupBy("kept_id", "kept_t").agg(whole).select("row.*"))
+        out = out.unionByName(docs.join(look(repeated), same).groupBy(key, name).agg(whole).select("row.*"))
     return out

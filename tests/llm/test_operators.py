@@ -175,13 +175,73 @@ def test_keep_first_keeps_texts_of_null_and_repeated_ids(spark):
     assert ngram_join.keep_first(spark.createDataFrame(many, "doc_id long, text string")).count() == 40
 
 
-def test_bitmaps_reject_no_similar_pair():
+def _classes(rows):
+    """n_shingles and smallest reachable id of every row (key, text) by comparing all pairs."""
+    words = [_text(t).lower().encode().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    ids = {g: [k for (k, _), h in zip(rows, group) if h == g and k is not None] for g in set(group)}
+    return [(k, len(s), min(ids[g]) if s and ids[g] else k) for (k, _), s, g in zip(rows, sets, group)]
+
+
+def test_similarity_classes_of_families_near_the_threshold(spark):
+    """Edited copies of an origin, copies of copies in a chain, shared passages, and null ids beside ids above 2 ** 53."""
+    r = random.Random(11)
+    word = lambda: f"{r.choice(WORDS)}{r.randrange(10**6)}"
+    origin, passage = [word() for _ in range(90)], [word() for _ in range(60)]
+    texts = []
+    for edits in [*range(9), *range(9), 3, 4, 4, 5, 5, 5]:
+        copy = list(origin)
+        for at in r.sample(range(90), edits):
+            copy[at] = word()
+        texts.append(copy)
+    for _ in range(14):  # each a little further from the one before
+        copy = list(texts[-1])
+        copy[r.randrange(len(copy))] = word()
+        texts.append(copy[r.randrange(2) :])
+    for extra in (8, 10, 12, 14, 16, 18, 20, 22, 30):
+        texts.append(passage + [word() for _ in range(extra)])
+    small = [f"slot{k}" for k in range(3)]
+    for _ in range(30):  # slots of a form, filled from few words
+        copy = list(passage[:40])
+        for at in (5, 15, 25, 35):
+            copy[at] = r.choice(small)
+        texts.append(copy)
+    top = 1 << 60
+    rows = [(None if k % 7 == 3 else top + 2 * k + 1, " ".join(x)) for k, x in enumerate(texts)] + [(None, None), (None, ""), (top, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.similarity_classes(docs).collect())
+    assert got == Counter(_classes(rows))
+
+
+def test_keep_first_with_clashing_names_and_large_ids(spark):
+    top, same = 1 << 60, " ".join(WORDS)
+    rows = [(None, same, 1, "x"), (top + 1, same, 2, "y"), (top + 3, "a b c", 3, "z"), (top + 3, "a b c", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id int, stays string")
+    got = sorted((x.doc_id, x.text, x.kept_id, x.stays) for x in ngram_join.keep_first(docs).collect())
+    assert got == [(top + 1, same, 2, "y"), (top + 3, "a b c", 3, "z")]
+
+
+def test_prefixes_hold_the_matches_of_similar_pairs():
+    """A pair that reaches the threshold shares min(l, l') prefix shingles, by any frequencies."""
     r = np.random.default_rng(2)
-    for _ in range(200):
-        a = np.unique(r.integers(0, 1 << 62, r.integers(1, 400)).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: int(len(a) * r.uniform(0.7, 1))], r.integers(0, 1 << 62, r.integers(0, 60)).astype(np.uint64)]))
+    for _ in range(300):
+        a = np.unique(r.integers(0, 1 << 62, r.integers(1, 200)))
+        b = np.unique(np.concatenate([a[: int(len(a) * r.uniform(0.7, 1))], r.integers(0, 1 << 62, r.integers(0, 60))]))
         if len(b) and ngram_join.similar(a, b):
-            assert ngram_join.may_be_similar(ngram_join.bitmap(a), ngram_join.bitmap(b), len(a), len(b))
+            freq = {int(x): int(f) for x, f in zip(np.union1d(a, b), r.zipf(1.5, len(np.union1d(a, b))).clip(2, 10**6))}
+            picked, least = [], []
+            for x in (a, b):
+                order = sorted(map(int, x), key=lambda k: (freq[k], k))
+                many, matches = ngram_join.prefix(np.array([freq[k] for k in order]), len(order))
+                picked.append(set(order[:many]))
+                least.append(matches)
+            assert len(picked[0] & picked[1]) >= min(least)
 
 
 def test_lm_base_score(docs):
