@@ -33,7 +33,6 @@ null and repeated ids lose no text that is a copy of none.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import numpy as np
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import drop_tables, materialize
 from almanac.llm.components import connected_components
-from almanac.llm.packed import range_edges, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from almanac.llm.packed import chunk_plan, range_edges, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from almanac.llm.words import word_hashes
 
 WIDTH = 5
@@ -53,11 +52,9 @@ PERCENT = 75
 MAX_MATCHES = 4
 #: Hubs that a set is compared with in step 3; step 4 covers what this leaves.
 HUBS = 3
-#: The least shingles of a chunk and of a range, and how many a row sent from one to the other should hold.
+#: The least shingles of a chunk and of a range, and bytes of text that bring about one.
 CHUNK_SHINGLES = 1 << 19
 RANGE_SHINGLES = 1 << 21
-ROW_SHINGLES = 64
-#: Bytes of text that bring about one shingle.
 SHINGLE_BYTES = 6
 #: Shingles of a range that are sorted together.
 SLICE_SHINGLES = 1 << 18
@@ -101,13 +98,6 @@ _SENT = [x.split()[0] for x in _SENT_SHAPE.split(", ")]
 _PROFILE = [("doc_id", None), ("t", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("l", pa.int32()), ("at", pa.int64()), ("prefix", pa.list_(pa.int64()))]
 
 
-def _plan(size: int) -> tuple[int, int]:
-    """Shingles of a chunk, and the number of ranges, for ``size`` bytes of text."""
-    total = size // SHINGLE_BYTES
-    side = math.isqrt(ROW_SHINGLES * total)
-    return max(CHUNK_SHINGLES, side), max(16, -(-total // max(RANGE_SHINGLES, side)))
-
-
 def prefix(freq: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
     """How many shared shingles the adaptive prefix of a set of ``n`` holds, and the matches l that it supports.
 
@@ -244,7 +234,8 @@ def _profiles(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    chunk, ranges = _plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk, ranges = chunk_plan(size // SHINGLE_BYTES, CHUNK_SHINGLES, RANGE_SHINGLES)
     shape = _SENT_SHAPE.format(kind=kind.simpleString())
     sent = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_sender(chunk, ranges, to_arrow_type(kind)), shape)
     known = sent.groupBy("dest").applyInArrow(_answers, shape)

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 
 _HEAD = 8
+#: Keys that a row sent from a chunk to a range should hold at least.
+ROW_KEYS = 64
+
+
+def chunk_plan(keys: int, chunk: int, part: int) -> tuple[int, int]:
+    """Keys of a chunk, and the number of ranges, for ``keys`` in all.
+
+    Each chunk sends each range one row, so chunks and ranges, ``chunk`` and ``part`` keys at least, grow with the
+    square root of the keys: rows then grow no faster than the keys do.
+    """
+    side = math.isqrt(ROW_KEYS * keys)
+    return max(chunk, side), max(16, -(-keys // max(part, side)))
 
 
 def squeeze(values: np.ndarray, kind: str) -> bytes:
