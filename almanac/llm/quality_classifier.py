@@ -7,7 +7,8 @@ is compared with all of them by blocked exact cosine products, and its NEIGHBOUR
 
 Edge cases: a null or empty text has the zero vector and scores the sample's mean label; labels without a row, and
 rows without a label, play no part; a document labelled more than once counts with its largest label; without any
-usable label every score is 0.5 and ``keep_good`` keeps every row; equal texts score equally; an empty table gives an empty result; extra columns are
+usable label every score is 0.5 and ``keep_good`` keeps every row; of rows that repeat a labelled id one, that of the
+smallest counts, is learned from; equal texts score equally; an empty table gives an empty result; extra columns are
 ignored by ``score_documents`` and kept by ``keep_good``.
 """
 
@@ -79,32 +80,46 @@ def text_counts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+#: Whole numbers for one: rarities, axes and vectors are rounded to these fractions, so that sums of products are exact
+#: in doubles (below 2 ** 53) and a text scores the same whatever else its block holds.
+_RARITY_ONE, _AXIS_ONE, _VECTOR_ONE = 1 << 12, 1 << 20, 1 << 20
+
+
+def _whole(x: np.ndarray, one: int) -> np.ndarray:
+    return np.rint(np.asarray(x, np.float64) * one)
+
+
 @dataclass
 class Model:
-    rarity: np.ndarray  # per dimension
-    axes: np.ndarray  # dimensions x rank
-    vectors: np.ndarray  # labelled rows x rank, unit length
+    rarity: np.ndarray  # per dimension, in whole numbers of 1 / _RARITY_ONE
+    axes: np.ndarray  # dimensions x rank, in whole numbers of 1 / _AXIS_ONE
+    vectors: np.ndarray  # labelled rows x rank, unit length, in whole numbers of 1 / _VECTOR_ONE
     labels: np.ndarray
 
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
         n = len(counts)
-        rarity = (np.log((1 + n) / (1 + (counts > 0).sum(0))) + 0.3).astype(np.float32)
-        x = _unit(counts * rarity)
+        rarity = np.log((1 + n) / (1 + (counts > 0).sum(0))) + 0.3
+        x = _unit((counts * rarity).astype(np.float32))
         values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
         order = np.argsort(values)[::-1][:rank]
         order = order[values[order] > 1e-9]
-        axes = (x.T @ left[:, order] / np.sqrt(values[order])).astype(np.float32)
-        return cls(rarity, axes, _unit(x @ axes), labels.astype(np.float32))
+        model = cls(_whole(rarity, _RARITY_ONE), _whole(x.T @ left[:, order] / np.sqrt(values[order]), _AXIS_ONE), np.zeros((0, len(order))), labels.astype(np.float64))
+        model.vectors = np.concatenate([model.project(counts[lo : lo + BLOCK]) for lo in range(0, n, BLOCK)])
+        return model
+
+    def project(self, counts: np.ndarray) -> np.ndarray:
+        """The texts' vectors, in whole numbers of 1 / _VECTOR_ONE."""
+        return _whole(_unit(np.rint(counts * self.rarity) @ self.axes), _VECTOR_ONE)
 
     def score(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         prior = float(self.labels.mean())
-        cosine = _unit(_unit(counts * self.rarity) @ self.axes) @ self.vectors.T
+        cosine = self.project(counts) @ self.vectors.T / _VECTOR_ONE**2
         k = min(neighbours, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** SHARPNESS
         total = weight.sum(1)
         return np.where(total > 1e-9, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-9), prior)
 
@@ -127,17 +142,21 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` small rows
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
                 counts = text_counts(part.column(0).to_pylist()).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in counts], pa.binary()), part.column(1)], names=["counts", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in counts], pa.binary()), part.column(1), part.column(2)], names=["counts", "label", "doc_id"])
 
-    got = sample.select("text", "label").mapInArrow(run, "counts binary, label double").limit(2 * rows).collect()
+    # rows that repeat a labelled id are as one, that of the smallest counts: never more than ``rows`` reach the driver
+    got = sample.select("text", "label", "doc_id").mapInArrow(run, f"counts binary, label double, doc_id {kind}")
+    got = got.groupBy("doc_id").agg(F.min("counts").alias("counts"), F.first("label").alias("label")).select("counts", "label").collect()
     got.sort()
     counts = np.array([np.frombuffer(x["counts"], np.float16) for x in got], np.float32).reshape(len(got), DIMENSIONS)
-    return Model.fit(counts, np.array([x["label"] for x in got])) if got else Model(np.ones(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
+    return Model.fit(counts, np.array([x["label"] for x in got])) if got else Model(np.ones(DIMENSIONS), np.zeros((DIMENSIONS, 1)), np.zeros((0, 1)), np.zeros(0))
 
 
 def _scorer(model: Model, spark):
