@@ -14,9 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.llm.common import materialize
+
+#: Rows, of some 20 bytes, of the broadcast table of first slots.
+MAX_RANGES = 1 << 20
+
 
 def _strength(key: Column, shard: int, weight: float) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    # 52 bits and a half: exact in a double, and never 0 or 1
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return F.lit(float(weight)) / -F.log(u)
 
 
@@ -28,32 +34,34 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-F.array_max(F.array(*runs))["i"]).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, buckets: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, range_rows: int = 1 << 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of ``docs`` (doc_id, text).
 
-    Slots number a shard's records from 0 without gaps. A shard is numbered in ``buckets`` hash ranges that sort
-    apart from each other; a table of shards x buckets counts (its size does not depend on the data) gives each
-    range its first slot, so no task ever holds a whole shard.
+    Slots number a shard's records from 0 without gaps. A shard's rows are dealt, whatever their keys, over ranges of
+    about ``range_rows`` that sort apart from each other, so neither a whole shard nor the rows of a hot key meet in a
+    task. A table of the ranges' counts gives each range its first slot; it has at most MAX_RANGES rows, beyond which
+    ranges grow.
     """
     weights = list(weights or [1.0] * shards)
-    if len(weights) != shards or shards * buckets > 1 << 20:
-        raise ValueError("one weight a shard, and at most 2**20 ranges in all")
-    key, bucket = F.col("doc_id"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit("slot")), F.lit(buckets)).cast("int")
-    shard = rendezvous(key, weights)
-    counts = docs.select(shard.alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    if len(weights) != shards or shards > MAX_RANGES:
+        raise ValueError(f"one weight a shard, and at most {MAX_RANGES} shards")
+    key, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         key,
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        shard.alias("shard"),
+        rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, sum(weights) / shards]).alias("grown_shard"),
-        bucket.alias("bucket"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    rows = materialize(rows, "shards")  # written, so that counts and slots see the same deal
+    ranges = max(1, min(MAX_RANGES // shards, -(-rows.count() // (shards * range_rows)) * 4))
+    rows = rows.withColumn("range", F.pmod(F.xxhash64("row"), F.lit(ranges)).cast("int"))
+    counts = rows.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "range").orderBy("row")
     rows = rows.withColumn("rank", F.row_number().over(within) - 1)
-    return rows.join(F.broadcast(first), ["shard", "bucket"]).select(
+    return rows.join(F.broadcast(first), ["shard", "range"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), "grown_shard"
     )
