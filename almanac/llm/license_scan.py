@@ -55,6 +55,8 @@ BLOCK, STRIDE = 48, 24
 #: Words on each side of a block where the rest of a mark may stand.
 MARGIN = 4
 THRESHOLD = 0.8
+#: Tasks that the copies of one text are dealt over.
+SALTS = 32
 
 #: What separates words, once letters are lower case.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,28 +109,31 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, ...]] | None = None,
 
     # texts that hold no prefix word of any notice can meet none
     held = F.col("joined").rlike(f" (?:{'|'.join(first_words)}) ")
-    texts = docs.select("doc_id", "text", _joined(F.col("text")).alias("joined")).withColumn("key", F.xxhash64("text"))
-    candidates = texts.filter(held).dropDuplicates(["key"]).select("key", _words().alias("words"))
+    texts = docs.select("doc_id", "text", _joined(F.col("text")).alias("joined")).withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64(F.lit(1), "text")})
+    candidates = texts.filter(held).dropDuplicates(["key", "key2"]).select("key", "key2", _words().alias("words"))
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE)))
     known = F.array(*[F.lit(w) for w in order])
     around = F.slice("words", F.greatest(F.col("start") + 1 - MARGIN, F.lit(1)), BLOCK + 2 * MARGIN)
     around = F.concat(F.lit(" "), F.array_join(around, " "), F.lit(" ")).alias("around")
-    blocks = candidates.select("key", "words", starts.alias("start")).select("key", F.slice("words", F.col("start") + 1, BLOCK).alias("words"), around)
+    blocks = candidates.select("key", "key2", "words", starts.alias("start")).select("key", "key2", F.slice("words", F.col("start") + 1, BLOCK).alias("words"), around)
     ranks = F.array_sort(F.array_distinct(F.transform(F.array_intersect("words", known), lambda w: F.array_position(known, w).cast("int"))))
-    shared = blocks.select("key", ranks.alias("ranks"), "around").filter(F.size("ranks") > 0).select("key", "ranks", "around", F.posexplode("ranks").alias("at", "word_rank"))
+    shared = blocks.select("key", "key2", ranks.alias("ranks"), "around").filter(F.size("ranks") > 0).select("key", "key2", "ranks", "around", F.posexplode("ranks").alias("at", "word_rank"))
     left = F.least(F.size("notice_ranks") - F.col("notice_at"), F.size("ranks") - F.col("at"))
     met = shared.join(F.broadcast(prefixes), "word_rank").filter((F.size("ranks") >= F.col("need")) & (left >= F.col("need")))
     common = F.size(F.array_intersect("ranks", "notice_ranks"))
-    met = met.filter(common >= F.col("need")).filter((F.col("mark") == "") | F.regexp_like("around", F.col("mark"))).groupBy("key").agg(F.collect_set("label").alias("found"), F.max(common / F.size("notice_ranks")).alias("best"))
-
-    rows = texts.select("doc_id", "key", "joined", _words().alias("words"))
-    rows = rows.select("doc_id", "key", F.size("words").alias("n_words"), *[_places(p).alias(f"p{i}") for i, p in enumerate(PHRASES)])
+    met = met.filter(common >= F.col("need")).filter((F.col("mark") == "") | F.regexp_like("around", F.col("mark"))).groupBy("key", "key2").agg(F.collect_set("label").alias("found"), F.max(common / F.size("notice_ranks")).alias("best"))
+
+    # copies of one text may be many: they are dealt over SALTS tasks, each with that text's labels
+    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
+    rows = texts.select("doc_id", "key", "key2", salt, "joined", _words().alias("words"))
+    keys = ("doc_id", "key", "key2", "salt")
+    rows = rows.select(*keys, F.size("words").alias("n_words"), *[_places(p).alias(f"p{i}") for i, p in enumerate(PHRASES)])
     every = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(v)) for i, v in enumerate(PHRASES.values())]))
-    rows = rows.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), every.alias("places"), labels.alias("base"))
+    rows = rows.select(*keys, F.col("n_words").cast("long").alias("n_words"), every.alias("places"), labels.alias("base"))
     rows = rows.select(
-        "doc_id",
-        "key",
+        *keys,
         "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"),
@@ -137,7 +142,7 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, ...]] | None = None,
     )
     join = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
     base_score = F.when(F.size("base") > 0, 1.0).otherwise(0.0)
-    return rows.join(met, "key", "left").select(
+    return rows.join(met, ["key", "key2", "salt"], "left").select(
         "doc_id",
         "n_words",
         "n_base",
