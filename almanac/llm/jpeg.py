@@ -9,7 +9,8 @@ writes them.
 The encoder stores bytes losslessly in the format's unit, the quantized coefficient: byte v becomes the coefficient
 that JPEG's 8 extra bits v stand for (v, or v - 255 below 128), 64 bytes a block, with all quantizers 1.
 
-Edge cases: null and empty texts hold 64 zero bytes; every length pads to a multiple of 64; equal texts give equal
+Edge cases: null and empty texts hold 64 zero bytes; every length up to 6.4 GB, beyond any Spark value, pads to
+a multiple of 64; equal texts give equal
 bytes, tensors and features; repeated rows repeat; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,7 +30,9 @@ from pyspark.sql import DataFrame
 BLOCK = 64
 #: Blocks of a unit of 16 x 16 pixels: four of luma, one of each chroma.
 UNIT_BLOCKS = 6
+#: Units in a row of an image, and rows of units that a frame's 16-bit height allows; larger payloads get wider images.
 UNITS_ACROSS = 64
+UNITS_DOWN = 4095
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
@@ -165,13 +168,21 @@ def _packed(bits: np.ndarray) -> bytes:
     return np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])).tobytes()
 
 
+def image_units(units: int) -> tuple[int, int]:
+    """Units across and down of the image that holds ``units`` of them."""
+    across = min(units, max(UNITS_ACROSS, -(-units // UNITS_DOWN)))
+    down = -(-units // across)
+    if across > UNITS_DOWN:
+        raise ValueError(f"an image holds {UNITS_DOWN**2 * UNIT_BLOCKS * BLOCK} bytes at most")
+    return across, down
+
+
 def encode_bytes(payload: bytes) -> bytes:
     """A progressive JPEG that holds ``payload`` (a positive multiple of 64 bytes); a comment keeps its length."""
     if not payload or len(payload) % BLOCK:
         raise ValueError("the payload must fill whole blocks")
     units = -(-len(payload) // (BLOCK * UNIT_BLOCKS))
-    across = min(units, UNITS_ACROSS)
-    down = -(-units // across)
+    across, down = image_units(units)
     raw = np.zeros(across * down * UNIT_BLOCKS * BLOCK, np.uint8)
     raw[: len(payload)] = np.frombuffer(payload, np.uint8)
     values = raw.astype(np.int16).reshape(-1, BLOCK)
