@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import materialize
+from almanac.llm.common import drop_tables, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -175,7 +175,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that neither base nor calibrated rules reject."""
-    cutoffs = calibrate(materialize(count_documents(docs), "counts"), labels)
+    counted = materialize(count_documents(docs), "counts")
+    cutoffs = calibrate(counted, labels)
+    drop_tables(counted)
     text_at = docs.columns.index("text")
     lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
 
