@@ -16,6 +16,7 @@ cut into full pieces and a rest; repeated rows are packed each; an empty table g
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -41,7 +42,7 @@ def _word_ids(path: str) -> UnitCache:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return UnitCache(lambda units: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+    return UnitCache(lambda units: [struct.pack(f"<{len(x)}I", *x.ids) for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:

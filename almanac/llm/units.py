@@ -21,8 +21,8 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: A stop or comma before a space or line end that may belong to a longer run of symbols.
 _JOINED = re.compile(r"(?<![^\W_])[.,](?=[ \n])")
 
-#: Units kept by a worker process between batches; beyond it only the last batch's stay.
-CACHE_UNITS = 400_000
+#: Units kept by a worker process between batches, in two generations.
+CACHE_UNITS = 800_000
 #: Longer units are encoded where they occur and never kept.
 CACHE_CHARS = 100
 
@@ -58,24 +58,30 @@ def split_long(text: str, limit: int) -> Iterator[str]:
 
 
 class UnitCache:
-    """Encodings of units; new units of a batch are encoded together."""
+    """Encodings of units; new units of a batch are encoded together.
+
+    Two generations: what the young one lacks is looked for in the old one and moves up. When the young one is full it
+    becomes the old one, so units that return stay and those that came once go.
+    """
 
     def __init__(self, encode):
         self.encode = encode
-        self.known: dict = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
     def lookup(self, texts: list[list[str]]) -> list[list]:
         """For each text's units, their encodings in order."""
-        get = self.known.get
+        if len(self.young) > CACHE_UNITS // 2:
+            self.old, self.young = self.young, {}
+        get = self.young.get
         out = [list(map(get, units)) for units in texts]
         gaps = [i for i, x in enumerate(out) if None in x]
         if gaps:
-            new = list({u for i in gaps for u, x in zip(texts[i], out[i]) if x is None})
-            fresh = dict(zip(new, self.encode(new)))
-            if len(self.known) + len(fresh) > CACHE_UNITS:
-                used = {u for units in texts for u in units}
-                self.known = {u: x for u, x in self.known.items() if u in used}
+            missing = {u for i in gaps for u, x in zip(texts[i], out[i]) if x is None}
+            found = {u: self.old[u] for u in missing if u in self.old}
+            new = list(missing - found.keys()) if found else list(missing)
+            fresh = dict(zip(new, self.encode(new))) | found if new else found
             for i in gaps:
                 out[i] = [fresh[u] if x is None else x for u, x in zip(texts[i], out[i])]
-            self.known.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
+            self.young.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
         return out
