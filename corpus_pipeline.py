@@ -2,6 +2,9 @@
 
 Each stage reads what its predecessor kept, as Parquet. All but the last return the columns of ``documents``; the
 last returns the packed pieces of the documents that are left.
+
+Edge cases, in every stage: columns of any further names pass through; an empty table gives an empty result; repeated
+rows are judged alike. What a stage does with nulls, empty texts and ties stands with it.
 """
 
 from __future__ import annotations
@@ -18,22 +21,34 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
+    """Documents that the classifier predicts to be good: whose score reaches the threshold, equality included.
+
+    Null and empty texts score the sample's mean label; without usable labels all documents stay.
+    """
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"), quality_classifier.THRESHOLD)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither base nor calibrated rules reject."""
+    """Documents that neither base nor calibrated rules reject; null, empty and short texts fail the base rules.
+
+    A null language is a stratum of its own. A measure that equals its cutoff is not rejected.
+    """
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
+    """One document of each group of near copies: that of the smallest id, null last; of equal ids, of the smallest text hash.
+
+    Rows equal in both stay once. Null and empty texts are near copies of nothing, and all stay.
+    """
     return ngram_join.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of the documents' pieces in packed sequences."""
+    """The places of the documents' pieces in packed sequences; a null or empty text is one piece, the separator.
+
+    Pieces of one length are told apart by checksum and place, so ties are packed alike at each run.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
