@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,23 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
+def text_grams(text: str) -> list[str]:
+    """``trigrams`` of one text, on the driver."""
+    found = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    return list(dict.fromkeys(f"  {w} "[i : i + 3] for w in found for i in range(len(w) + 1)))
+
+
 def set_similarity(a: Column, b: Column) -> Column:
-    """Shared over all members of two arrays; 0 where either is empty."""
-    common = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)).otherwise(0.0)
+    """Shared over all members of two arrays; 0 where either is empty, null where either is null.
+
+    Both arrays are put in one struct, so that each is evaluated once for all its uses.
+    """
+
+    def ratio(x: Column) -> Column:
+        common = F.size(F.array_intersect(x["a"], x["b"])).cast("double")
+        return F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), common / (F.size(x["a"]) + F.size(x["b"]) - common)).otherwise(0.0)
+
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), ratio(x))), F.lit(0))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ Window = tuple[datetime, datetime]
 FRIDAY, MONDAY = 4, 0
 EVENING, SMALL_HOURS = 17, 3
 PRESETS = ("tonight", "today", "tomorrow", "this-weekend", "this-week")
+TIMES_OF_DAY = ("morning", "afternoon", "evening", "night")
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -53,13 +54,23 @@ def weekday(name: str, now: datetime, night: bool = False, zone: str = ZONE) ->
     return _window(now, first, EVENING if night else 0, first + timedelta(days=1), SMALL_HOURS if night else 0, zone)
 
 
-def custom(first: str | None, last: str | None, zone: str = ZONE) -> Window | None:
-    """Whole days from ``first`` to ``last`` (ISO); None if either is no day or they are in the wrong order."""
+def day_or_none(value: str | None) -> date | None:
     try:
-        a, b = date.fromisoformat(first or ""), date.fromisoformat(last or "")
+        return date.fromisoformat(value or "")
     except ValueError:
         return None
-    return (_at(a, 0, zone), _at(b + timedelta(days=1), 0, zone)) if a <= b else None
+
+
+def schedule(now: datetime, days: int, zone: str = ZONE) -> tuple[str, str]:
+    """The local day of ``now`` and the one ``days`` later, as ISO text."""
+    today = now.astimezone(ZoneInfo(zone)).date()
+    return today.isoformat(), (today + timedelta(days=days)).isoformat()
+
+
+def custom(first: str | None, last: str | None, zone: str = ZONE) -> Window | None:
+    """Whole days from ``first`` to ``last`` (ISO); None if either is no day or they are in the wrong order."""
+    a, b = day_or_none(first), day_or_none(last)
+    return (_at(a, 0, zone), _at(b + timedelta(days=1), 0, zone)) if a and b and a <= b else None
 
 
 def choose(phrase: Window | None, named: Window | None, custom_range: Window | None) -> Window | None:

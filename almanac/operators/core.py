@@ -7,24 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.text import trigrams
+from almanac.functions.text import set_similarity, trigrams
 
 RRF_K = 60
 
 
-def similar_pairs(rows: DataFrame, key: str, text: str, block: str, floor: float) -> DataFrame:
-    """(a, b, similarity) of rows of one block whose trigram similarity reaches ``floor``; a < b.
+def similar_texts(rows: DataFrame, floor: float, top: float = 1.0, block: str | None = None) -> DataFrame:
+    """(ta, tb, similarity), and ``block``, of the distinct texts of ``rows`` (t) whose trigram similarity lies in [floor, top]; ta <= tb.
 
-    Distinct texts of a block are compared, not rows, and only those that share a gram; keys are joined back after.
+    A pair is compared only if it shares a gram within both prefixes that the floor leaves (rarest grams first, so
+    that common ones are hardly ever joined on), if lengths allow the floor, and if enough grams follow the shared one.
     """
-    texts = rows.select(block, text).distinct().select(F.col(block).alias("k"), F.col(text).alias("t"), trigrams(F.col(text)).alias("g"))
-    grams = texts.select("k", "t", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    left, right = grams.select("k", "gram", F.col("t").alias("ta"), F.col("n").alias("na")), grams.select("k", "gram", F.col("t").alias("tb"), F.col("n").alias("nb"))
-    shared = left.join(right, ["k", "gram"]).filter("ta <= tb").groupBy("k", "ta", "tb", "na", "nb").agg(F.count(F.lit(1)).alias("i"))
-    near = shared.withColumn("similarity", F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).filter(F.col("similarity") >= floor)
-    one = rows.select(F.col(block).alias("k"), F.col(text).alias("ta"), F.col(key).alias("x"))
-    two = rows.select(F.col(block).alias("k"), F.col(text).alias("tb"), F.col(key).alias("y"))
-    pairs = near.join(one, ["k", "ta"]).join(two, ["k", "tb"]).filter((F.col("ta") != F.col("tb")) | (F.col("x") < F.col("y")))
+    keys = [block] if block else []
+    texts = rows.select(*keys, "t").distinct().withColumn("g", trigrams(F.col("t"))).filter(F.size("g") > 0)
+    grams = texts.select(*keys, "t", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy(*keys, "t").orderBy("often", "gram")  # a text's own grams
+    ranked = grams.join(often, "gram").withColumn("p", F.row_number().over(order) - 1)
+    prefix = ranked.filter(F.col("p") <= F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9)).select(*keys, "gram", "t", "n", "p")
+    one, two = (prefix.select(*keys, "gram", *[F.col(c).alias(f"{c}{x}") for c in "tnp"]) for x in "ab")
+    need = F.lit(floor / (1 + floor)) * (F.col("na") + F.col("nb")) - 1e-9
+    met = one.join(two, [*keys, "gram"]).filter("ta < tb").filter((F.least("na", "nb") >= F.lit(floor) * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need))
+    pairs = met.select(*keys, "ta", "tb").distinct()
+    of = lambda x: texts.select(*keys, F.col("t").alias(f"t{x}"), F.col("g").alias(f"g{x}"))
+    near = pairs.join(of("a"), [*keys, "ta"]).join(of("b"), [*keys, "tb"]).withColumn("similarity", set_similarity(F.col("ga"), F.col("gb")))
+    same = texts.select(*keys, F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("similarity"))
+    return near.select(*keys, "ta", "tb", "similarity").unionByName(same).filter(F.col("similarity").between(floor, top))
+
+
+def similar_pairs(rows: DataFrame, key: str, text: str, block: str | None, floor: float, top: float = 1.0) -> DataFrame:
+    """(a, b, similarity) of rows, of one block if there are blocks, whose trigram similarity lies in [floor, top]; a < b.
+
+    Distinct texts are compared, not rows; keys are joined back after.
+    """
+    keys = ["k"] if block else []
+    named = rows.select(*([F.col(block).alias("k")] if block else []), F.col(text).alias("t"), F.col(key).alias("id"))
+    near = similar_texts(named, floor, top, "k" if block else None)
+    one, two = named.withColumnsRenamed({"t": "ta", "id": "x"}), named.withColumnsRenamed({"t": "tb", "id": "y"})
+    pairs = near.join(one, [*keys, "ta"]).join(two, [*keys, "tb"]).filter((F.col("ta") != F.col("tb")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
@@ -54,6 +74,26 @@ def reciprocal_rank_fusion(legs: Sequence[DataFrame], key: str, k: int = RRF_K)
     return every.groupBy(key).agg(F.sum("part").alias("score"))
 
 
+def nearest_rank(rows: DataFrame, key: str, value: str, shares: dict[str, float], parts: int = 256) -> DataFrame:
+    """Per key the values at ceil(share x n) of its n values in order, a column for each of ``shares``; nulls do not count.
+
+    Values are counted, each key's are cut at approximate quantiles into ``parts`` ranges, and only the ranges that hold
+    a wanted place are put in order. No task has all values of a key, and the result is exact.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts")
+    bounds = counts.groupBy(key).agg(cuts, F.sum("_n").alias("_all"))
+    placed = counts.join(bounds.select(key, "_cuts"), key).select(key, value, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_part"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    wanted = F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), F.greatest(F.ceil(F.lit(p) * F.col("_all")), F.lit(1)).alias("_at")) for name, p in shares.items()]))
+    found = sums.join(bounds.select(key, wanted), key).filter("_at > _before AND _at <= _before + _sum").select(key, "_part", "_before", "_name", "_at")
+    within = Window.partitionBy(key, "_part", "_name").orderBy(value)
+    upto = placed.join(found, [key, "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+    hit = upto.filter("_at <= _upto AND _at > _upto - _n")
+    return hit.groupBy(key).agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in shares])
+
+
 def trailing_count(rows: DataFrame, key: str, ts: str, minutes: int, out: str) -> DataFrame:
     """How many rows of the same key lie in the ``minutes`` before each row, itself excluded."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))

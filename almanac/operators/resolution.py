@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +43,57 @@ def nearest_delta(rows: DataFrame, keys: Sequence[str], ts: str, one: Column, ot
     return near.groupBy(*keys).agg((F.min("_gap") / 60_000_000.0).alias("minutes"))
 
 
+def linked_groups(pairs: DataFrame) -> DataFrame:
+    """(node, component) for the ends of ``pairs`` (a, b); a component is named by its smallest node.
+
+    Labels fall to the smallest of a node's neighbours, then to their label's own label, so that chains take a
+    logarithmic number of rounds.
+    """
+    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
+        lower = labels.join(near, "node").select("node", F.least("component", "_near").alias("_c"), F.col("component").alias("_old"))
+        jump = labels.select(F.col("node").alias("_c"), F.col("component").alias("_up"))
+        moved = cut(lower.join(jump, "_c", "left").select("node", F.least("_c", F.coalesce("_up", "_c")).alias("component"), "_old"))
+        labels = moved.select("node", "component")
+        if not moved.filter("component <> _old").limit(1).count():
+            return labels
+
+
+#: Groups of linked pairs up to this many are merged in one task each; larger ones in rounds over whole tables.
+GROUP_PAIRS = 50_000
+
+
 def greedy_merge(pairs: DataFrame) -> DataFrame:
     """(survivor, absorbed) as if ``pairs`` (a, b, score) were taken by score descending, then a, then b.
 
-    ``a`` survives and ``b`` is absorbed, unless an earlier merge absorbed either. A round decides every pair that comes
-    first at both its ends; the result is that of the sequential loop. Only whole tables are joined: no group is
-    gathered, and each round decides at least the first pair of each component.
+    ``a`` survives and ``b`` is absorbed, unless an earlier merge absorbed either. Pairs that no chain links do not
+    matter to each other: each linked group is taken through the loop on its own.
     """
+    pairs = cut(pairs.select("a", "b", "score").distinct())
+    named = pairs.join(linked_groups(pairs).withColumnRenamed("node", "a"), "a")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    named = cut(named.join(sizes, "component"))
+
+    def loop(rows: pd.DataFrame) -> pd.DataFrame:
+        gone, out = set(), []
+        for x in rows.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
+            if x.a not in gone and x.b not in gone:
+                gone.add(x.b)
+                out.append((x.a, x.b))
+        return pd.DataFrame(out, columns=["survivor", "absorbed"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    found = named.filter(F.col("_n") <= GROUP_PAIRS).groupBy("component").applyInPandas(loop, f"survivor {kind}, absorbed {kind}")
+    large = named.filter(F.col("_n") > GROUP_PAIRS)
+    return found.unionByName(_merge_rounds(large)) if large.limit(1).count() else found
+
+
+def _merge_rounds(pairs: DataFrame) -> DataFrame:
+    """As ``greedy_merge`` for groups of any size: each round takes the pairs that come first at both their ends."""
     order = F.struct((-F.col("score")).alias("s"), F.col("a").alias("x"), F.col("b").alias("y"))
-    left = cut(pairs.select("a", "b", "score").distinct())
+    left = cut(pairs.select("a", "b", "score"))
     merged = None
     while left.limit(1).count():
         ranked = left.withColumn("_order", order)

@@ -1,78 +1,179 @@
 """Hybrid search: weighted words and trigram similarity, vectors, reciprocal rank fusion.
 
-Words are compared as they stand in lower case, without stemming or stop words.
+Words are those of ``lexemes``: lower case, without stop words and, if asked for, as English stems, with their places and
+weights. A table that is searched often keeps them in a column ``lexemes``; else they are made in the query.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.scoring import cosine_distance
-from almanac.functions.text import trigram_similarity
+from almanac.functions.stemming import STOP_WORDS, stem, stems
+from almanac.functions.text import set_similarity, text_grams, trigrams
 from almanac.operators.core import reciprocal_rank_fusion
 
-# Weights of title, tags and description; limits and weights of the similarities; the limit of squares.
+# Weights of title, tags and description; limits and weights of the similarities; the limit of squares; the
+# places of a word that count.
 WEIGHTS = {"title": 1.0, "tags": 0.4, "description": 0.2}
 TITLE_FLOOR, VENUE_FLOOR = 0.3, 0.4
 TITLE_SHARE, VENUE_SHARE = 0.5, 0.3
 SQUARES = 1.64493406685
+MAX_PLACES = 256
+NO_PAIR = 1e-20
 VECTOR_TOP = 50
 
+Query = list[list[tuple[bool, list[tuple[str, int]]]]]
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
-    """Alternatives of (wanted, words in a row): quotes bind a phrase, ``or`` parts alternatives, ``-`` denies."""
-    out: list[list[tuple[bool, list[str]]]] = [[]]
+def _placed(columns: dict[str, Column], keep: Callable[[Column], Column], stemmed: bool) -> Column:
+    """Structs (w, p, v) of the words that ``keep`` accepts; places go on from column to column."""
+
+    def of(text: Column) -> Column:
+        def own(found: Column) -> Column:
+            placed = F.transform(found, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p"), w.alias("raw")))
+            return F.struct(F.size(found).alias("n"), F.filter(placed, keep).alias("k"))
+
+        if not stemmed:
+            return _let(words(text), own)
+        both = F.zip_with(words(text), stems(words(text)), lambda w, x: F.struct(x.alias("w"), w.alias("raw")))
+        placed = F.transform(both, lambda x, i: F.struct(x["w"].alias("w"), (i + 1).alias("p"), x["raw"].alias("raw")))
+        return _let(placed, lambda found: F.struct(F.size(found).alias("n"), F.filter(found, keep).alias("k")))
+
+    names = [k for k in WEIGHTS if k in columns]
+
+    def joined(fields: Column) -> Column:
+        parts, shift = [], F.lit(0)
+        for name in names:
+            parts.append(_shifted(fields[name]["k"], shift, WEIGHTS[name]))
+            shift = shift + fields[name]["n"]
+        return F.concat(*parts)
+
+    return _let(F.struct(*[of(columns[k]).alias(k) for k in names]), joined)
+
+
+def _shifted(found: Column, shift: Column, weight: float) -> Column:
+    return F.transform(found, lambda x: F.struct(x["w"].alias("w"), (x["p"] + shift).alias("p"), F.lit(weight).alias("v")))
+
+
+def lexemes(columns: dict[str, Column], stemmed: bool = False) -> Column:
+    """Structs (w, p, v): words, places and weights of the columns that WEIGHTS names, without stop words."""
+    stop = F.array(*map(F.lit, STOP_WORDS))
+    return _placed(columns, lambda x: ~F.array_contains(stop, x["raw"]), stemmed)
+
+
+def parse(query: str, stemmed: bool = False) -> Query:
+    """Alternatives of (wanted, words in a row with their places): quotes bind a phrase, ``or`` parts alternatives, ``-``
+    denies; stop words are left out."""
+    out: Query = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query.lower()):
         if word == "or" and not minus:
             out.append([])
             continue
-        if found := re.findall(r"[^\W_]+", phrase or word):
+        row = re.findall(r"[^\W_]+", phrase or word)
+        found = [(stem(w) if stemmed else w, i) for i, w in enumerate(row) if w not in STOP_WORDS]
+        if found:
             out[-1].append((not minus, found))
     return [x for x in out if x]
 
 
-def matches(text: Column, query: str) -> Column:
-    """Whether the words of ``text`` meet ``query``; one without words meets nothing."""
-    line = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
-    has = lambda wanted, found: (lambda c: c if wanted else ~c)(line.contains(f" {' '.join(found)} "))
-    each = [reduce(lambda a, b: a & b, [has(*term) for term in terms]) for terms in parse(query)]
+def _meets(hits: Column, query: Query) -> Column:
+    def row(found: list[tuple[str, int]]) -> Column:
+        (first, at), rest = found[0], found[1:]
+        if not rest:
+            return F.exists(hits, lambda x: x["w"] == first)
+        follows = lambda x: reduce(lambda a, b: a & b, [F.exists(hits, lambda y: (y["w"] == w) & (y["p"] == x["p"] + (i - at))) for w, i in rest])  # noqa: B023, E731
+        return F.exists(hits, lambda x: (x["w"] == first) & follows(x))
+
+    each = [reduce(lambda a, b: a & b, [row(found) if wanted else ~row(found) for wanted, found in terms]) for terms in query]
     return reduce(lambda a, b: a | b, each, F.lit(False))
 
 
-def word_rank(columns: dict[str, Column], query: str) -> Column:
-    """Mean over the query's words of their best weight plus the other places' weights over squares, all over SQUARES.
+def _terms(query: Query) -> list[str]:
+    return sorted({w for terms in query for _, found in terms for w, _ in found})
 
-    Exact for one word, and for words of an alternative; nearness of several words is not rewarded.
-    """
-    terms = sorted({w for part in parse(query) for wanted, found in part if wanted for w in found})
+
+def _rank(hits: Column, query: Query) -> Column:
+    """Of alternatives, or one word: the mean over all words of their weights over the squares of their order, over
+    SQUARES. Of words that are all wanted: how near pairs of them stand, by their weights."""
+    terms = _terms(query)
     if not terms:
         return F.lit(0.0)
-    weighed = lambda k, v: F.transform(words(columns[k]), lambda w: F.struct(w.alias("w"), F.lit(v).alias("v")))
-    held = F.flatten(F.array(*[weighed(k, v) for k, v in WEIGHTS.items() if k in columns]))
+    of = lambda w: F.slice(F.filter(hits, lambda x: x["w"] == w), 1, MAX_PLACES)
+    if len(query) > 1 or len(terms) == 1:
+        total = lambda w: F.aggregate(F.transform(of(w), lambda x, i: x["v"] / ((i + 1) * (i + 1))), F.lit(0.0), lambda s, v: s + v) / SQUARES
+        return reduce(lambda a, b: a + b, map(total, terms)) / len(terms)
+
+    def near(x: Column, y: Column) -> Column:
+        far = F.abs(x["p"] - y["p"])
+        reach = F.when(far > 100, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(far / 1.5 - 2)))
+        return F.sqrt(x["v"] * y["v"] * reach)
+
+    pairs = [F.flatten(F.transform(of(a), lambda x: F.transform(F.filter(of(b), lambda y: y["p"] != x["p"]), lambda y: near(x, y)))) for a, b in combinations(terms, 2)]  # noqa: B023
+    return _let(F.concat(*pairs), lambda found: F.when(F.size(found) == 0, NO_PAIR).otherwise(1.0 - F.aggregate(found, F.lit(1.0), lambda s, v: s * (1.0 - v))))
+
+
+def _hits(columns: dict[str, Column], query: Query, stemmed: bool, kept: Column | None = None) -> Column:
+    """The words of the query that the columns hold, out of ``kept`` lexemes if there are some.
+
+    Without stems, texts that hold none of them as a string are not taken apart.
+    """
+    terms = _terms(query)
+    wanted = lambda x: x["w"].isin(terms)
+    none = F.array().cast("array<struct<w:string,p:int,v:double>>")
+    if not terms:
+        return none
+    if kept is not None:
+        return F.filter(kept, wanted)
+    found = _placed(columns, wanted, stemmed)
+    if stemmed:
+        return found
+    held = reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(t)) for c in columns.values() for t in terms])
+    return F.when(held, found).otherwise(none)
+
+
+def matches(text: Column, query: str, stemmed: bool = False) -> Column:
+    """Whether the words of ``text`` meet ``query``; one without words meets nothing."""
+    parsed = parse(query, stemmed)
+    return _let(_hits({"title": text}, parsed, stemmed), lambda hits: _meets(hits, parsed))
+
+
+def word_rank(columns: dict[str, Column], query: str, stemmed: bool = False) -> Column:
+    parsed = parse(query, stemmed)
+    return _let(_hits(columns, parsed, stemmed), lambda hits: _rank(hits, parsed))
 
-    def one(term: str) -> Column:  # weights fall from title to description, so the first place has the best
-        places = F.filter(held, lambda x: x["w"] == term)
-        return F.aggregate(F.transform(places, lambda x, i: x["v"] / ((i + 1) * (i + 1))), F.lit(0.0), lambda s, v: s + v) / SQUARES
 
-    return reduce(lambda a, b: a + b, map(one, terms)) / len(terms)
+def passes(similarity: Column, floor: float) -> Column:
+    """Whether a similarity, in single precision, is above a floor in double precision: 3 / 10 is above 0.3, and 2 / 5 above 0.4."""
+    return similarity.cast("float").cast("double") > F.lit(floor)
 
 
-def text_leg(rows: DataFrame, key: str, query: str) -> DataFrame:
-    """(key, rank) of ``rows`` (key, title, tags, description, venue) that meet the query or resemble it."""
-    title = trigram_similarity(F.coalesce("title", F.lit("")), F.lit(query))
-    venue = trigram_similarity(F.coalesce("venue", F.lit("")), F.lit(query))
-    everything = F.concat_ws("\n", "title", "tags", "description")
-    fit = rows.withColumn("_t", title).withColumn("_v", venue).filter(matches(everything, query) | (F.col("_t") > TITLE_FLOOR) | (F.col("_v") > VENUE_FLOOR))
-    score = word_rank({k: F.col(k) for k in WEIGHTS}, query) + TITLE_SHARE * F.col("_t") + VENUE_SHARE * F.col("_v")
-    return fit.select(key, score.alias("_score"))
+def text_leg(rows: DataFrame, key: str, query: str, stemmed: bool = False) -> DataFrame:
+    """(key, _score) of ``rows`` (key, title, tags, description, venue, and lexemes if kept) that meet the query or resemble it."""
+    parsed = parse(query, stemmed)
+    hits = _hits({k: F.col(k) for k in WEIGHTS}, parsed, stemmed, F.col("lexemes") if "lexemes" in rows.columns else None)
+    grams = F.array(*map(F.lit, text_grams(query))) if text_grams(query) else F.array().cast("array<string>")
+    alike = lambda c: set_similarity(trigrams(F.coalesce(c, F.lit(""))), grams)
+    found = F.struct(_let(hits, lambda x: F.struct(_meets(x, parsed).alias("meets"), _rank(x, parsed).alias("rank"))).alias("x"), alike("title").alias("t"), alike("venue").alias("v"))
+    good = F.filter(F.array(found), lambda f: f["x"]["meets"] | passes(f["t"], TITLE_FLOOR) | passes(f["v"], VENUE_FLOOR))
+    # made in a generator, so that nothing is evaluated again for the filter
+    scores = F.transform(good, lambda f: f["x"]["rank"] + TITLE_SHARE * f["t"] + VENUE_SHARE * f["v"])
+    return rows.select(key, F.explode(scores).alias("_score"))
 
 
 def vector_leg(rows: DataFrame, key: str, embedding: str, vector: list[float]) -> DataFrame:
@@ -86,19 +187,23 @@ def _text_ranks(found: DataFrame, key: str, limit: int, near: DataFrame | None)
     """The ranks (key, rank) that can matter: those of the first ``limit`` rows and of the rows of the vector leg.
 
     A row of the text leg alone that comes after ``limit`` others is beaten by all of them. The vector leg's rows, of
-    which there are VECTOR_TOP at most, are broadcast and the rows ahead of each counted; no task ranks them all.
+    which there are VECTOR_TOP at most, are broadcast as one array; each row counts for the first of them that it does
+    not come after, and running sums of these counts are their ranks.
     """
     order = [F.desc("_score"), F.col(key)]
     ranks = found.orderBy(*order).limit(limit).select(key, F.row_number().over(Window.orderBy(*order)).alias("rank"))
     if near is None:
         return ranks
-    few = F.broadcast(found.join(F.broadcast(near.select(key)), key).select(F.col(key).alias("_k"), F.col("_score").alias("_s")))
-    upto = found.join(few, (F.col("_score") > F.col("_s")) | ((F.col("_score") == F.col("_s")) & (F.col(key) <= F.col("_k"))))  # itself included
-    counted = upto.groupBy(F.col("_k").alias(key)).agg(F.count(F.lit(1)).cast("int").alias("rank"))
-    return ranks.unionByName(counted).groupBy(key).agg(F.min("rank").alias("rank"))
+    place = F.struct((-F.col("_score")).alias("s"), F.col(key).alias("k"))
+    few = found.join(F.broadcast(near.select(key)), key).agg(F.sort_array(F.collect_list(place)).alias("few"))
+    before = F.size(F.filter("few", lambda f: f < F.col("_place")))
+    counted = found.select(place.alias("_place")).join(F.broadcast(few)).select(before.alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("k"))
+    sums = counted.withColumn("rank", F.sum("k").over(Window.orderBy("_n"))).select("_n", "rank")  # at most VECTOR_TOP + 1 rows
+    named = few.select(F.posexplode("few").alias("_n", "f")).select("_n", F.col("f.k").alias(key))
+    return ranks.unionByName(named.join(sums, "_n").select(key, F.col("rank").cast("int").alias("rank"))).groupBy(key).agg(F.min("rank").alias("rank"))
 
 
-def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | None = None, facets: list[Column] | None = None, limit: int = 50) -> DataFrame:
+def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | None = None, facets: list[Column] | None = None, limit: int = 50, stemmed: bool = False) -> DataFrame:
     """(key, score, next_start), best first, of ``rows`` (key, title, tags, description, venue, next_start, embedding).
 
     With neither text nor vector the order is that of ``next_start``.
@@ -106,7 +211,7 @@ def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | Non
     base = rows.filter(reduce(lambda a, b: a & b, facets or [], F.lit(True)))
     legs = [vector_leg(base, key, "embedding", vector)] if vector is not None else []
     if query.strip():
-        legs.append(_text_ranks(text_leg(base, key, query), key, limit, legs[0] if legs else None))
+        legs.append(_text_ranks(text_leg(base, key, query, stemmed), key, limit, legs[0] if legs else None))
     scored = base.select(key, "next_start")
     scored = scored.join(reciprocal_rank_fusion(legs, key), key) if legs else scored.withColumn("score", F.lit(0.0))
     return scored.select(key, "score", "next_start").orderBy(F.desc("score"), "next_start", key).limit(limit)

@@ -1,3 +1,4 @@
 """Queries over the driver's tables; importing ``more`` registers the second set."""
 
 from almanac.plans import more as more
+from almanac.plans import third as third

@@ -60,11 +60,11 @@ def same_day_pairs(spark, sf_dir):
 
 
 @_query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
-    WHERE NOT EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_suppkey = a.s_suppkey AND y.l_suppkey = b.s_suppkey)""")
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_partkey % 400 = y.l_partkey % 400 AND x.l_linenumber = 7 AND y.l_linenumber = 7 AND x.l_quantity > 40 AND y.l_quantity > 40 WHERE x.l_suppkey = a.s_suppkey AND y.l_suppkey = b.s_suppkey)""")
 def anti_shared_source(spark, sf_dir):
-    rows, links = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    rows, links = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity > 40").select((F.col("l_partkey") % 400).alias("source"), "l_suppkey").distinct()
     pairs = rows.select("s_nationkey", F.col("s_suppkey").alias("a")).join(rows.select("s_nationkey", F.col("s_suppkey").alias("b")), "s_nationkey").filter("a < b").select("a", "b")
-    return resolution.without_shared_source(pairs, links, "l_suppkey", "l_orderkey")
+    return resolution.without_shared_source(pairs, links, "l_suppkey", "source")
 
 
 @_query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey),
@@ -215,9 +215,16 @@ def calendar_sink(spark, sf_dir):
     return _t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), block.alias("block"))
 
 
-@_query()
+@_query("""WITH RECURSIVE d AS (SELECT event_id, user_id, event_type, ts, CAST(timezone('America/Chicago', timezone('UTC', ts)) AS DATE) AS day FROM events),
+    s AS (SELECT a.event_id AS a, b.event_id AS b, 0.55::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE * (1 - least(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 60000000.0::DOUBLE, 180) / 180) AS score
+      FROM d a JOIN d b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.day = b.day AND a.event_id < b.event_id),
+    p AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM s WHERE score >= 0.8),
+    r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone, NULL::BIGINT AS survivor, NULL::BIGINT AS absorbed
+      UNION ALL SELECT p.n, CASE WHEN list_contains(r.gone, p.a) OR list_contains(r.gone, p.b) THEN r.gone ELSE list_append(r.gone, p.b) END,
+        CASE WHEN list_contains(r.gone, p.a) OR list_contains(r.gone, p.b) THEN NULL ELSE p.a END, CASE WHEN list_contains(r.gone, p.a) OR list_contains(r.gone, p.b) THEN NULL ELSE p.b END FROM r JOIN p ON p.n = r.n + 1)
+    SELECT survivor, absorbed FROM r WHERE survivor IS NOT NULL""")
 def greedy_merge(spark, sf_dir):
-    """Scored pairs of the same day consumed in order; sequential, so beyond SQL: a test compares with a loop."""
+    """Scored pairs of the same day consumed in order."""
     pairs = resolution.same_day_pairs(_t(spark, sf_dir, "events"), "event_id", "ts", ["user_id", "event_type"])
     scored = pairs.select("a", "b", scoring.pair_score(F.lit(1.0), F.lit(1.0), F.col("minutes"), F.lit(False)).alias("score"))
     return resolution.greedy_merge(scored.filter(F.col("score") >= scoring.MERGE_AT))
@@ -245,9 +252,26 @@ def websearch_match(spark, sf_dir):
     return _t(spark, sf_dir, "documents").filter(search.matches(F.col("text"), '"mit license" -password or river')).select("doc_id")
 
 
-@_query()
+_COUNT = "len(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w = '{1}'))"
+_SQUARED = "coalesce(list_sum(list_transform(range(1, least({0}t + {0}g + {0}d, 256) + 1), lambda j: CASE WHEN j <= {0}t THEN 1.0::DOUBLE WHEN j <= {0}t + {0}g THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END / (j * j))), 0)"
+
+
+def _gram_sim(x: str) -> str:
+    q = _GRAMS.format("'river or license'")
+    g = _GRAMS.format(x)
+    return f"coalesce(len(list_intersect({g}, {q}))::DOUBLE / nullif(len({g}) + len({q}) - len(list_intersect({g}, {q})), 0), 0)"
+
+
+@_query(f"""WITH b AS (SELECT doc_id, split_part(text, '.', 1) AS title, lang AS tags, text AS description, source AS venue, n_chars AS next_start, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE lang = 'en'),
+    c AS (SELECT doc_id, next_start, {", ".join(f"{_COUNT.format(col, word)} AS {k}{c}" for k, word in (("r", "river"), ("l", "license")) for c, col in (("t", "title"), ("g", "tags"), ("d", "description")))}, {_gram_sim("title")} AS st, {_gram_sim("venue")} AS sv FROM b),
+    x AS (SELECT doc_id, ({_SQUARED.format("r")} + {_SQUARED.format("l")}) / 1.64493406685 / 2 + 0.5 * st + 0.3 * sv AS score FROM c WHERE rt + rg + rd + lt + lg + ld > 0 OR st::FLOAT::DOUBLE > 0.3::DOUBLE OR sv::FLOAT::DOUBLE > 0.4::DOUBLE),
+    t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM x),
+    q AS (SELECT list_transform(range(64), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS q),
+    v AS (SELECT doc_id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q) NULLS LAST, doc_id) AS r FROM b, q),
+    f AS (SELECT coalesce(t.doc_id, v.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + t.r), 0) + coalesce(1.0::DOUBLE / (60 + v.r), 0) AS score FROM t FULL JOIN (SELECT * FROM v WHERE r <= 50) v ON t.doc_id = v.doc_id)
+    SELECT f.doc_id, round(f.score, 9) AS score, b.next_start FROM f JOIN b ON b.doc_id = f.doc_id ORDER BY f.score DESC, b.next_start, f.doc_id LIMIT 50""")
 def hybrid_search(spark, sf_dir):
-    """Words and vectors fused; a test compares with a loop."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("lang").alias("tags"), F.col("text").alias("description"), F.col("source").alias("venue"), F.col("n_chars").alias("next_start"))
     rows = docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    return search.search(rows, "doc_id", "river or license", [1.0] + [0.0] * 63, [F.col("tags") == "en"])
+    found = search.search(rows, "doc_id", "river or license", [1.0] + [0.0] * 63, [F.col("tags") == "en"])
+    return found.select("doc_id", F.round("score", 9).alias("score"), "next_start")

@@ -78,9 +78,9 @@ def dup_groups_having(spark, sf_dir):
     return _t(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@_query("""SELECT c.c_custkey AS custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+@_query("""SELECT c.c_custkey AS custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' AND o.o_totalprice > 200000)""")
 def orphan_anti(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return _t(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select(F.col("c_custkey").alias("custkey"))
 
 
@@ -97,8 +97,7 @@ def distinct_days(spark, sf_dir):
 
 @_query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type""")
 def percentile_nearest_rank(spark, sf_dir):
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    return core.nearest_rank(_t(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @_query("""SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) WHERE place <= 3""")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from almanac.functions.timefn import local_day
+from almanac.functions.scoring import backoff_hours
+from almanac.functions.timefn import ZONE
 from almanac.operators.core import first_per_key
 
 
@@ -24,15 +27,20 @@ def sliding_counts(stream: DataFrame, key: str, ts: str, width: str = "60 minute
     return found.select(key, F.col("window.start").alias("starts"), F.col("window.end").alias("ends"), "n")
 
 
-def local_day_counts(stream: DataFrame, ts: str, late: str = "24 hours") -> DataFrame:
-    """Rows of each local day: windows of one day would be those of UTC."""
-    return stream.withWatermark(ts, late).groupBy(local_day(F.col(ts)).alias("day"), F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("k")).select("day", "k")
+def local_day_counts(stream: DataFrame, ts: str, zone: str = ZONE, late: str = "24 hours") -> DataFrame:
+    """(day, k): rows of each local day.
+
+    Days are windows of wall time: a window of a day of instants would be a day of UTC. The watermark is on wall time.
+    """
+    wall = stream.withColumn("_wall", F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
+    found = wall.withWatermark("_wall", late).groupBy(F.window("_wall", "1 day")).agg(F.count(F.lit(1)).alias("k"))
+    return found.select(F.to_date("window.start").alias("day"), "k")
 
 
 def upsert_into(stream: DataFrame, path: str, keys: Sequence[str], newest: str, checkpoint: str) -> DataStreamWriter:
     """Each batch's newest row of a key is written under ``path/batch=N``; ``latest`` reads the newest of all.
 
-    A batch that is run again after a failure replaces its own folder only.
+    A batch that is run again after a failure replaces its own folder only. ``compact`` folds batches together.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
@@ -46,3 +54,70 @@ def latest(spark, path: str, keys: Sequence[str], newest: str) -> DataFrame:
     """The newest row of each key in a table of ``upsert_into``; later batches win ties."""
     rows = spark.read.parquet(path)
     return first_per_key(rows, keys, [F.desc(newest), F.desc("batch")]).drop("place", "batch")
+
+
+def compact(spark, path: str, keys: Sequence[str], newest: str, upto: int) -> None:
+    """Fold the batches up to ``upto``, none of which is still written, into one folder.
+
+    The fold is written beside the table, renamed into it under a negative number, by which later batches win ties, and
+    only then are the folded batches deleted. Cut short at any point, the table reads the same, and a fold can be run again.
+    """
+    rows = spark.read.parquet(path).filter(F.col("batch") <= upto)
+    beside, name = f"{path.rstrip('/')}-fold", f"batch=-{upto + 1}"
+    first_per_key(rows, keys, [F.desc(newest), F.desc("batch")]).drop("place", "batch").write.mode("overwrite").parquet(beside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in files.listStatus(hadoop.Path(path)) if x.getPath().getName().startswith("batch=") and int(x.getPath().getName()[6:]) <= upto]
+    if files.rename(hadoop.Path(beside), hadoop.Path(f"{path}/{name}")):
+        for at in old:
+            files.delete(at, True)
+
+
+def superseded_upserts(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Instances (source_id, source_event_id, event_id, start_at, seen_at) under ``path/batch=N``, late ones too; ``current`` reads those that hold."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.dropDuplicates(["source_id", "source_event_id", "start_at"]).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """What holds of ``superseded_upserts``: of an id, the starts of its newest sighting, so moved starts are gone."""
+    newest = F.max("seen_at").over(Window.partitionBy("source_id", "source_event_id"))
+    return rows.withColumn("_newest", newest).filter("seen_at = _newest").drop("_newest")
+
+
+_HEALTH = StructType([StructField("failures", IntegerType())])
+
+
+def backoff_states(stream: DataFrame) -> DataFrame:
+    """(source, failures, wait_hours) after each batch of runs (source, ts, ok): failures in a row, and the hours to wait.
+
+    A source's runs of a batch are taken in the order of ts. The state of a source is one number.
+    """
+
+    def step(key, parts, state):
+        failures = state.get[0] if state.exists else 0
+        runs = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        for ok in runs["ok"]:
+            failures = 0 if ok else failures + 1
+        state.update((failures,))
+        yield pd.DataFrame({"source": [key[0]], "failures": [failures]})
+
+    found = stream.groupBy("source").applyInPandasWithState(step, "source string, failures int", _HEALTH, "update", "NoTimeout")
+    return found.withColumn("wait_hours", backoff_hours(F.col("failures")))
+
+
+def per_source(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], shape: str, order: str = "ordinal") -> DataFrame:
+    """``work`` on each source's batches in order, sources apart from each other.
+
+    A source's rows are sorted within one task and reach ``work`` in Arrow batches, so that no source is held whole.
+    """
+
+    def run(parts):
+        for part in parts:
+            for _, mine in part.groupby("source", sort=False):
+                yield work(mine)
+
+    return rows.repartition("source").sortWithinPartitions("source", order).mapInPandas(run, shape)
