@@ -69,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Components by plain comparison of all pairs that share a shingle.
 _OP4 = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+    s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::UBIGINT[] WHEN len(ws) < 5 THEN [hash(array_to_string(ws, ' '))] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: hash(array_to_string(ws[i:i + 4], ' ')))) END AS sh FROM w),
     e AS (SELECT doc_id, unnest(sh) AS t FROM s),
     i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
     l AS (SELECT i.a, i.b FROM i JOIN s x ON x.doc_id = i.a JOIN s y ON y.doc_id = i.b WHERE 100 * n >= 75 * (len(x.sh) + len(y.sh) - n)),
