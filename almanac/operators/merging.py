@@ -23,7 +23,7 @@ from almanac.operators.resolution import linked_groups, without_shared_source
 
 TITLE_FLOOR = 0.3
 #: Groups of linked pairs up to this many are decided in one task each; larger ones in rounds over whole tables.
-GROUP_PAIRS = 50_000
+GROUP_PAIRS = 1_000_000
 #: Depth of chains of merges that one rewrite follows.
 MAX_CHAIN = 64
 

@@ -62,7 +62,7 @@ def linked_groups(pairs: DataFrame) -> DataFrame:
 
 
 #: Groups of linked pairs up to this many are merged in one task each; larger ones in rounds over whole tables.
-GROUP_PAIRS = 50_000
+GROUP_PAIRS = 1_000_000
 
 
 def greedy_merge(pairs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from almanac.functions.scoring import cosine_distance
 from almanac.functions.stemming import STOP_WORDS, stem, stems
 from almanac.functions.text import set_similarity, text_grams, trigrams
 from almanac.operators.core import reciprocal_rank_fusion
+from almanac.operators.lineage import cut
 
 # Weights of title, tags and description; limits and weights of the similarities; the limit of squares; the
 # places of a word that count.
@@ -211,7 +212,10 @@ def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | Non
     base = rows.filter(reduce(lambda a, b: a & b, facets or [], F.lit(True)))
     legs = [vector_leg(base, key, "embedding", vector)] if vector is not None else []
     if query.strip():
-        legs.append(_text_ranks(text_leg(base, key, query, stemmed), key, limit, legs[0] if legs else None))
+        found = text_leg(base, key, query, stemmed)
+        if legs:
+            found = cut(found)  # keys and scores, read three times
+        legs.append(_text_ranks(found, key, limit, legs[0] if legs else None))
     scored = base.select(key, "next_start")
     scored = scored.join(reciprocal_rank_fusion(legs, key), key) if legs else scored.withColumn("score", F.lit(0.0))
     return scored.select(key, "score", "next_start").orderBy(F.desc("score"), "next_start", key).limit(limit)
