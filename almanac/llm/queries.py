@@ -78,6 +78,37 @@ _OP4 = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(tr
     SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id FROM s JOIN (SELECT node, min(other) AS component_id FROM r GROUP BY node) c ON c.node = s.doc_id"""
 
 
+
+
+def _op7() -> str:
+    """The counts, the exact bounds and the verdicts of the quality rules."""
+    from almanac.llm.quality_rules import _MEASURES, ALPHA, DELTA, RULES
+
+    space = r"[\x20\x09-\x0D]"
+    cutoffs = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, cs in RULES.items() for i, c in enumerate(cs))
+    share = " ".join(f"WHEN '{rule}' THEN {over} > {under} * r.cutoff" for rule, (over, under) in _MEASURES.items())
+    n, alpha = len(RULES), ALPHA / len(RULES)
+    return rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+    w AS MATERIALIZED (SELECT *, list_filter(string_split_regex(text, '{space}+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: hash(ws[i], ws[i + 1], ws[i + 2]))) AS x FROM w),
+    h AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM g) WHERE k > 1),
+    q AS (SELECT doc_id, count(DISTINCT i) AS n FROM h GROUP BY doc_id),
+    c AS MATERIALIZED (SELECT w.doc_id, w.stratum, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(q.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_adjacent, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+      FROM w LEFT JOIN q ON q.doc_id = w.doc_id),
+    f AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+    m AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+    r AS (SELECT * FROM (VALUES {cutoffs}) t(rule, i, cutoff)),
+    k AS (SELECT f.stratum, r.rule, r.i, r.cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND CASE r.rule {share} END) AS hits, count(*) FILTER (WHERE NOT good AND CASE r.rule {share} END) AS bad
+      FROM f JOIN m ON m.doc_id = f.doc_id CROSS JOIN r WHERE NOT base_failed GROUP BY f.stratum, r.rule, r.i, r.cutoff),
+    e AS (SELECT * FROM k WHERE n >= ln({DELTA / n}::DOUBLE) / ln(1 - {alpha}::DOUBLE)),
+    b AS (SELECT e.*, hits < {alpha}::DOUBLE * n AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}::DOUBLE) + (n - j) * ln(1 - {alpha}::DOUBLE))) FROM (SELECT unnest(range(0, hits + 1)) AS j)) <= {DELTA}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM e) * {n}) AS good FROM e),
+    o AS (SELECT *, bool_and(good) OVER (PARTITION BY stratum, rule ORDER BY i) AS certified FROM b),
+    u AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - 10 * hits DESC, i) AS first FROM o WHERE certified AND bad - 10 * hits > 0) WHERE first = 1),
+    x AS (SELECT DISTINCT f.doc_id FROM f JOIN u r ON r.stratum = f.stratum WHERE CASE r.rule {share} END)
+    SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM f LEFT JOIN x ON x.doc_id = f.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need checksums, tokenizers, images or trained models; tests compare them with plain Python."""
-    return {"op4_ngram_jaccard_join": _OP4}
+    return {"op4_ngram_jaccard_join": _OP4, "op7_quality_rules": _op7()}
