@@ -43,3 +43,11 @@ def day_heading(ts: Column) -> Column:
 
 def clock(ts: Column) -> Column:
     return F.date_format(local(ts), "h:mm a")
+
+
+def day_short(ts: Column) -> Column:
+    return F.upper(F.date_format(local(ts), "EEE"))
+
+
+def date_label(ts: Column) -> Column:
+    return F.date_format(local(ts), "EEE, MMM d")

@@ -12,9 +12,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.names import normalize_name, venue_slug
+from almanac.functions.names import content_hash, normalize_name, venue_slug
 from almanac.functions.text import slugify
-from almanac.operators.core import first_per_key
+from almanac.operators.core import first_per_key, insert_if_absent
 from almanac.operators.mutations import unless_locked
 
 # Days that instances and superseded payloads are kept; rows of one prune; minutes of a claim; lockable fields.
@@ -25,6 +25,15 @@ LOCKABLE = ("title", "status", "venue", "time")
 MONDAY = 2
 
 
+def landed(stored: DataFrame, new: DataFrame, as_of: datetime) -> DataFrame:
+    """``stored`` (source_id, source_event_id, content_hash, payload, extracted_at) with the payloads of ``new`` (source_id,
+    source_event_id, payload) that it lacks, by their canonical text; a payload that comes twice lands once."""
+    hashed = new.withColumn("content_hash", content_hash(F.col("payload"))).withColumn("extracted_at", F.lit(as_of).cast(stored.schema["extracted_at"].dataType))
+    keys = ["source_id", "source_event_id", "content_hash"]
+    once = hashed.groupBy(*keys).agg(F.min("payload").alias("payload"), F.min("extracted_at").alias("extracted_at"))
+    return insert_if_absent(stored, once, keys)
+
+
 def resolved_venues(records: DataFrame, venues: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(normalized_name, venue_id) of all names in ``records``, and the venues that they add.
 

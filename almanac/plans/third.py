@@ -686,3 +686,93 @@ def day_range_capped(spark, sf_dir):
     first = F.to_date("o_orderdate")
     last = F.date_add(first, F.when(F.col("o_orderkey") % 10 == 0, -3).otherwise(F.col("o_orderkey") % 9).cast("int"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.explode(day_range(first, last, 5)).alias("day"))
+
+
+# Sinks
+
+
+def _sunk(spark, sf_dir):
+    events, places = _all(spark, sf_dir, "events", "venues")
+    return events.join(places.select(F.col("id").alias("venue_id"), F.col("name").alias("venue_name"), "address"), "venue_id", "left")
+
+
+_STAMPS = "TIMESTAMP '2001-05-15 12:00:00' + INTERVAL 1 HOUR * (e.id % 50)"
+_WHERE = "concat_ws(', ', v.name, coalesce(v.address, 'Town, ST'))"
+_ESCAPED = "replace(replace(replace({0}, ',', '\\,'), ';', '\\;'), chr(10), '\\n')"
+
+
+@_query(f"""{ctes("events", "venues")} SELECT e.id, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:x', 'BEGIN:VEVENT', concat('UID:', e.slug), 'DTSTAMP:20010515T120000Z', concat('DTSTART:', strftime({_STAMPS}, '%Y%m%dT%H%M%SZ')),
+    concat('DTEND:', strftime({_STAMPS} + INTERVAL 2 HOUR, '%Y%m%dT%H%M%SZ')), concat('SUMMARY:', e.title), concat('LOCATION:', {_ESCAPED.format(_WHERE)}), concat('DESCRIPTION:', coalesce(e.description, '')), concat('URL:https://s/', e.slug), 'END:VEVENT', 'END:VCALENDAR'], chr(13) || chr(10)) AS body
+    FROM events e LEFT JOIN venues v ON v.id = e.venue_id""")
+def calendar_files(spark, sf_dir):
+    from almanac.sources import sinks
+
+    c = F.col
+    start = F.lit(AS_OF).cast("timestamp_ntz") + F.make_dt_interval(hours=(c("id") % 50).cast("int"))
+    where = sinks.place(c("venue_name"), c("address"), "Town, ST")
+    return _sunk(spark, sf_dir).select("id", sinks.calendar_text(c("slug"), F.lit(AS_OF).cast("timestamp_ntz"), start, F.lit(None).cast("timestamp_ntz"), c("title"), where, c("description"), F.concat(F.lit("https://s/"), "slug"), "x").alias("body"))
+
+
+@_query(f"""{ctes("events", "venues")} SELECT e.id, concat('https://c/r?action=TEMPLATE&text=', replace(e.title, ' ', '+'), '&dates=', strftime({_STAMPS}, '%Y%m%dT%H%M%SZ'), '%2F', strftime({_STAMPS} + INTERVAL 2 HOUR, '%Y%m%dT%H%M%SZ'),
+    '&details=', replace(CASE WHEN e.description IS NULL THEN '' ELSE concat(e.description, '%0A%0A') END, ' ', '+'), 'https%3A%2F%2Fs%2F', e.slug, '&location=', replace(replace({_WHERE}, ' ', '+'), ',', '%2C'), '&ctz=America%2FChicago') AS link
+    FROM events e LEFT JOIN venues v ON v.id = e.venue_id""")
+def calendar_links(spark, sf_dir):
+    from almanac.sources import sinks
+
+    c = F.col
+    start = F.lit(AS_OF).cast("timestamp_ntz") + F.make_dt_interval(hours=(c("id") % 50).cast("int"))
+    return _sunk(spark, sf_dir).select("id", sinks.calendar_link("https://c/r", start, F.lit(None).cast("timestamp_ntz"), c("title"), sinks.place(c("venue_name"), c("address"), "Town, ST"), c("description"), F.concat(F.lit("https://s/"), "slug")).alias("link"))
+
+
+@_query(f"""{ctes("events", "instances", "venues")}, s AS (SELECT event_id, list(start_at ORDER BY start_at) AS starts FROM instances WHERE {_FUTURE} GROUP BY event_id)
+    SELECT e.id, concat('[', array_to_string(list_transform(s.starts[1:10], lambda t: concat('{{"@context":"https://schema.org","@type":"Event","name":"', e.title, CASE WHEN e.description IS NOT NULL THEN concat('","description":"', e.description) ELSE '' END,
+      '","eventStatus":"https://schema.org/EventScheduled","location":{{"@type":"Place","name":"', coalesce(v.name, 'Town'), '","address":"', coalesce(v.address, 'Town'), '"}},"url":"https://s/', e.slug, '?a=1\\u0026b=2"',
+      CASE WHEN coalesce(e.is_free, false) THEN concat(',"offers":{{"@type":"Offer","price":"0","priceCurrency":"USD","url":"', coalesce(e.canonical_url, concat('https://s/', e.slug, '?a=1\\u0026b=2')), '","availability":"https://schema.org/InStock"}}') ELSE '' END,
+      CASE WHEN e.is_station THEN ',"organizer":{{"@type":"Organization","name":"Own","url":"https://own"}}' ELSE '' END, ',"startDate":"', strftime(t, '%Y-%m-%dT%H:%M:%SZ'), '"}}')), ','), ']') AS body
+    FROM events e JOIN s ON s.event_id = e.id LEFT JOIN venues v ON v.id = e.venue_id""")
+def linked_data_sink(spark, sf_dir):
+    from almanac.sources import sinks
+
+    starts = table(spark, sf_dir, "instances").filter(listing.upcoming(AS_OF)).groupBy(F.col("event_id").alias("id")).agg(F.sort_array(F.collect_list("start_at")).alias("starts"))
+    rows = _sunk(spark, sf_dir).join(starts, "id").withColumns({"status": F.lit("scheduled"), "image": F.lit(None).cast("string"), "price_min": F.lit(None).cast("string"), "url": F.concat(F.lit("https://s/"), "slug", F.lit("?a=1&b=2"))})
+    return sinks.linked_events(rows, "Town", ("Own", "https://own"))
+
+
+@_query(f"""{ctes("instances", "events")}, x AS (SELECT * FROM instances WHERE {_FUTURE} ORDER BY start_at, event_id LIMIT 15000), y AS (SELECT e.slug, max(x.start_at) AS last FROM x JOIN events e ON e.id = x.event_id GROUP BY e.slug ORDER BY e.slug LIMIT 5000)
+    SELECT concat('<url><loc>https://s/', slug, '?a&amp;b</loc><lastmod>', strftime(last, '%Y-%m-%dT%H:%M:%SZ'), '</lastmod></url>') AS value FROM y""")
+def site_map_sink(spark, sf_dir):
+    from almanac.sources import sinks
+
+    rows = listing.site_rows(*_all(spark, sf_dir, "instances", "events"), AS_OF)
+    return sinks.site_map_lines(rows.select(F.concat(F.lit("https://s/"), "slug", F.lit("?a&b")).alias("loc"), F.col("start_at").alias("lastmod")))
+
+
+@_query("""SELECT source_id, count(*) AS n FROM (SELECT DISTINCT user_id % 5 AS source_id, event_type, value FROM events) GROUP BY source_id""")
+def landed_payloads(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 5).alias("source_id"), F.col("event_type").alias("source_event_id"), "value", "event_id")
+    form = lambda order: F.concat(F.lit("{"), F.concat_ws(", ", *order), F.lit("}"))
+    fields = [F.concat(F.lit('"v": '), F.col("value").cast("string")), F.lit('"a": 1')]
+    payload = F.when(F.col("event_id") % 2 == 0, form(fields)).otherwise(form(fields[::-1]))
+    new = rows.select("source_id", "source_event_id", payload.alias("payload"), "event_id")
+    empty = spark.createDataFrame([], "source_id bigint, source_event_id string, content_hash string, payload string, extracted_at timestamp_ntz")
+    first = persist.landed(empty, new.filter("event_id % 3 = 0").drop("event_id"), AS_OF)
+    return persist.landed(first, new.drop("event_id"), AS_OF).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""SELECT event_id, upper(strftime({_LOCAL.format("ts")}, '%a')) AS short, strftime({_LOCAL.format("ts")}, '%a, %b %-d') AS label FROM events""")
+def date_labels(spark, sf_dir):
+    from almanac.functions import timefn
+
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", timefn.day_short(F.col("ts")).alias("short"), timefn.date_label(F.col("ts")).alias("label"))
+
+
+@_query(f"""{ctes("events")} SELECT id, length(title) AS n FROM (SELECT * FROM events WHERE category IS NULL ORDER BY created_at, id LIMIT 50) WHERE id % 2 = 0""")
+def plugged_answers(spark, sf_dir):
+    from almanac.operators.plug import answers
+
+    def ask(rows):
+        if rows["id"].iloc[0] % 2:
+            raise ValueError("no answer")
+        return rows[["id"]].assign(n=rows["title"].str.len())
+
+    return answers(table(spark, sf_dir, "events").filter("category IS NULL").select("id", "title", "created_at"), ask, "id long, n long", 50, batch=1)

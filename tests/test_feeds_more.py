@@ -82,3 +82,14 @@ def test_registry_slice_and_dispatch(spark):
     assert [x.id for x in feeds.read_all(pages).collect()] == ["1"]
     with pytest.raises(ValueError):
         feeds.read_all(pages.withColumn("adapter", F.lit("rss")))
+
+
+def test_saved_pages(spark, tmp_path):
+    from almanac.sources.saved import saved_pages
+
+    for at, body in (("html/upcoming/s one/1", "a\nb"), ("ical/-/t/1", "c")):
+        file = tmp_path / at
+        file.parent.mkdir(parents=True)
+        file.write_text(body)
+    got = {tuple(x) for x in saved_pages(spark, str(tmp_path), "https://x.org/").collect()}
+    assert got == {("html", "upcoming", "s one", "https://x.org/s one/1", "a\nb"), ("ical", "", "t", "https://x.org/t/1", "c")}
