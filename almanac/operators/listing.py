@@ -216,6 +216,24 @@ def day_sorted(cards: DataFrame, mode: str = "default", point: tuple[float, floa
     return rows.withColumn("place", F.row_number().over(day.orderBy(*order)))
 
 
+def day_groups(hits: DataFrame) -> DataFrame:
+    """``hits`` (ordinal, start_at, ...) with their local day and its ``group``, from 1: days come as their first hit does.
+
+    Hits of a search are in score order, and so are their days; those of a listing come in time order.
+    """
+    rows = hits.withColumn("day", timefn.local_day(F.col("start_at")))
+    first = rows.groupBy("day").agg(F.min("ordinal").alias("_first"))
+    ranked = first.withColumn("group", F.row_number().over(Window.orderBy("_first")))  # a row a day
+    return rows.join(F.broadcast(ranked.select("day", "group")), "day")
+
+
+def pins(cards_: DataFrame, places: DataFrame) -> DataFrame:
+    """(venue_id, lat, lng, n, slug): a pin for each venue of known place, with how many listings it has and the slug of the first."""
+    order = F.struct("start_at", "ordinal")
+    rows = cards_.groupBy("venue_id").agg(F.count_distinct("event_id").alias("n"), F.min_by("slug", order).alias("slug"))
+    return rows.join(places.select(F.col("id").alias("venue_id"), "lat", "lng"), "venue_id")
+
+
 def highlights(cards: DataFrame, many: int = HIGHLIGHTS) -> DataFrame:
     """The first cards, the station's own before the others, each kind in its given order (``ordinal``)."""
     return cards.orderBy(F.desc_nulls_last("is_station"), "ordinal").limit(many)

@@ -776,3 +776,38 @@ def plugged_answers(spark, sf_dir):
         return rows[["id"]].assign(n=rows["title"].str.len())
 
     return answers(table(spark, sf_dir, "events").filter("category IS NULL").select("id", "title", "created_at"), ask, "id long, n long", 50, batch=1)
+
+
+# Search as a request
+
+_FOUND = f"""{ctes("events", "instances", "venues")}, n AS (SELECT event_id, min(start_at) AS next_start FROM instances WHERE {_FUTURE} GROUP BY event_id),
+    b AS (SELECT e.id, e.slug, n.next_start, len(list_filter(string_split(e.title, ' '), lambda w: w = 'gear')) AS nt, len(list_filter(string_split(coalesce(e.description, ''), ' '), lambda w: w = 'gear')) AS nd, {_sim("e.title", "'gears'")} AS st, coalesce({_sim("v.normalized_name", "'gears'")}, 0) AS sv
+      FROM events e JOIN n ON n.event_id = e.id LEFT JOIN venues v ON v.id = e.venue_id WHERE e.is_free),
+    x AS (SELECT id, slug, next_start, (CASE WHEN nt > 0 AND nd > 0 THEN 1 + 0.2::DOUBLE / 4 WHEN nt > 0 THEN 1 WHEN nd > 0 THEN 0.2::DOUBLE ELSE 0 END) / 1.64493406685::DOUBLE + 0.5::DOUBLE * st + 0.3::DOUBLE * sv AS s FROM b WHERE nt > 0 OR nd > 0 OR st::FLOAT::DOUBLE > 0.3::DOUBLE OR sv::FLOAT::DOUBLE > 0.4::DOUBLE),
+    r AS (SELECT id, slug, next_start, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, id)) AS score FROM x),
+    f AS (SELECT * FROM r ORDER BY score DESC, next_start, id LIMIT 50)"""
+
+
+def _found(spark, sf_dir):
+    return listing.search_listings(*_all(spark, sf_dir, "events", "instances", "venues"), listing.Request(q="free gears"), NOW)
+
+
+@_query(f"{_FOUND} SELECT id, round(score, 9) AS score, next_start FROM f")
+def search_request(spark, sf_dir):
+    return _found(spark, sf_dir).select("id", F.round("score", 9).alias("score"), "next_start")
+
+
+@_query(f"""{_FOUND}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, next_start, id) AS k, CAST({_LOCAL.format("next_start")} AS DATE) AS day FROM f), g AS (SELECT day, row_number() OVER (ORDER BY min(k)) AS "group" FROM o GROUP BY day)
+    SELECT o.id, o.day, g."group" FROM o JOIN g ON g.day = o.day""")
+def search_day_groups(spark, sf_dir):
+    ordinal = F.struct((-F.col("score")).alias("s"), "next_start", "id")
+    rows = listing.day_groups(_found(spark, sf_dir).select("id", F.col("next_start").alias("start_at"), ordinal.alias("ordinal")))
+    return rows.select("id", "day", F.col("group").cast("long").alias("group"))
+
+
+@_query(f"""{ctes("events", "instances", "venues", "registry")}, p AS (SELECT v.id, CASE WHEN v.lat IS NOT NULL AND v.lng IS NOT NULL THEN v.lat ELSE r.lat END AS lat, CASE WHEN v.lat IS NOT NULL AND v.lng IS NOT NULL THEN v.lng ELSE r.lon END AS lng FROM venues v LEFT JOIN registry r ON r.id = v.registry_id)
+    SELECT p.id AS venue_id, round(p.lat, 6) AS lat, round(p.lng, 6) AS lng, count(DISTINCT e.id) AS n, first(e.slug ORDER BY i.start_at, e.slug) AS slug FROM instances i JOIN events e ON e.id = i.event_id JOIN p ON p.id = e.venue_id WHERE {_FUTURE} AND p.lat IS NOT NULL AND p.lng IS NOT NULL GROUP BY p.id, p.lat, p.lng""")
+def map_pins(spark, sf_dir):
+    places, registry = _all(spark, sf_dir, "venues", "registry")
+    found = listing.pins(_cards(spark, sf_dir).withColumn("ordinal", F.col("slug")), listing.place_of(places, registry))
+    return found.select("venue_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "n", "slug")
