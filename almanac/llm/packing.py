@@ -71,6 +71,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separ
                 row += len(piece)
                 arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+        ids.old = {}  # the worker goes on to other work
 
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, deal long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -38,7 +38,7 @@ _WORDS, _SHAPES, _STEPS = 4096, 512, 21
 DIMENSIONS = _WORDS + _SHAPES + 4 * _STEPS
 _CLASSES = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+")
-_KEEP_WORDS = 300_000
+_KEEP_WORDS = 100_000
 _places: dict[bytes, tuple[int, int]] = {}
 
 
