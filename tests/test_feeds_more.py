@@ -93,3 +93,19 @@ def test_saved_pages(spark, tmp_path):
         file.write_text(body)
     got = {tuple(x) for x in saved_pages(spark, str(tmp_path), "https://x.org/").collect()}
     assert got == {("html", "upcoming", "s one", "https://x.org/s one/1", "a\nb"), ("ical", "", "t", "https://x.org/t/1", "c")}
+
+
+def test_adapters_follow_tokens(spark):
+    from almanac.sources.adapters import Adapter, fetched
+
+    def fetch(config, token):
+        page = int(token or 0)
+        if config == "bad" and page == 1:
+            raise OSError("down")
+        item = {"id": f"{config}{page}", "title": "t" if page else "", "startDate": 0, "fullUrl": "/p"}
+        return f"https://x.org/{page}", json.dumps({"upcoming": [item]}), str(page + 1) if page < 7 else None
+
+    sources = spark.createDataFrame([("a", "good"), ("b", "bad")], "source string, config string")
+    assert sorted((x.source, x.page) for x in fetched(sources, fetch).collect()) == [("a", k) for k in range(5)] + [("b", 0)]
+    got = Adapter(fetch, feeds.upcoming_pages, 3).listings(sources).collect()
+    assert sorted((x.id, x.valid) for x in got) == [("bad0", False), ("good0", False), ("good1", True), ("good2", True)]
