@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="almanac-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; a local session without that setting uses a temporary folder."""
+    """``df`` written under ``spark.checkpoint.dir`` and read back; a local session without that setting uses a temporary folder.
+
+    A written table is computed once, where a checkpoint computes its rows to count them and again to write them.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="almanac-"))
-    return df.checkpoint()
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(at or _own_folder()).rstrip('/')}/almanac-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
