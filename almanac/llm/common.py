@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,19 @@ def drop_tables(*tables: DataFrame) -> None:
         for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def query_blocks(queries: DataFrame, size: str, most: int) -> Iterator[list]:
+    """The rows of a query set in blocks whose column ``size`` adds up to ``most`` at most, but for a single larger row.
+
+    One block is on the driver at a time, beside the input partition that it comes from.
+    """
+    block, held = [], 0
+    for row in queries.toLocalIterator():
+        if block and held + row[size] > most:
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += row[size]
+    if block:
+        yield block

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import byte_bpe, jpeg, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts
+from almanac.llm import byte_bpe, decontamination, jpeg, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts
 from almanac.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
@@ -109,6 +113,21 @@ def _op7() -> str:
     SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM f LEFT JOIN x ON x.doc_id = f.doc_id"""
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Windows of documents met with windows of items, by equality of their words.
+_OP11 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+    b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS ws FROM benchmark),
+    i AS MATERIALIZED (SELECT DISTINCT item, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 8), lambda k: array_to_string(ws[k:k + 9], ' ')) END) AS x FROM b),
+    n AS (SELECT DISTINCT len(x) - len(replace(x, ' ', '')) + 1 AS width FROM i),
+    w AS (SELECT r, n.width, unnest(range(1, len(ws) - n.width + 2)) AS k, unnest(list_transform(range(1, len(ws) - n.width + 2), lambda k: array_to_string(ws[k:k + n.width - 1], ' '))) AS x FROM d, n),
+    m AS MATERIALIZED (SELECT w.r, w.k, w.width, i.item FROM w JOIN i ON i.x = w.x),
+    h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + width)) AS p FROM (SELECT DISTINCT r, k, width FROM m)) GROUP BY r),
+    o AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM m GROUP BY r)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN o ON o.r = d.r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need checksums, tokenizers, images or trained models; tests compare them with plain Python."""
-    return {"op4_ngram_jaccard_join": _OP4, "op7_quality_rules": _op7()}
+    return {"op4_ngram_jaccard_join": _OP4, "op7_quality_rules": _op7(), "op11_fm_decontamination": _OP11}
