@@ -14,6 +14,15 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="almanac-")
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read back; a local session without that setting uses a temporary folder.
 
@@ -21,7 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not at and not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{(at or _own_folder()).rstrip('/')}/almanac-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
