@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import byte_bpe, decontamination, jpeg, license_scan, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts
+from almanac.llm import byte_bpe, decontamination, jpeg, license_scan, lm_scoring, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, sharding, token_counts
 from almanac.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op11_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
@@ -128,6 +132,22 @@ _OP11 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {
     FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN o ON o.r = d.r"""
 
 
+#: Nodes by whole prefixes; CRC-32 by its table of 256 entries.
+_OP13 = r"""WITH RECURSIVE k(i, v, step) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM k WHERE step < 8),
+    tab AS (SELECT list(v ORDER BY i) AS vs FROM k WHERE step = 8),
+    t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS o, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    o AS MATERIALIZED (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY o) AS ks, list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY o) AS ns FROM t GROUP BY conv_id),
+    h AS (SELECT o.*, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, vs[xor(a & 255, b) + 1]), 4294967295), 4294967295) % 4 AS h FROM o, tab),
+    r AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(b.ks[1:h.h], []), h.ks[h.h + 1:]) AS ks, list_concat(coalesce(b.ns[1:h.h], []), h.ns[h.h + 1:]) AS ns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    p AS (SELECT conv_id, len(ks) AS long, unnest(range(0, len(ks) + 1)) AS depth, unnest(list_transform(range(0, len(ks) + 1), lambda d: array_to_string(ks[1:d], ''))) AS path, unnest(list_transform(range(0, len(ks) + 1), lambda d: CASE WHEN d > 0 THEN ns[d] ELSE 0 END)) AS words FROM r),
+    n AS MATERIALIZED (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE long = depth), '') AS ends FROM p GROUP BY depth, path),
+    c AS (SELECT n.depth, n.path, count(x.depth) AS n_children FROM n LEFT JOIN n x ON x.depth = n.depth + 1 AND left(x.path, 64 * n.depth) = n.path GROUP BY n.depth, n.path),
+    a AS (SELECT depth AS d, path AS q, unnest(range(0, depth + 1)) AS depth FROM n),
+    s AS (SELECT a.depth, left(a.q, 64 * a.depth) AS path, count(*) FILTER (WHERE c.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved FROM a JOIN n m ON m.depth = a.d AND m.path = a.q JOIN c ON c.depth = a.d AND c.path = a.q GROUP BY a.depth, left(a.q, 64 * a.depth))
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, c.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM n JOIN c ON c.depth = n.depth AND c.path = n.path JOIN s ON s.depth = n.depth AND s.path = n.path LEFT JOIN n u ON u.depth = n.depth - 1 AND u.path = left(n.path, 64 * (n.depth - 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need checksums, tokenizers, images or trained models; tests compare them with plain Python."""
-    return {"op4_ngram_jaccard_join": _OP4, "op7_quality_rules": _op7(), "op11_fm_decontamination": _OP11}
+    return {"op4_ngram_jaccard_join": _OP4, "op7_quality_rules": _op7(), "op11_fm_decontamination": _OP11, "op13_prefix_trie": _OP13}
