@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import byte_bpe, decontamination, jpeg, license_scan, lm_scoring, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, sharding, token_counts
+from almanac.llm import byte_bpe, decontamination, jpeg, license_scan, lm_scoring, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, ranked_search, sharding, token_counts
 from almanac.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op11_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -132,6 +136,15 @@ _OP11 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {
     FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN o ON o.r = d.r"""
 
 
+#: The scores of all documents that hold a term of an item.
+_OP12 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+    c AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n, sum(len(ws))::BIGINT AS l FROM d),
+    p AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) GROUP BY r, t),
+    w AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY t, n),
+    b AS (SELECT i, item_id, t, count(*) AS q FROM (SELECT row_number() OVER () AS i, item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY i, item_id, t),
+    s AS (SELECT b.i, b.item_id, p.r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(ws) * n) // l))))::BIGINT AS score FROM b JOIN p ON p.t = b.t JOIN w ON w.t = b.t JOIN d ON d.r = p.r, c GROUP BY b.i, b.item_id, p.r)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d ON d.r = s.r WHERE score > 0) WHERE rank <= 10"""
+
 #: Nodes by whole prefixes; CRC-32 by its table of 256 entries.
 _OP13 = r"""WITH RECURSIVE k(i, v, step) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM k WHERE step < 8),
     tab AS (SELECT list(v ORDER BY i) AS vs FROM k WHERE step = 8),
@@ -150,4 +163,4 @@ _OP13 = r"""WITH RECURSIVE k(i, v, step) AS (SELECT i, i, 0 FROM range(256) t(i)
 
 def oracle_sql() -> dict[str, str]:
     """The others need checksums, tokenizers, images or trained models; tests compare them with plain Python."""
-    return {"op4_ngram_jaccard_join": _OP4, "op7_quality_rules": _op7(), "op11_fm_decontamination": _OP11, "op13_prefix_trie": _OP13}
+    return {"op4_ngram_jaccard_join": _OP4, "op7_quality_rules": _op7(), "op11_fm_decontamination": _OP11, "op12_tput_search": _OP12, "op13_prefix_trie": _OP13}
