@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from almanac.functions.markup import plain_text
 from almanac.functions.text import normalize_ascii
 
 # Lengths of slugs, adapter ranks, ages and the least certain confidence.
@@ -92,25 +92,6 @@ def occurrence_date(month: Column, day: Column, today: Column) -> Column:
     return F.when(this < today, later).otherwise(this)
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-
-    def handle_data(self, data):
-        self.parts.append(data)
-
-
-def plain_text(markup: str | None) -> str | None:
-    """The text of ``markup`` without tags, entities resolved and white space as single spaces."""
-    if markup is None:
-        return None
-    reader = _Text()
-    reader.feed(markup)
-    reader.close()
-    return " ".join("".join(reader.parts).split())
-
-
 @F.pandas_udf(StringType())
 def _stripped(markup: pd.Series) -> pd.Series:
     return markup.map(plain_text, na_action="ignore")

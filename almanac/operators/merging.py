@@ -24,8 +24,6 @@ from almanac.operators.resolution import linked_groups, without_shared_source
 TITLE_FLOOR = 0.3
 #: Groups of linked pairs up to this many are decided in one task each; larger ones in rounds over whole tables.
 GROUP_PAIRS = 1_000_000
-#: Depth of chains of merges that one rewrite follows.
-MAX_CHAIN = 64
 
 
 def _signals(pairs: DataFrame, events: DataFrame, venues: DataFrame) -> DataFrame:
@@ -159,21 +157,23 @@ def merge_paths(merges: DataFrame, locks: DataFrame) -> DataFrame:
 
     ``merges``: survivor, absorbed, step; ``locks``: id, locked. ``path`` has the steps from the root down, so that
     paths in ascending order are the order in which listings of a family reached the root. A lock of any survivor
-    on the way holds.
+    on the way holds. Chains are followed by doubling to any length; merges in a circle raise.
     """
     held = lambda name: F.coalesce(F.array_contains("locked", name), F.lit(False))
     up = merges.join(locks.select(F.col("id").alias("survivor"), held("time").alias("time_locked"), held("venue").alias("venue_locked")), "survivor", "left")
     open_ = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     paths = cut(up.select(F.col("absorbed").alias("id"), F.col("survivor").alias("root"), F.array("step").alias("path"), open_("time_locked"), open_("venue_locked")))
-    for _ in range(MAX_CHAIN.bit_length()):
+    turns = merges.count().bit_length() + 1  # in as many doublings every chain is followed, unless it is a circle
+    while True:
         above = paths.select(F.col("id").alias("root"), F.col("root").alias("_r"), F.col("path").alias("_p"), F.col("time_locked").alias("_t"), F.col("venue_locked").alias("_v"))
         longer = paths.join(above, "root", "left")
-        moved = longer.filter("_r IS NOT NULL").limit(1).count()
-        if not moved:
-            break
+        if not longer.filter("_r IS NOT NULL").limit(1).count():
+            return paths
+        if not turns:
+            raise ValueError("merges go in a circle")
+        turns -= 1
         no = F.lit(False)
         paths = cut(longer.select("id", F.coalesce("_r", "root").alias("root"), F.when(F.col("_r").isNotNull(), F.concat("_p", "path")).otherwise(F.col("path")).alias("path"), (F.col("time_locked") | F.coalesce("_t", no)).alias("time_locked"), (F.col("venue_locked") | F.coalesce("_v", no)).alias("venue_locked")))
-    return paths
 
 
 def _own(paths: DataFrame, rows: DataFrame, key: str) -> DataFrame:

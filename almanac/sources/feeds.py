@@ -10,15 +10,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from almanac.functions.names import clock24, plain_text, strip_html
+from almanac.functions.markup import Markup, plain_text, tree
+from almanac.functions.names import assumed_hour, clock24, occurrence_date, strip_html
 from almanac.functions.timefn import ZONE
 
 LISTING = "id string, name string, url string, starts string, ends string, status string, venue string, address string, lat double, lng double, image string, is_free boolean, description string"
@@ -133,13 +134,24 @@ def resolved(base: str, link: object) -> str | None:
         return None
 
 
+@F.pandas_udf(StringType())
+def _resolved(base: pd.Series, link: pd.Series) -> pd.Series:
+    return pd.Series([resolved(b or "", x) for b, x in zip(base, link)], dtype=object)
+
+
 def _parsed(pages: DataFrame, parse: Callable[[str, str], Iterator[dict]], shape: str = LISTING) -> DataFrame:
+    """What ``parse`` gives for each page; one that it fails on gives a row of its url alone, which counts as skipped."""
     names = [x.split()[0] for x in shape.split(", ")]
 
     def run(batches):
         for batch in batches:
-            found = [[row.get(f) for f in names] for url, body in zip(batch["url"], batch["body"]) for row in parse(url or "", body or "")]
-            yield pd.DataFrame(found, columns=names, dtype=object)
+            found: list[dict] = []
+            for url, body in zip(batch["url"], batch["body"]):
+                try:
+                    found += list(parse(url or "", body or ""))
+                except Exception:  # noqa: BLE001  a page is whatever its site sends
+                    found.append({"url": url})
+            yield pd.DataFrame([[row.get(f) for f in names] for row in found], columns=names, dtype=object)
 
     return pages.select("url", "body").mapInPandas(run, shape)
 
@@ -191,7 +203,7 @@ def calendars(pages: DataFrame) -> DataFrame:
     return _parsed(pages, _calendar)
 
 
-class _Scripts(HTMLParser):
+class _Scripts(Markup):
     def __init__(self):
         super().__init__()
         self.inside, self.found = False, []
@@ -239,8 +251,7 @@ def _number(value) -> float | None:
 
 
 def _linked(url: str, body: str) -> Iterator[dict]:
-    reader = _Scripts()
-    reader.feed(body)
+    reader = _Scripts().read(body)
     seen = set()
     for block in reader.found:
         try:
@@ -368,65 +379,51 @@ def clocked_pages(pages: DataFrame, listing: str) -> DataFrame:
     return _listing(rows.filter(at.isNotNull()), id=F.col("e.id"), name=F.col("e.name"), url=link, starts=utc_text(at), ends=utc_text(end), status=F.lit("scheduled"), venue=F.col("p.name"), address=_joined(F.col("p.address"), F.col("p.city"), F.col("p.state"), F.col("p.zip")), description=F.col("e.text"))
 
 
-class _Cards(HTMLParser):
-    """The fields of cards: elements of ``card``; each field is the text, or an attribute, of the first element in it."""
-
-    VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-
-    def __init__(self, card: str, wanted: dict[str, tuple[str, str | None]]):
-        super().__init__(convert_charrefs=True)
-        self.card, self.wanted = card, wanted
-        self.depth, self.inside, self.open, self.found = 0, 0, {}, []
-
-    @staticmethod
-    def meets(selector: str, tag: str, attrs: dict) -> bool:
-        name, _, group = selector.partition(".")
-        return name in ("", tag) and (not group or group in (attrs.get("class") or "").split())
+def html_cards(pages: DataFrame, card: str, wanted: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """(url, place, fields...) of each card of pages (url, body); a card within a card is part of it.
 
-    def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        self.depth += tag not in self.VOID
-        if not self.inside and self.meets(self.card, tag, attrs):
-            self.inside = self.depth
-            self.found.append({})
-        if self.inside:
-            now = self.found[-1]
-            for field, (selector, attribute) in self.wanted.items():
-                if field not in now and self.meets(selector, tag, attrs):
-                    now[field] = attrs.get(attribute) if attribute else ""
-                    if not attribute and tag not in self.VOID:
-                        self.open[field] = self.depth
+    ``card`` and those of ``wanted`` (field: selector, attribute or None for its text) are selectors of
+    ``functions.markup``; of several elements in a card the first counts. What differs between sites is these
+    arguments only. Missing fields are null; text has single spaces.
+    """
+    shape = ", ".join(["url string", "place int", *[f"{f} string" for f in wanted]])
 
-    def handle_endtag(self, tag):
-        if tag in self.VOID or not self.depth:
-            return
-        self.open = {f: d for f, d in self.open.items() if d < self.depth}
-        if self.inside == self.depth:
-            self.inside = 0
-        self.depth -= 1
+    def parse(url: str, body: str) -> Iterator[dict]:
+        inside, place = set(), 0
+        for found in tree(body).select(card):
+            if id(found) in inside:
+                continue
+            inside.update(map(id, found.walk()))
+            row: dict = {"url": url, "place": place}
+            for field, (selector, attribute) in wanted.items():
+                at = found.first(selector)
+                value = None if at is None else at.text() if attribute is None else at.attrs.get(attribute)
+                row[field] = " ".join(value.split()) if value is not None else None
+            yield row
+            place += 1
 
-    def handle_data(self, data):
-        for field in self.open:
-            self.found[-1][field] += data
+    return _parsed(pages, parse, shape)
 
 
-def html_cards(pages: DataFrame, card: str, wanted: dict[str, tuple[str, str | None]]) -> DataFrame:
-    """(url, place, fields...) of each card of pages (url, body).
-
-    ``card`` and the selectors of ``wanted`` (field: selector, attribute or None for its text) are a tag, ``.class`` or both;
-    what differs between sites is these arguments only. Missing fields are null; text has single spaces.
-    """
-    shape = ", ".join(["url string", "place int", *[f"{f} string" for f in wanted]])
+def detail_fields(pages: DataFrame, wanted: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """(url, fields...) of detail pages, a row each, for ``enriched``; ``wanted`` as for ``html_cards``."""
+    shape = ", ".join(["url string", *[f"{f} string" for f in wanted]])
 
     def parse(url: str, body: str) -> Iterator[dict]:
-        reader = _Cards(card, wanted)
-        reader.feed(body)
-        for place, found in enumerate(reader.found):
-            yield {"url": url, "place": place, **{f: " ".join(v.split()) if v is not None else None for f, v in found.items()}}
+        root = tree(body)
+        found = {f: root.first(selector) for f, (selector, _) in wanted.items()}
+        yield {"url": url, **{f: (x.attrs.get(wanted[f][1]) if wanted[f][1] else x.text()) or None for f, x in found.items() if x is not None}}
 
     return _parsed(pages, parse, shape)
 
 
+def at_time(starts: Column, clock: Column) -> Column:
+    """``starts``, UTC text of a local day, at the clock time in the text ``clock``; unchanged where it has none."""
+    minutes = clock_text(clock)
+    day = F.from_utc_timestamp(F.try_to_timestamp(starts), ZONE).cast("date").cast("timestamp_ntz")
+    return F.when(minutes.isNotNull() & day.isNotNull(), utc_text(day + F.make_dt_interval(mins=minutes))).otherwise(starts)
+
+
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -445,8 +442,6 @@ def clock_text(text: Column) -> Column:
 
 def card_dates(rows: DataFrame, month: str, day: str, time: str, today: Column) -> DataFrame:
     """``rows`` with ``starts``: the next such day from ``today`` on, at the clock time of ``time``."""
-    from almanac.functions.names import occurrence_date
-
     on = occurrence_date(month_number(F.col(month)), F.col(day).try_cast("int"), today)
     return rows.withColumn("starts", utc_text(on.cast("timestamp_ntz") + F.make_dt_interval(mins=clock_text(F.col(time)))))
 
@@ -457,8 +452,6 @@ def grid_listings(grid: DataFrame, details: DataFrame) -> DataFrame:
     ``details`` (url, month, day, hour, minute) has the times that detail pages give, without a year: a calendar shows less
     than twelve months. Where they have none the likely hour is taken, and ``assumed`` says so; rows without either go.
     """
-    from almanac.functions.names import assumed_hour
-
     known = details.groupBy("url", "month", "day").agg(F.min(F.struct("hour", "minute")).alias("known"))
     rows = grid.join(known, ["url", "month", "day"], "left")
     hour = F.coalesce(F.col("known.hour"), assumed_hour(F.col("hour")))
@@ -492,7 +485,39 @@ def registry_slice(places: DataFrame, west: float, east: float, south: float, no
     return rows.select("id", F.col("names.primary").alias("name"), F.col("categories.primary").alias("category"), first["freeform"].alias("address"), first["locality"].alias("locality"), b["xmin"].alias("lon"), b["ymin"].alias("lat"), "confidence")
 
 
-#: Reader by adapter type and, for services, by name.
+def _linked_cards(rows: DataFrame, **more: Column) -> DataFrame:
+    """Listings of rows with name, link and starts: links are resolved, and a card without one is named by page and place."""
+    link = _resolved(F.col("url"), F.col("link"))
+    key = F.coalesce(F.concat_ws("@", link, F.to_date("starts")), F.concat_ws("#", "url", "place"))
+    return _listing(rows, id=key, name=F.col("name"), url=F.coalesce(link, F.col("url")), starts=F.col("starts"), status=F.lit("scheduled"), **more)
+
+
+def card_pages(pages: DataFrame, card: str, wanted: dict[str, tuple[str, str | None]], today: str, venue: str | None = None, address: str | None = None) -> DataFrame:
+    """Listings of cards with name, link, month, day and time; the day is the next such from ``today`` on."""
+    found = card_dates(html_cards(pages, card, wanted), "month", "day", "time", F.lit(today).cast("date"))
+    return _linked_cards(found, venue=F.lit(venue), address=F.lit(address))
+
+
+def grid_pages(pages: DataFrame, card: str, wanted: dict[str, tuple[str, str | None]], year: int, details: DataFrame, venue: str | None = None) -> DataFrame:
+    """Listings of a calendar's cells with name, link, month, day and time, at the times that ``details`` (of ``grid_listings``) give."""
+    cells = html_cards(pages, card, wanted).withColumn("_clock", clock_text(F.concat(F.col("time"), F.lit(" am"))))
+    cells = cells.withColumns({"page": F.col("url"), "url": _resolved(F.col("url"), F.col("link")), "year": F.lit(year), "month": F.coalesce(month_number(F.col("month")), F.col("month").try_cast("int")), "day": F.col("day").try_cast("int"), "hour": (F.col("_clock") / 60).cast("int"), "minute": (F.col("_clock") % 60).cast("int")})
+    found = grid_listings(cells, details).withColumns({"starts": utc_text(F.col("start")), "url": F.col("page")})
+    return _linked_cards(found, venue=F.lit(venue))
+
+
+def season_pages(pages: DataFrame, card: str, wanted: dict[str, tuple[str, str | None]], venue: str | None = None, most: int = MAX_RANGE_DAYS) -> DataFrame:
+    """Listings, one a day, of cards with name, link and run, the days between which something is on."""
+    found = season_listings(html_cards(pages, card, wanted), most)
+    return _linked_cards(found.withColumn("starts", utc_text(F.col("day").cast("timestamp_ntz"))), venue=F.lit(venue))
+
+
+def map_pages(pages: DataFrame, details: DataFrame, most: int, holding: str = "") -> DataFrame:
+    """Listings of the detail pages (url, body) that site maps name."""
+    return crawled(pages, details, most, holding)[0].select(*FIELDS)
+
+
+#: Reader by adapter type and, for services and layouts, by name.
 READERS: dict[tuple[str, str], Callable[..., DataFrame]] = {
     ("api", "tickets"): ticket_pages,
     ("api", "organizers"): organizer_pages,
@@ -502,6 +527,10 @@ READERS: dict[tuple[str, str], Callable[..., DataFrame]] = {
     ("html", "upcoming"): upcoming_pages,
     ("html", "wrapped"): wrapped_pages,
     ("html", "clocked"): clocked_pages,
+    ("html", "cards"): card_pages,
+    ("html", "grid"): grid_pages,
+    ("html", "season"): season_pages,
+    ("html", "sitemap"): map_pages,
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -59,18 +60,23 @@ def latest(spark, path: str, keys: Sequence[str], newest: str) -> DataFrame:
 def compact(spark, path: str, keys: Sequence[str], newest: str, upto: int) -> None:
     """Fold the batches up to ``upto``, none of which is still written, into one folder.
 
-    The fold is written beside the table, renamed into it under a negative number, by which later batches win ties, and
-    only then are the folded batches deleted. Cut short at any point, the table reads the same, and a fold can be run again.
+    The fold is written beside the table, renamed into it under a negative number that no folder has, by which later
+    batches win ties, and only then are the folders that it was made of deleted. Cut short at any point, the table reads
+    the same, and a fold can be run again; where one fold is all there is, nothing is done.
     """
-    rows = spark.read.parquet(path).filter(F.col("batch") <= upto)
-    beside, name = f"{path.rstrip('/')}-fold", f"batch=-{upto + 1}"
-    first_per_key(rows, keys, [F.desc(newest), F.desc("batch")]).drop("place", "batch").write.mode("overwrite").parquet(beside)
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = [x.getPath() for x in files.listStatus(hadoop.Path(path)) if x.getPath().getName().startswith("batch=") and int(x.getPath().getName()[6:]) <= upto]
-    if files.rename(hadoop.Path(beside), hadoop.Path(f"{path}/{name}")):
-        for at in old:
-            files.delete(at, True)
+    held = {int(x.getPath().getName()[6:]): x.getPath() for x in files.listStatus(hadoop.Path(path)) if x.getPath().getName().startswith("batch=")}
+    old = {n: at for n, at in held.items() if n <= upto}
+    if len(old) < 2 and all(n < 0 for n in old):
+        return
+    rows = spark.read.parquet(path).filter(F.col("batch").isin(list(old)))
+    beside, target = f"{path.rstrip('/')}-fold-{uuid.uuid4().hex}", hadoop.Path(f"{path}/batch={min(*held, 0) - 1}")
+    first_per_key(rows, keys, [F.desc(newest), F.desc("batch")]).drop("place", "batch").write.parquet(beside)
+    if files.exists(target) or not files.rename(hadoop.Path(beside), target):
+        raise RuntimeError(f"{target} was made by another fold; this one is in {beside}")
+    for at in old.values():
+        files.delete(at, True)
 
 
 def superseded_upserts(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
