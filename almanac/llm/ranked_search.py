@@ -6,8 +6,8 @@ task ever needs a list whole.
 
 1. Each list gives its HEADS best entries; what an item's documents sum to in them makes its k-th best a lower bound.
 2. The bound divided by the number of the item's lists is a threshold; every list gives all entries that reach it. Each
-   chunk sums them for each item. A document stays a candidate if its sum, with the most that the lists where it has
-   not been seen can add, reaches the best lower bound known: of phase 1, of its own chunk, then of all.
+   chunk sums them for each item; the k-th best sum of all chunks is a better lower bound. A document stays a candidate
+   if its sum, with the most that the lists where it has not been seen can add, reaches that bound.
 3. The exact scores of the candidates are looked up in all lists, and the first k are returned.
 
 Items are taken in blocks of BLOCK_BYTES of text, so what is sent to tasks (terms, weights, thresholds) has a bound that
@@ -183,38 +183,55 @@ def _above(scores: Scores, need: np.ndarray):
     return run
 
 
-def _candidates(items: _Items, top: int):
-    """Of a chunk's entries: documents that may be among an item's first, with what they sum to and can reach."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        term, doc, adds = (np.concatenate([unsqueeze(x, "<u8").astype(np.int64) for x in rows.column(c).to_pylist()]) for c in ("term", "doc", "adds"))
-        order = np.argsort(term, kind="stable")
-        term, doc, adds = term[order], doc[order], adds[order]
-        held, starts = np.unique(term, return_index=True)
-        place = dict(zip(held.tolist(), zip(starts.tolist(), np.append(starts[1:], len(term)).tolist())))
-        size = int(doc.max()) + 1 if len(doc) else 0
-        out: list[tuple] = []
-        for item, (pairs, least, bound) in enumerate(zip(items.lists, items.least, items.bounds)):
-            total, rest = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            unseen = 0
-            for t, times in pairs:
-                unseen += least - 1
-                if t in place:
-                    a, b = place[t]
-                    x, d = adds[a:b] * times, doc[a:b]
-                    on = x >= least
-                    total[d[on]] += x[on]
-                    rest[d[on]] -= least - 1
-            rest += unseen
-            here = np.flatnonzero(total)
-            if not len(here):
-                continue
-            lower = max(bound, int(np.partition(total[here], -top)[-top])) if len(here) >= top else bound
-            on = here[(total + rest)[here] >= lower]
-            out.append((np.full(len(on), item), on, total[on], (total + rest)[on]))
-        chunk = rows.column("chunk")[0].as_py()
-        item, on, total, reach = (np.concatenate(x) for x in zip(*out)) if out else [np.empty(0, np.int64)] * 4
-        return pa.Table.from_batches([_batch("chunk item doc total reach", np.full(len(on), chunk), item, on, total, reach)])
+def _gathered(rows: pa.Table) -> pa.Table:
+    """A chunk's entries in one row, by term."""
+    term, doc, adds = (np.concatenate([unsqueeze(x, "<u8") for x in rows.column(c).to_pylist()]) for c in ("term", "doc", "adds"))
+    order = np.argsort(term, kind="stable")
+    return pa.table({"chunk": rows.column("chunk").slice(0, 1), **{n: [squeeze(x[order], "<u8")] for n, x in (("term", term), ("doc", doc), ("adds", adds))}})
+
+
+def _sums(items: _Items, batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each item with entries in a chunk: its documents, what they sum to, and what they can reach."""
+    term, doc, adds = (unsqueeze(batch.column(c)[k].as_py(), "<u8").astype(np.int64) for c in ("term", "doc", "adds"))
+    held, starts = np.unique(term, return_index=True)
+    place = dict(zip(held.tolist(), zip(starts.tolist(), np.append(starts[1:], len(term)).tolist())))
+    size = int(doc.max()) + 1 if len(doc) else 0
+    for item, (pairs, least) in enumerate(zip(items.lists, items.least)):
+        total, seen = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for t, times in pairs:
+            if t in place:
+                a, b = place[t]
+                x, d = adds[a:b] * times, doc[a:b]
+                on = x >= least
+                total[d[on]] += x[on]
+                seen[d[on]] += 1
+        here = np.flatnonzero(total)
+        if len(here):
+            yield item, here, total[here], (total + (len(pairs) - seen) * (least - 1))[here]
+
+
+def _best_sums(items: _Items, top: int):
+    """Of each chunk the ``top`` best sums of each item: the best of all chunks are a lower bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = [(item, np.partition(total, -top)[-top:] if len(total) > top else total) for item, _, total, _ in _sums(items, batch, k)]
+                yield _batch("item total", np.repeat([i for i, _ in found], [len(x) for _, x in found]).astype(np.int64), np.concatenate([np.empty(0, np.int64), *(x for _, x in found)]))
+
+    return run
+
+
+def _candidates(items: _Items, bounds: dict[int, int]):
+    """Documents that can reach the lower bound of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = [(item, here[reach >= bounds.get(item, 0)]) for item, here, _, reach in _sums(items, batch, k)]
+                item = np.repeat([i for i, _ in found], [len(x) for _, x in found]).astype(np.int64)
+                doc = np.concatenate([np.empty(0, np.int64), *(x for _, x in found)])
+                yield _batch("chunk item doc", np.full(len(item), batch.column("chunk")[k].as_py()), item, doc)
 
     return run
 
@@ -270,11 +287,11 @@ def _block(docs: DataFrame, rows: list, top: int) -> DataFrame:
 
     # phase 2: all entries that reach the thresholds
     need = items.terms(len(scores.weight))
-    above = lists.mapInArrow(_above(scores, need), "chunk long, term binary, doc binary, adds binary")
-    reach = above.groupBy("chunk").applyInArrow(_candidates(items, top), "chunk long, item long, doc long, total long, reach long")
-    reach = materialize(reach, "candidates")
-    bounds = reach.withColumn("place", F.row_number().over(kth)).filter(F.col("place") == top).select("item", F.col("total").alias("bound"))
-    kept = reach.join(F.broadcast(bounds), "item", "left").filter("bound IS NULL OR reach >= bound")
+    packed = "chunk long, term binary, doc binary, adds binary"
+    above = materialize(lists.mapInArrow(_above(scores, need), packed).groupBy("chunk").applyInArrow(_gathered, packed), "entries")
+    sums = above.mapInArrow(_best_sums(items, top), "item long, total long").withColumn("place", F.row_number().over(kth)).filter(F.col("place") == top)
+    bounds = {x["item"]: max(x["total"], items.bounds[x["item"]]) for x in sums.collect()}  # a row an item of the block
+    kept = above.mapInArrow(_candidates(items, bounds), "chunk long, item long, doc long")
 
     # phase 3: exact scores of the candidates
     wanted = kept.groupBy("chunk").agg(F.collect_list(F.struct("item", "doc")).alias("x"))  # bounded by the block and a chunk
@@ -287,7 +304,7 @@ def _block(docs: DataFrame, rows: list, top: int) -> DataFrame:
     final = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "chunk", "doc")
     found = exact.join(named, ["chunk", "doc"]).withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= top)
     found = materialize(found.select("item", "rank", "doc_id", "score"), "ranks")
-    drop_tables(held, reach)
+    drop_tables(held, above)
     return found
 
 
