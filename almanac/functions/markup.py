@@ -79,8 +79,11 @@ class Element:
         wanted = _parsed(selector)
         return [x for x in self.walk() if any(_meets(x, steps, self) for steps in wanted)]
 
-    def first(self, selector: str) -> Element | None:
+    def first(self, selector: str, own: bool = False) -> Element | None:
+        """The first of ``select``; with ``own``, this element itself if it meets a selector of one step."""
         wanted = _parsed(selector)
+        if own and any(len(steps) == 1 and _passes(self, steps[0][1]) for steps in wanted):
+            return self
         return next((x for x in self.walk() if any(_meets(x, steps, self) for steps in wanted)), None)
 
 

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -14,6 +14,14 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="almanac-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; for a local session without that setting, a temporary folder."""
+    at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not at and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (at or _own_folder()).rstrip("/")
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of tables of ``cut`` that nothing reads any more."""
     for df in tables:
@@ -29,10 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     A written table is computed once, where a checkpoint computes its rows to count them and again to write them.
     """
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not at and not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(at or _own_folder()).rstrip('/')}/almanac-cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/almanac-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from almanac.functions import scoring, timefn, windows
 from almanac.functions.names import normalize_name
 from almanac.functions.understanding import parse_text
+from almanac.operators.index import SearchIndex
 from almanac.operators.search import search
 
 # How many rows modules, listings and reports show.
@@ -178,16 +179,30 @@ def base_rows(events: DataFrame, instances: DataFrame, venues: DataFrame, asked:
     return events.filter(both(of)).join(next_start, "id").join(where, "venue_id", "left").filter(both(place))
 
 
-def search_listings(events: DataFrame, instances: DataFrame, venues: DataFrame, request: Request, now: datetime, vector: Sequence[float] | None = None, limit: int = 50, stemmed: bool = True) -> DataFrame:
+def search_listings(events: DataFrame, instances: DataFrame, venues: DataFrame, request: Request, now: datetime, vector: Sequence[float] | None = None, limit: int = 50, stemmed: bool = True, index: SearchIndex | None = None) -> DataFrame:
     """(id, score, next_start) of the listings that a request finds at the aware instant ``now``, best first.
 
-    ``vector`` is what the caller's model made of the text; without it, words alone rank.
+    ``vector`` is what the caller's model made of the text; without it, words alone rank. An ``index`` of
+    ``search_texts`` spares reading the texts.
     """
     asked = request.resolve(now)
     base = base_rows(events, instances, venues, asked, now.replace(tzinfo=None))
-    tags = F.concat_ws(" ", "category", F.array_join("vibe_tags", " "), F.array_join("audience_tags", " "))
-    rows = base.select("id", "title", tags.alias("tags"), "description", "venue", "next_start", *(["embedding"] if "embedding" in base.columns else []))
-    return search(rows, "id", asked.text, list(vector) if vector is not None else None, None, limit, stemmed)
+    rows = base.select("id", "title", _tags().alias("tags"), "description", "venue", "next_start", *(["embedding"] if "embedding" in base.columns else []))
+    return search(rows, "id", asked.text, list(vector) if vector is not None else None, None, limit, stemmed, index)
+
+
+def _tags() -> Column:
+    return F.concat_ws(" ", "category", F.array_join("vibe_tags", " "), F.array_join("audience_tags", " "))
+
+
+def search_texts(events: DataFrame, venues: DataFrame) -> DataFrame:
+    """(id, title, tags, description, venue): what a search index of listings is made of."""
+    where = venues.select(F.col("id").alias("venue_id"), F.col("normalized_name").alias("venue"))
+    return events.join(where, "venue_id", "left").select("id", "title", _tags().alias("tags"), "description", "venue")
+
+
+def search_fingerprint() -> Column:
+    return F.xxhash64("title", "tags", "description", "venue")
 
 
 # Orders

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ from almanac.functions.text import set_similarity, text_grams, trigrams
 from almanac.operators.core import reciprocal_rank_fusion
 from almanac.operators.lineage import cut
 
+if TYPE_CHECKING:
+    from almanac.operators.index import SearchIndex
+    from almanac.operators.nearest import Vectors
+
 # Weights of title, tags and description; limits and weights of the similarities; the limit of squares; the
 # places of a word that count.
 WEIGHTS = {"title": 1.0, "tags": 0.4, "description": 0.2}
@@ -204,15 +209,19 @@ def _text_ranks(found: DataFrame, key: str, limit: int, near: DataFrame | None)
     return ranks.unionByName(named.join(sums, "_n").select(key, F.col("rank").cast("int").alias("rank"))).groupBy(key).agg(F.min("rank").alias("rank"))
 
 
-def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | None = None, facets: list[Column] | None = None, limit: int = 50, stemmed: bool = False) -> DataFrame:
+def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | None = None, facets: list[Column] | None = None, limit: int = 50, stemmed: bool = False, index: SearchIndex | None = None, nearest: Vectors | None = None) -> DataFrame:
     """(key, score, next_start), best first, of ``rows`` (key, title, tags, description, venue, next_start, embedding).
 
-    With neither text nor vector the order is that of ``next_start``.
+    With neither text nor vector the order is that of ``next_start``. With an ``index`` of these rows, or of more, texts
+    are not read; with ``nearest``, which must hold just these rows, vectors are not.
     """
     base = rows.filter(reduce(lambda a, b: a & b, facets or [], F.lit(True)))
-    legs = [vector_leg(base, key, "embedding", vector)] if vector is not None else []
+    legs = []
+    if vector is not None:
+        near = nearest.top(vector, VECTOR_TOP) if nearest is not None and not facets else vector_leg(base, key, "embedding", vector)
+        legs.append(rows.sparkSession.createDataFrame(near.collect(), near.schema))  # VECTOR_TOP rows, read three times
     if query.strip():
-        found = text_leg(base, key, query, stemmed)
+        found = text_leg(base, key, query, stemmed) if index is None else index.text_leg(query).join(base.select(key), key, "left_semi")
         if legs:
             found = cut(found)  # keys and scores, read three times
         legs.append(_text_ranks(found, key, limit, legs[0] if legs else None))

@@ -1,4 +1,5 @@
-"""Queries over the driver's tables; importing ``more`` registers the second set."""
+"""Queries over the driver's tables; importing the others registers their sets."""
 
 from almanac.plans import more as more
 from almanac.plans import third as third
+from almanac.plans import kept as kept

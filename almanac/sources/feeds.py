@@ -384,7 +384,7 @@ def html_cards(pages: DataFrame, card: str, wanted: dict[str, tuple[str, str | N
 
     ``card`` and those of ``wanted`` (field: selector, attribute or None for its text) are selectors of
     ``functions.markup``; of several elements in a card the first counts. What differs between sites is these
-    arguments only. Missing fields are null; text has single spaces.
+    arguments only. A field may be the card itself. Missing fields are null; text has single spaces.
     """
     shape = ", ".join(["url string", "place int", *[f"{f} string" for f in wanted]])
 
@@ -396,7 +396,7 @@ def html_cards(pages: DataFrame, card: str, wanted: dict[str, tuple[str, str | N
             inside.update(map(id, found.walk()))
             row: dict = {"url": url, "place": place}
             for field, (selector, attribute) in wanted.items():
-                at = found.first(selector)
+                at = found.first(selector, own=True)
                 value = None if at is None else at.text() if attribute is None else at.attrs.get(attribute)
                 row[field] = " ".join(value.split()) if value is not None else None
             yield row

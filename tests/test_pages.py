@@ -47,7 +47,7 @@ def test_malformed_pages_lose_nothing(spark):
     got = feeds.html_cards(_pages(spark, f"<ul>{cards}</ul>", "<![x", None), "li.card", {"title": ("h3", None), "date": ("p.d", None)})
     assert [(x.place, x.title, x.date) for x in got.collect()] == [(k - 1, f"T{k}", f"May {k}") for k in (1, 2, 3)]
     nested = '<div class="card">a<div class="card">b</div></div><div class="card">c</div>'
-    assert [x.t for x in feeds.html_cards(_pages(spark, nested), ".card", {"t": ("div", None)}).collect()] == ["b", None]
+    assert [x.t for x in feeds.html_cards(_pages(spark, nested), ".card", {"t": ("div", None), "u": ("div div", None)}).collect()] == ["a b", "c"]
     script = '<![x]> <script type="application/ld+json">{"@type": "Event", "name": "N", "startDate": "2026-01-01"}</script>'
     assert [x.name for x in feeds.linked_data(_pages(spark, script, "<![x")).collect()] == ["N"]
     assert [x[0] for x in _pages(spark, "a<![x]>b", "c &lt; d").select(feeds.strip_html(F.col("body"))).collect()] == ["ab", "c < d"]
