@@ -95,10 +95,19 @@ def nearest_rank(rows: DataFrame, key: str, value: str, shares: dict[str, float]
 
 
 def trailing_count(rows: DataFrame, key: str, ts: str, minutes: int, out: str) -> DataFrame:
-    """How many rows of the same key lie in the ``minutes`` before each row, itself excluded."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = Window.partitionBy(key).orderBy("micros").rangeBetween(-minutes * 60_000_000, -1)
-    return rows.withColumn("micros", micros).withColumn(out, F.count(F.lit(1)).over(span)).drop("micros")
+    """How many rows of the same key lie in the ``minutes`` before each row, itself and those of its instant excluded.
+
+    A key's time is cut in slices as long as the frame, so that no frame reaches beyond the slice before its own; each
+    slice gets that one's times along, and a task has two slices of a key, not the key. Rows without a time count none.
+    """
+    span = minutes * 60_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    timed = rows.withColumns({"_micros": at, "_slice": F.floor(at / span)})
+    before = timed.filter("_micros IS NOT NULL").select(key, F.col("_micros"), (F.col("_slice") + 1).alias("_slice"), F.lit(True).alias("_before"))
+    both = timed.withColumn("_before", F.lit(False)).unionByName(before, allowMissingColumns=True)
+    frame = Window.partitionBy(key, "_slice").orderBy("_micros").rangeBetween(-span, -1)
+    counted = both.withColumn(out, F.when(F.col("_micros").isNotNull(), F.count("_micros").over(frame)).otherwise(F.lit(0)))
+    return counted.filter("NOT _before").drop("_micros", "_slice", "_before")
 
 
 def union_distinct(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

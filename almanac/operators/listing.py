@@ -20,6 +20,7 @@ from almanac.functions import scoring, timefn, windows
 from almanac.functions.names import normalize_name
 from almanac.functions.understanding import parse_text
 from almanac.operators.index import SearchIndex
+from almanac.operators.ordered import ordinals
 from almanac.operators.search import search
 
 # How many rows modules, listings and reports show.
@@ -217,18 +218,19 @@ def day_sorted(cards: DataFrame, mode: str = "default", point: tuple[float, floa
     """``cards`` with their ``place`` within their local day.
 
     ``recommended`` puts picked cards first; ``near`` goes by distance from ``point``, those of unknown place last in
-    their given order (``ordinal``).
+    their given order (``ordinal``). A day lies in as many ranges as it needs.
     """
-    day = Window.partitionBy("day")
     rows = cards.withColumn("day", timefn.local_day(F.col("start_at")))
     if mode == "recommended":
         order = [F.desc_nulls_last("picked"), *by_time()]
     elif mode == "near" and point:
         rows = rows.withColumn("metres", scoring.haversine_m(F.lit(point[0]), F.lit(point[1]), F.col("lat"), F.col("lng")))
-        order = [F.asc_nulls_last("metres"), F.when(F.col("metres").isNotNull(), F.col("start_at")), F.asc("ordinal")]
+        order = [F.asc_nulls_last("metres"), F.asc("_then"), F.asc("ordinal")]
     else:
         order = by_time()
-    return rows.withColumn("place", F.row_number().over(day.orderBy(*order)))
+    if mode == "near" and point:
+        rows = rows.withColumn("_then", F.when(F.col("metres").isNotNull(), F.col("start_at")))
+    return ordinals(rows, ["day"], order, "place").drop("_then")
 
 
 def day_groups(hits: DataFrame) -> DataFrame:

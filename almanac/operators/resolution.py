@@ -5,19 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import timefn
 from almanac.operators.lineage import cut
+from almanac.operators.ordered import running
 
 
-def same_day_pairs(rows: DataFrame, key: str, ts: str, block: Sequence[str]) -> DataFrame:
-    """(a, b, minutes apart) of rows that share ``block`` and the local day; a < b. An equi join with a residual."""
-    base = rows.select(*block, timefn.local_day(F.col(ts)).alias("_day"), F.col(key).alias("_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
-    left, right = (base.withColumnsRenamed({"_id": x, "_at": f"_at_{x}"}) for x in "ab")
-    pairs = left.join(right, [*block, "_day"]).filter("a < b")
-    return pairs.select(*block, "a", "b", (F.abs(F.col("_at_a") - F.col("_at_b")) / 60_000_000.0).alias("minutes"))
+def same_day_pairs(rows: DataFrame, key: str, ts: str, block: Sequence[str], most: float) -> DataFrame:
+    """(a, b, minutes apart) of rows that share ``block`` and the local day and lie ``most`` minutes apart at most; a < b.
+
+    A band join: time is cut in buckets of ``most`` minutes, and each row meets its own and the next bucket's only. So
+    a block's rows meet as many as lie within twice the band, however many the block has, and no task has a whole block.
+    """
+    width = max(1, int(most * 60_000_000))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    base = rows.select(*block, timefn.local_day(F.col(ts)).alias("_day"), F.col(key).alias("_id"), at.alias("_at"), F.floor(at / width).alias("_own"))
+    early = base.withColumnsRenamed({"_id": "_i", "_at": "_from"}).withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    late = base.select(*block, "_day", F.col("_own").alias("_bucket"), F.col("_id").alias("_j"), F.col("_at").alias("_to"))
+    after = (F.col("_from") < F.col("_to")) | ((F.col("_from") == F.col("_to")) & (F.col("_i") < F.col("_j")))
+    pairs = early.join(late, [*block, "_day", "_bucket"]).filter(after & (F.col("_to") - F.col("_from") <= width))
+    pairs = pairs.filter("_i <> _j")
+    return pairs.select(*block, F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"), ((F.col("_to") - F.col("_from")) / 60_000_000.0).alias("minutes"))
 
 
 def without_shared_source(pairs: DataFrame, links: DataFrame, item: str, source: str) -> DataFrame:
@@ -34,12 +44,16 @@ def without_reviewed(pairs: DataFrame, reviewed: DataFrame) -> DataFrame:
 
 
 def nearest_delta(rows: DataFrame, keys: Sequence[str], ts: str, one: Column, other: Column) -> DataFrame:
-    """Per key, the fewest minutes between a row of ``one`` and a row of ``other``, by neighbours in time, not pairs."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    back, ahead = (Window.partitionBy(*keys).orderBy("_at").rangeBetween(*x) for x in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
-    marked = rows.select(*keys, at.alias("_at"), one.alias("_one"), other.alias("_other")).withColumn("_t", F.when(F.col("_other"), F.col("_at")))
-    gap = F.least(F.col("_at") - F.max("_t").over(back), F.min("_t").over(ahead) - F.col("_at"))
-    near = marked.withColumn("_gap", gap).filter("_one AND _gap IS NOT NULL")
+    """Per key, the fewest minutes between a row of ``one`` and a row of ``other``, by neighbours in time, not pairs.
+
+    Of the nearest two, the later has the earlier as the last of its kind before it. A key's rows lie in many ranges of
+    time, and each range gets the last of both kinds of those before it.
+    """
+    marked = rows.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), one.alias("_one"), other.alias("_other"))
+    last = {"_last_one": F.when(F.col("_one"), F.col("_at")), "_last_other": F.when(F.col("_other"), F.col("_at"))}
+    seen = running(marked.filter("_at IS NOT NULL AND (_one OR _other)"), keys, [F.col("_at").asc()], last, "max")
+    gap = F.least(F.when(F.col("_one"), F.col("_at") - F.col("_last_other")), F.when(F.col("_other"), F.col("_at") - F.col("_last_one")))
+    near = seen.withColumn("_gap", gap).filter("_gap IS NOT NULL")
     return near.groupBy(*keys).agg((F.min("_gap") / 60_000_000.0).alias("minutes"))
 
 

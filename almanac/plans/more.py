@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.functions import scoring, text, timefn
-from almanac.operators import core, mutations, resolution, search
+from almanac.operators import core, mutations, ordered, resolution, search
 from almanac.plans.queries import _GRAMS, _query, _t
 
 
@@ -55,8 +55,7 @@ def join_chain(spark, sf_dir):
     ON a.user_id = b.user_id AND CAST(timezone('America/Chicago', timezone('UTC', a.ts)) AS DATE) = CAST(timezone('America/Chicago', timezone('UTC', b.ts)) AS DATE) AND a.event_id < b.event_id
     WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 10800000000""")
 def same_day_pairs(spark, sf_dir):
-    pairs = resolution.same_day_pairs(_t(spark, sf_dir, "events"), "event_id", "ts", ["user_id"])
-    return pairs.filter(F.col("minutes") <= scoring.TIME_WINDOW_MINUTES).select("a", "b", "minutes")
+    return resolution.same_day_pairs(_t(spark, sf_dir, "events"), "event_id", "ts", ["user_id"], scoring.TIME_WINDOW_MINUTES).select("a", "b", "minutes")
 
 
 @_query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
@@ -135,8 +134,8 @@ def health_rollup(spark, sf_dir):
 
 @_query("""SELECT event_id, row_number() OVER (PARTITION BY CAST(timezone('America/Chicago', timezone('UTC', ts)) AS DATE) ORDER BY event_type = 'purchase' DESC, ts, event_id) AS place FROM events""")
 def per_day_sort(spark, sf_dir):
-    at = Window.partitionBy(timefn.local_day(F.col("ts"))).orderBy(F.desc(F.col("event_type") == "purchase"), "ts", "event_id")
-    return _t(spark, sf_dir, "events").select("event_id", F.row_number().over(at).cast("long").alias("place"))
+    rows = _t(spark, sf_dir, "events").select("event_id", "ts", timefn.local_day(F.col("ts")).alias("day"), (F.col("event_type") == "purchase").alias("bought"))
+    return ordered.ordinals(rows, ["day"], [F.desc("bought"), F.asc("ts"), F.asc("event_id")], "place").select("event_id", "place")
 
 
 @_query("""SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY place) AS latest FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) WHERE place <= 3 GROUP BY o_custkey""")
@@ -225,7 +224,7 @@ def calendar_sink(spark, sf_dir):
     SELECT survivor, absorbed FROM r WHERE survivor IS NOT NULL""")
 def greedy_merge(spark, sf_dir):
     """Scored pairs of the same day consumed in order."""
-    pairs = resolution.same_day_pairs(_t(spark, sf_dir, "events"), "event_id", "ts", ["user_id", "event_type"])
+    pairs = resolution.same_day_pairs(_t(spark, sf_dir, "events"), "event_id", "ts", ["user_id", "event_type"], scoring.TIME_WINDOW_MINUTES)
     scored = pairs.select("a", "b", scoring.pair_score(F.lit(1.0), F.lit(1.0), F.col("minutes"), F.lit(False)).alias("score"))
     return resolution.greedy_merge(scored.filter(F.col("score") >= scoring.MERGE_AT))
 
