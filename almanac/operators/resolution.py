@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import timefn
 from almanac.operators.lineage import cut
-from almanac.operators.ordered import running
+from almanac.operators.ordered import ordinals, running
 
 
 def same_day_pairs(rows: DataFrame, key: str, ts: str, block: Sequence[str], most: float) -> DataFrame:
@@ -104,19 +104,48 @@ def greedy_merge(pairs: DataFrame) -> DataFrame:
     return found.unionByName(_merge_rounds(large)) if large.limit(1).count() else found
 
 
+def _settled(state: DataFrame) -> DataFrame:
+    """``state`` (n, u, su, v, sv, x) with x where its terms give it; two equal terms become one."""
+    true = (F.col("u").isNull() & F.col("su")) | (F.col("v").isNull() & F.col("sv"))
+    none = F.col("u").isNull() & F.col("v").isNull()
+    same = F.coalesce(F.col("u") == F.col("v"), F.lit(False))
+    x = F.coalesce("x", F.when(true, True).when(none, False).when(same & (F.col("su") != F.col("sv")), True))
+    twice = same & (F.col("su") == F.col("sv"))
+    return state.select("n", "u", "su", F.when(~twice, F.col("v")).alias("v"), (F.col("sv") & ~twice).alias("sv"), x.alias("x"))
+
+
 def _merge_rounds(pairs: DataFrame) -> DataFrame:
-    """As ``greedy_merge`` for groups of any size: each round takes the pairs that come first at both their ends."""
-    order = F.struct((-F.col("score")).alias("s"), F.col("a").alias("x"), F.col("b").alias("y"))
-    left = cut(pairs.select("a", "b", "score"))
-    merged = None
-    while left.limit(1).count():
-        ranked = left.withColumn("_order", order)
-        ends = ranked.select(F.explode(F.array("a", "b")).alias("_end"), "_order").groupBy("_end").agg(F.min("_order").alias("_first"))
-        of = lambda c: ends.select(F.col("_end").alias(c), F.col("_first").alias(f"_first_{c}"))  # noqa: B023, E731
-        taken = cut(ranked.join(of("a"), "a").join(of("b"), "b").filter("_order = _first_a AND _order = _first_b").select("a", "b"))
-        merged = taken if merged is None else merged.unionByName(taken)
-        gone = taken.select(F.col("b").alias("_gone"))
-        left = left.join(gone, F.col("a") == F.col("_gone"), "left_anti").join(gone, F.col("b") == F.col("_gone"), "left_anti")
-        left = cut(left)
-    merged = merged if merged is not None else pairs.select("a", "b").limit(0)
-    return merged.select(F.col("a").alias("survivor"), F.col("b").alias("absorbed"))
+    """As ``greedy_merge`` for groups of any size.
+
+    A node is gone once a pair that absorbs it is taken. Whether it is gone after such a pair is ``gone before OR NOT the
+    other end gone before``: a formula over at most two earlier pairs. Formulas of one pair are links, and are followed by
+    doubling, so chains of any length take a logarithm of rounds; those of two are settled once one of them decides
+    it. No node's pairs are gathered: the last pair before each is a running maximum over ranges.
+    """
+    ranked = ordinals(pairs.select("a", "b", "score"), [], [F.desc("score"), F.asc("a"), F.asc("b")], "n")
+    ranked = cut(ranked)
+    # at an end, the pair asks at 2 n who absorbed it before, and at 2 n + 1 it may absorb b itself
+    ask = lambda end: ranked.select(F.col(end).alias("_node"), (2 * F.col("n")).alias("_at"), F.lit(None).cast("long").alias("_by"), "n", F.lit(end).alias("_end"))
+    does = ranked.select(F.col("b").alias("_node"), (2 * F.col("n") + 1).alias("_at"), F.col("n").alias("_by"), "n", F.lit("").alias("_end"))
+    seen = running(ask("a").unionByName(ask("b")).unionByName(does), ["_node"], [F.asc("_at")], {"_last": F.col("_by")}, "max").filter("_end <> ''")
+    of = lambda end: seen.filter(F.col("_end") == end).select("n", F.col("_last").alias(f"_{end}"))
+    links = cut(ranked.select("n").join(of("a"), "n").join(of("b"), "n"))  # n, _a, _b: the pairs that may have absorbed its ends
+    # x of a pair, whether b is gone after it, is one of two terms (t, s): x of pair t equals s; without t, s itself
+    state = links.select("n", F.col("_b").alias("u"), F.col("_b").isNotNull().alias("su"), F.col("_a").alias("v"), F.col("_a").isNull().alias("sv"))
+    state = cut(_settled(state.withColumn("x", F.lit(None).cast("boolean"))))
+    while state.filter("x IS NULL").limit(1).count():
+        only_v = F.col("u").isNull() & ~F.col("su")
+        only_u = F.col("v").isNull() & ~F.col("sv")
+        to, same = F.when(only_v, F.col("v")).when(only_u, F.col("u")), F.when(only_v, F.col("sv")).when(only_u, F.col("su"))
+        known = state.select(F.col("n").alias("_k"), F.col("x").alias("_x"), to.alias("_to"), same.alias("_same"))
+        for t in "uv":
+            s = f"s{t}"
+            state = state.join(known, F.col(t) == F.col("_k"), "left").withColumns({
+                s: F.when(F.col(t).isNull(), F.col(s)).when(F.col("_x").isNotNull(), F.col("_x") == F.col(s)).when(F.col("_to").isNotNull(), F.col("_same") == F.col(s)).otherwise(F.col(s)),
+                t: F.when(F.col("_x").isNull(), F.coalesce("_to", t)),
+            }).drop("_k", "_x", "_to", "_same")
+        state = cut(_settled(state))
+    gone = state.select("n", "x")
+    before = lambda end: gone.select(F.col("n").alias(f"_{end}"), F.col("x").alias(f"_x{end}"))
+    taken = links.join(before("a"), "_a", "left").join(before("b"), "_b", "left").filter("NOT coalesce(_xa, false) AND NOT coalesce(_xb, false)")
+    return ranked.join(taken.select("n"), "n").select(F.col("a").alias("survivor"), F.col("b").alias("absorbed"))

@@ -775,7 +775,20 @@ def plugged_answers(spark, sf_dir):
             raise ValueError("no answer")
         return rows[["id"]].assign(n=rows["title"].str.len())
 
-    return answers(table(spark, sf_dir, "events").filter("category IS NULL").select("id", "title", "created_at"), ask, "id long, n long", 50, batch=1)
+    found = answers(table(spark, sf_dir, "events").filter("category IS NULL").select("id", "title", "created_at"), ask, "id long, n long", 50, batch=1)
+    return found.filter("error IS NULL").drop("error")
+
+
+@_query(f"""{ctes("events")} SELECT id, CASE WHEN id % 2 = 0 THEN length(title) END AS n, CASE WHEN id % 2 <> 0 THEN 'ValueError: no answer' END AS error FROM (SELECT * FROM events WHERE category IS NULL ORDER BY created_at, id LIMIT 50)""")
+def plugged_failures(spark, sf_dir):
+    from almanac.operators.plug import answers
+
+    def ask(rows):
+        if rows["id"].iloc[0] % 2:
+            raise ValueError("no answer")
+        return rows[["id"]].assign(n=rows["title"].str.len())
+
+    return answers(table(spark, sf_dir, "events").filter("category IS NULL").select("id", "title", "created_at"), ask, "id long, n long", 50, batch=1, seconds=60)
 
 
 # Search as a request

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from almanac.functions.scoring import backoff_hours
 from almanac.functions.timefn import ZONE
@@ -28,6 +29,54 @@ def sliding_counts(stream: DataFrame, key: str, ts: str, width: str = "60 minute
     return found.select(key, F.col("window.start").alias("starts"), F.col("window.end").alias("ends"), "n")
 
 
+class _Trailing(StatefulProcessor):
+    """The times of a key's last ``keep`` as a list; a timer takes them away once nothing came for so long."""
+
+    def __init__(self, ts: str, span: int, keep: int):
+        self.ts, self.span, self.keep = ts, span, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        at = new[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+        held = np.sort(np.concatenate([np.array([x[0] for x in self.times.get()], np.int64), at]))
+        yield new.assign(n=np.searchsorted(held, at) - np.searchsorted(held, at - self.span))
+        left = held[held >= held[-1] - self.keep]
+        self.times.put([(int(x),) for x in left])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(held[-1] + self.keep) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def trailing_counts(stream: DataFrame, key: str, ts: str, minutes: int = 60, keep: str = "24 hours") -> DataFrame:
+    """``stream`` with ``n``: how many rows of the same key lie in the ``minutes`` before each row, as ``core.trailing_count``.
+
+    Exact for rows that come in order or within one batch; a row that comes late counts those that are held, and
+    changes no count that was given out. A key's times are held for ``keep`` before its newest and go when the watermark,
+    ``keep`` behind, has passed it by as much. Rows without a time are left out. The session's ``STATE_STORE`` must be RocksDB.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    micros = int(pd.Timedelta(keep).total_seconds() * 1e6)
+    if micros < minutes * 60_000_000:
+        raise ValueError("times are held for the span of the count at least")
+    shape = StructType([*stream.schema.fields, StructField("n", LongType())])
+    rows = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, keep).groupBy(key)
+    return rows.transformWithStateInPandas(_Trailing(ts, minutes * 60_000_000, micros), shape, "append", "eventTime")
+
+
 def local_day_counts(stream: DataFrame, ts: str, zone: str = ZONE, late: str = "24 hours") -> DataFrame:
     """(day, k): rows of each local day.
 
