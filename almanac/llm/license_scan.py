@@ -1,14 +1,15 @@
 """License scans: exact set-similarity join of text blocks with license notices, in DataFrame functions only.
 
-A block is a window of BLOCK words, every STRIDE words, so any notice of up to STRIDE words lies whole in some block.
-A block meets a notice when it contains at least THRESHOLD of the notice's distinct words. Words are ordered by how
+A block is a window of twice a stride of words, every stride, so any notice of up to as many words lies whole in some
+block. Notices are of classes by length, each with its stride: STRIDE words, or that doubled as often as needed, so a
+notice may be a whole license. A block meets a notice when it contains at least THRESHOLD of the notice's distinct words. Words are ordered by how
 often the corpus holds them, rarest first; a pair is verified only if it shares a word within both prefixes that this
 order and the threshold leave (prefix filter), the block has enough of the notices' words (length filter), and the
 places of the shared word leave enough words after it (positional filter). All three lose no pair.
 
-Notices of kindred licenses differ in a word or two, which containment cannot tell apart. A notice may therefore have a
-mark, a pattern of what names its license, as "gnu affero"; a pair that meets counts only if the block, with the MARGIN
-words around it, holds the mark.
+Notices of kindred licenses differ in a word or two, which containment cannot tell apart, and a short one may lack just
+the word that names its license. A notice may therefore have a mark, a pattern of what names its license, as "gnu
+affero" or "mit license"; a pair that meets counts only if the block, with the MARGIN words around it, holds the mark.
 
 Edge cases: null and empty texts have no words, no labels and score 0; a notice cut by a block's edge is found in the
 next block; equal rows give equal results; an empty table gives an empty result; other columns are ignored.
@@ -31,7 +32,19 @@ PHRASES = {
 
 _PLAIN_GNU = " gnu (?!affero |lesser |library )"
 
-# Public license notices (first sentences), with the labels that containment gives and, where other
+# The two parts of a license that is often given without its first sentence.
+_MIT_GRANT = (
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+    "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+)
+_MIT_TERMS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+    "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+
+# Public license notices (first sentences or parts), with the labels that containment gives and, where other
 # licenses' notices come near, what marks the license. Words of a text stand between single spaces.
 NOTICES = [
     ("agpl-3.0", "licensed under the gnu affero general public license version 3", " (?:gnu affero|affero general) "),
@@ -46,12 +59,15 @@ NOTICES = [
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", _PLAIN_GNU),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "licensed under the gnu lesser general public license", " (?:lesser|library) general "),
-    ("mit", "released under the mit license", " mit "),
+    ("mit", "released under the mit license", " mit licen[cs]e "),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", _MIT_GRANT),
+    ("mit", _MIT_TERMS),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", " mozilla (?!public license (?:version |v )?v?1 )"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-BLOCK, STRIDE = 48, 24
+#: Words between the blocks of the shortest class of notices; a block has twice as many.
+STRIDE = 24
 #: Words on each side of a block where the rest of a mark may stand.
 MARGIN = 4
 THRESHOLD = 0.8
@@ -85,14 +101,22 @@ def word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: n for w, n in each.groupBy("word").count().collect()}
 
 
+def stride_of(notice: str) -> int:
+    """The stride of a notice's class."""
+    stride = STRIDE
+    while stride < len(notice.split()):
+        stride *= 2
+    return stride
+
+
 def scan_licenses(docs: DataFrame, notices: list[tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of ``docs``.
 
     ``notices``: labels with texts and, where needed, marks.
     """
     notices = [(*x, "")[:3] for x in (notices if notices is not None else NOTICES)]
-    if any(not 0 < len(t.split()) <= STRIDE for _, t, _ in notices):
-        raise ValueError(f"a notice has 1 to {STRIDE} words")
+    if any(not t.split() for _, t, _ in notices):
+        raise ValueError("a notice has words")
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in notices for w in t.split()})
@@ -103,23 +127,25 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, ...]] | None = None,
     for k, (label, text, mark) in enumerate(notices):
         ranks = sorted(rank[w] for w in set(text.split()))
         need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
-        entries += [(r, at, k, label, need, ranks, mark) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
-    prefixes = spark.createDataFrame(entries, "word_rank int, notice_at int, notice int, label string, need int, notice_ranks array<int>, mark string")
-    first_words = sorted({order[r - 1] for r, *_ in entries})
+        entries += [(stride_of(text), r, at, k, label, need, ranks, mark) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
+    prefixes = spark.createDataFrame(entries, "stride int, word_rank int, notice_at int, notice int, label string, need int, notice_ranks array<int>, mark string")
+    first_words = sorted({order[r - 1] for _, r, *_ in entries})
 
     # texts that hold no prefix word of any notice can meet none
     held = F.col("joined").rlike(f" (?:{'|'.join(first_words)}) ")
     texts = docs.select("doc_id", "text", _joined(F.col("text")).alias("joined")).withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64(F.lit(1), "text")})
     candidates = texts.filter(held).dropDuplicates(["key", "key2"]).select("key", "key2", _words().alias("words"))
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE)))
     known = F.array(*[F.lit(w) for w in order])
-    around = F.slice("words", F.greatest(F.col("start") + 1 - MARGIN, F.lit(1)), BLOCK + 2 * MARGIN)
+    strides = F.array(*[F.lit(x) for x in sorted({stride_of(t) for _, t, _ in notices})])
+    cut = candidates.select("key", "key2", "words", F.explode(strides).alias("stride"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.col("stride"))).alias("start"))
+    around = F.slice("words", F.greatest(F.col("start") + 1 - MARGIN, F.lit(1)), 2 * F.col("stride") + 2 * MARGIN)
     around = F.concat(F.lit(" "), F.array_join(around, " "), F.lit(" ")).alias("around")
-    blocks = candidates.select("key", "key2", "words", starts.alias("start")).select("key", "key2", F.slice("words", F.col("start") + 1, BLOCK).alias("words"), around)
+    blocks = cut.select("key", "key2", "stride", F.slice("words", F.col("start") + 1, 2 * F.col("stride")).alias("words"), around)
     ranks = F.array_sort(F.array_distinct(F.transform(F.array_intersect("words", known), lambda w: F.array_position(known, w).cast("int"))))
-    shared = blocks.select("key", "key2", ranks.alias("ranks"), "around").filter(F.size("ranks") > 0).select("key", "key2", "ranks", "around", F.posexplode("ranks").alias("at", "word_rank"))
+    shared = blocks.select("key", "key2", "stride", ranks.alias("ranks"), "around").filter(F.size("ranks") > 0).select("key", "key2", "stride", "ranks", "around", F.posexplode("ranks").alias("at", "word_rank"))
     left = F.least(F.size("notice_ranks") - F.col("notice_at"), F.size("ranks") - F.col("at"))
-    met = shared.join(F.broadcast(prefixes), "word_rank").filter((F.size("ranks") >= F.col("need")) & (left >= F.col("need")))
+    met = shared.join(F.broadcast(prefixes), ["stride", "word_rank"]).filter((F.size("ranks") >= F.col("need")) & (left >= F.col("need")))
     common = F.size(F.array_intersect("ranks", "notice_ranks"))
     met = met.filter(common >= F.col("need")).filter((F.col("mark") == "") | F.regexp_like("around", F.col("mark"))).groupBy("key", "key2").agg(F.collect_set("label").alias("found"), F.max(common / F.size("notice_ranks")).alias("best"))
 

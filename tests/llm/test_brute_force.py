@@ -106,11 +106,12 @@ def test_license_scan_finds_what_all_blocks_hold(spark):
     for key, text in enumerate(texts):
         words, places, base = _base_licenses(text)
         labels, best = set(base), float(bool(base))
-        for start in range(0, max(len(words), 1), license_scan.STRIDE):
-            block = set(words[start : start + license_scan.BLOCK])
-            near = " " + " ".join(words[max(0, start - license_scan.MARGIN) : max(0, start - license_scan.MARGIN) + license_scan.BLOCK + 2 * license_scan.MARGIN]) + " "
-            for label, notice, mark in notices:
-                own = set(notice.split())
+        for label, notice, mark in notices:
+            own, stride = set(notice.split()), license_scan.stride_of(notice)
+            for start in range(0, max(len(words), 1), stride):
+                block = set(words[start : start + 2 * stride])
+                before = max(0, start - license_scan.MARGIN)
+                near = " " + " ".join(words[before : before + 2 * stride + 2 * license_scan.MARGIN]) + " "
                 if len(own & block) >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9) and (not mark or re.search(mark, near)):
                     labels.add(label)
                     best = max(best, len(own & block) / len(own))
@@ -120,6 +121,18 @@ def test_license_scan_finds_what_all_blocks_hold(spark):
         assert abs(x.score - best) < 1e-12, text
 
 
+def test_license_labels_of_foreign_prose_and_whole_licenses(spark):
+    german = "Released under the GNU license mit der Software von mit, under the Hut"
+    body = license_scan._MIT_GRANT + ". " + license_scan._MIT_TERMS.upper()
+    long = " ".join(f"w{k}" for k in range(400))
+    texts = [german, "filler " * 33 + body, " ".join(_sentence(random.Random(1), 40).split() + long.split()[:370]), "licensed under the gnu lesser general public license mit viel"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.labels for x in license_scan.scan_licenses(docs).collect()}
+    assert "mit" not in got[0].split(",") and got[1] == "mit" and got[2] == "" and "mit" not in got[3].split(",")
+    got = {x.doc_id: x.labels for x in license_scan.scan_licenses(docs, [("own", long)]).collect()}
+    assert [got[k] for k in range(4)] == ["", "", "own", ""]
+
+
 def test_packing_against_the_library(docs, rows):
     from tokenizers import Tokenizer
 
