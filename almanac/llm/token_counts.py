@@ -1,7 +1,7 @@
 """Token counts: Arrow batches encoded by the tokenizer's library, of which only lengths come back.
 
-Texts are dealt into work batches balanced by bytes; long texts are cut at safe boundaries first, so one very long
-text neither swells a batch nor holds the whole encoding in memory.
+Texts are dealt into work batches balanced by UTF-8 bytes, which go on from one Arrow batch to the next; long texts are
+cut at safe boundaries first, so one very long text neither swells a batch nor holds the whole encoding in memory.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); special strings inside a text count as the library
 counts them by default; repeated rows repeat; an empty table gives an empty result; other columns are ignored.
@@ -54,21 +54,42 @@ def _counter(path: str):
     return count, True
 
 
-def _balanced(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """(owners, pieces) of about BATCH_BYTES each."""
-    owners: list[int] = []
-    pieces: list[str] = []
-    size = 0
-    for i, text in enumerate(texts):
-        for piece in split_long(text, LONG_CHARS):
-            owners.append(i)
-            pieces.append(piece)
-            size += len(piece)
-            if size >= BATCH_BYTES:
-                yield owners, pieces
-                owners, pieces, size = [], [], 0
-    if pieces:
-        yield owners, pieces
+class _Work:
+    """Pieces of texts gathered up to BATCH_BYTES, whatever Arrow batches they come in, and the counts of their rows."""
+
+    def __init__(self, count, splits: bool):
+        self.count, self.splits = count, splits
+        self.open: list[tuple[pa.RecordBatch, list[int]]] = []  # batches with a piece that is not counted yet
+        self.places: list[tuple[list[int], int]] = []
+        self.pieces: list[str] = []
+        self.size = 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        counts = [0] * batch.num_rows
+        self.open.append((batch, counts))
+        for i, (text, size) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            long = self.splits and len(text) > LONG_CHARS
+            for piece in split_long(text, LONG_CHARS) if long else (text,):
+                self.places.append((counts, i))
+                self.pieces.append(piece)
+                self.size += len(piece.encode()) if long else size
+                if self.size >= BATCH_BYTES:
+                    self.work()
+        if not self.pieces:
+            yield from self.done()
+        elif len(self.open) > 1 and self.places[0][0] is counts:
+            yield from self.done(keep=1)
+
+    def work(self) -> None:
+        for (counts, i), n in zip(self.places, self.count(self.pieces)):
+            counts[i] += n
+        self.places, self.pieces, self.size = [], [], 0
+
+    def done(self, keep: int = 0) -> Iterator[pa.RecordBatch]:
+        """Batches whose pieces are all counted."""
+        ready, self.open = self.open[: len(self.open) - keep], self.open[len(self.open) - keep :]
+        for batch, counts in ready:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -76,15 +97,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        count, splits = _counter(path)
+        work = _Work(*_counter(path))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [0] * len(texts)
-            for owners, pieces in _balanced(texts) if splits else [(range(len(texts)), texts)] if texts else []:
-                for i, k in zip(owners, count(pieces)):
-                    n[i] += k
-            out = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), out], names=["doc_id", "n_bytes", "n_tokens"])
+            yield from work.add(batch)
+        if work.pieces:
+            work.work()
+        yield from work.done()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
