@@ -12,26 +12,30 @@ from almanac.functions.text import set_similarity, trigrams
 RRF_K = 60
 
 
-def similar_texts(rows: DataFrame, floor: float, top: float = 1.0, block: str | None = None) -> DataFrame:
+def similar_texts(rows: DataFrame, floor: float, top: float = 1.0, block: str | None = None, sides: bool = False) -> DataFrame:
     """(ta, tb, similarity), and ``block``, of the distinct texts of ``rows`` (t) whose trigram similarity lies in [floor, top]; ta <= tb.
 
+    With ``sides``, rows have a ``side``, 1 or 2, and only texts of different sides meet.
+
     A pair is compared only if it shares a gram within both prefixes that the floor leaves (rarest grams first, so
     that common ones are hardly ever joined on), if lengths allow the floor, and if enough grams follow the shared one.
     """
     keys = [block] if block else []
-    texts = rows.select(*keys, "t").distinct().withColumn("g", trigrams(F.col("t"))).filter(F.size("g") > 0)
-    grams = texts.select(*keys, "t", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    side = F.bit_or("side" if sides else F.lit(3)).alias("s")
+    texts = rows.groupBy(*keys, "t").agg(side).withColumn("g", trigrams(F.col("t"))).filter(F.size("g") > 0)
+    grams = texts.select(*keys, "t", "s", F.size("g").alias("n"), F.explode("g").alias("gram"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy(*keys, "t").orderBy("often", "gram")  # a text's own grams
     ranked = grams.join(often, "gram").withColumn("p", F.row_number().over(order) - 1)
-    prefix = ranked.filter(F.col("p") <= F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9)).select(*keys, "gram", "t", "n", "p")
-    one, two = (prefix.select(*keys, "gram", *[F.col(c).alias(f"{c}{x}") for c in "tnp"]) for x in "ab")
+    prefix = ranked.filter(F.col("p") <= F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9)).select(*keys, "gram", "t", "s", "n", "p")
+    one, two = (prefix.select(*keys, "gram", *[F.col(c).alias(f"{c}{x}") for c in "tsnp"]) for x in "ab")
+    apart = F.expr("(sa & 1 > 0 AND sb & 2 > 0) OR (sa & 2 > 0 AND sb & 1 > 0)")
     need = F.lit(floor / (1 + floor)) * (F.col("na") + F.col("nb")) - 1e-9
-    met = one.join(two, [*keys, "gram"]).filter("ta < tb").filter((F.least("na", "nb") >= F.lit(floor) * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need))
+    met = one.join(two, [*keys, "gram"]).filter("ta < tb").filter(apart).filter((F.least("na", "nb") >= F.lit(floor) * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need))
     pairs = met.select(*keys, "ta", "tb").distinct()
     of = lambda x: texts.select(*keys, F.col("t").alias(f"t{x}"), F.col("g").alias(f"g{x}"))
     near = pairs.join(of("a"), [*keys, "ta"]).join(of("b"), [*keys, "tb"]).withColumn("similarity", set_similarity(F.col("ga"), F.col("gb")))
-    same = texts.select(*keys, F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("similarity"))
+    same = texts.filter("s = 3").select(*keys, F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("similarity"))
     return near.select(*keys, "ta", "tb", "similarity").unionByName(same).filter(F.col("similarity").between(floor, top))
 
 

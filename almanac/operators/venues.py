@@ -71,8 +71,8 @@ def registry_matches(venues: DataFrame, registry: DataFrame, coordinates: DataFr
 
     ``registry``: id, name, address, lon, lat; ``coordinates``: id, lat, lng of venues whose place is known.
     """
-    names = venues.select(F.col("normalized_name").alias("t")).unionByName(registry.select(F.lower("name").alias("t")))
-    near = core.similar_texts(names, REGISTRY_FLOOR)
+    names = venues.select(F.col("normalized_name").alias("t"), F.lit(1).alias("side")).unionByName(registry.select(F.lower("name").alias("t"), F.lit(2).alias("side")))
+    near = core.similar_texts(names, REGISTRY_FLOOR, sides=True)
     both = near.unionByName(near.filter("ta <> tb").select(F.col("tb").alias("ta"), F.col("ta").alias("tb"), "similarity"))
     known = venues.select("id", "normalized_name", "address")
     known = known.join(coordinates.select("id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng")), "id", "left") if coordinates is not None else known.withColumns({"_lat": F.lit(None).cast("double"), "_lng": F.lit(None).cast("double")})

@@ -37,7 +37,7 @@ TABLES = {
         TIMESTAMP '2001-05-15 11:30:00' + INTERVAL 1 MINUTE * p_size AS resolved_at FROM {part} WHERE p_partkey % 4 = 0""",
     "picks": """SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN DATE '2001-05-07' ELSE DATE '2001-05-14' END AS week_of, p_size AS sort_order, p_partkey AS event_id, concat('c', p_size) AS curator FROM {part} WHERE p_partkey % 20 = 0""",
     "registry": """SELECT CAST(p_partkey AS STRING) AS id, concat(upper(p_name), CASE p_partkey % 3 WHEN 0 THEN ' HALL' WHEN 1 THEN ' Theatre' ELSE ' club' END) AS name, concat(p_partkey % 6 + 1, ' n main st') AS address,
-        -88 + CAST(p_partkey AS DOUBLE) / 1000 AS lon, 43 + CAST(p_partkey AS DOUBLE) / 1000 AS lat FROM {part} WHERE p_partkey < 40""",
+        -88 + CAST(p_partkey AS DOUBLE) / 1000 AS lon, 43 + CAST(p_partkey AS DOUBLE) / 1000 AS lat FROM {part}""",
     "suggestions": "SELECT s_suppkey AS keep_id, s_suppkey - 3 AS absorb_id FROM {supplier} WHERE s_suppkey % 6 = 0",
     "aliases": "SELECT concat(p_name, ' stage') AS normalized_name, s_suppkey + 1 AS venue_id FROM {supplier} JOIN {part} ON p_partkey = s_suppkey WHERE s_suppkey % 3 = 2 AND s_suppkey % 5 = 0",
     "merges": """SELECT p_partkey AS absorbed, CASE p_partkey % 10 WHEN 5 THEN p_partkey - 5 WHEN 6 THEN p_partkey - 1 WHEN 7 THEN p_partkey - 2 ELSE p_partkey - p_partkey % 10 END AS survivor,

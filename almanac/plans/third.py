@@ -26,7 +26,7 @@ _CARDS = "JOIN events e ON e.id = x.event_id LEFT JOIN venues v ON v.id = e.venu
 
 # Merging
 
-_CANDIDATES = f"""{ctes("events", "instances", "links", "venues", "reviews")},
+_CANDIDATES = f"""{ctes("events", "instances", "links", "venues", "reviews", "sources")},
     t AS (SELECT t, {_GRAMS.format("t")} AS g FROM (SELECT DISTINCT normalized_title AS t FROM events)),
     n AS (SELECT a.t AS ta, b.t AS tb, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS sim FROM t a, t b),
     w AS (SELECT t, {_GRAMS.format("t")} AS g FROM (SELECT DISTINCT normalized_name AS t FROM venues)),
@@ -58,7 +58,27 @@ def merge_scores(spark, sf_dir):
     return merging.scored(_candidates(spark, sf_dir)).select("a", "b", F.round("score", 9).alias("score"), "kind")
 
 
-@_query()
+_BEST = "(CASE WHEN (-ra, ka, oa) <= (-rb, kb, ob) THEN {{'id': {id}, 'r': ra, 'k': ka, 'o': oa}} ELSE {{'id': {id}, 'r': rb, 'k': kb, 'o': ob}} END)"
+
+#: The loop in score order; the links of survivors are kept as a list of changes.
+_DECISIONS = f"""{_CANDIDATES},
+    q AS (SELECT a, b, score, CASE WHEN score >= 0.8 THEN 'merge' WHEN score >= 0.55 THEN CASE WHEN venue_affinity >= 0.9 AND coalesce(minutes <= 15, false) THEN 'same-show' ELSE 'queue' END ELSE 'ignore' END AS kind FROM s),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM q WHERE kind <> 'ignore'),
+    lr AS (SELECT l.event_id, y.key, CASE y.adapter_type WHEN 'api' THEN 4 WHEN 'ical' THEN 3 WHEN 'rss' THEN 3 WHEN 'html' THEN 2 WHEN 'firecrawl' THEN 1 ELSE 0 END AS rank FROM links l JOIN sources y ON y.id = l.source_id),
+    pv AS MATERIALIZED (SELECT e.id, e.created_at, x.rank, x.key, x.key IN ('source-2', 'source-3') AS owned FROM events e JOIN (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY rank DESC, key) AS n FROM lr) x ON x.event_id = e.id AND x.n = 1),
+    d AS MATERIALIZED (SELECT o.*, x.created_at AS ca, x.rank AS ra, x.key AS ka, x.owned AS oa, y.created_at AS cb, y.rank AS rb, y.key AS kb, y.owned AS ob FROM o JOIN pv x ON x.id = o.a JOIN pv y ON y.id = o.b),
+    z AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone, []::STRUCT(id BIGINT, r INTEGER, k VARCHAR, o BOOLEAN)[] AS now, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::VARCHAR AS kind, NULL::BIGINT AS survivor, NULL::BIGINT AS absorbed
+      UNION ALL SELECT n, CASE WHEN takes AND kind <> 'queue' THEN list_append(gone, goes) ELSE gone END, CASE WHEN takes AND kind <> 'queue' THEN list_append(now, {_BEST.format(id="stays")}) ELSE now END,
+        CASE WHEN takes THEN a END, CASE WHEN takes THEN b END, kind, CASE WHEN takes AND kind <> 'queue' THEN stays END, CASE WHEN takes AND kind <> 'queue' THEN goes END
+      FROM (SELECT *, CASE WHEN leads THEN a ELSE b END AS stays, CASE WHEN leads THEN b ELSE a END AS goes FROM (
+        SELECT *, CASE WHEN kind = 'same-show' AND oa <> ob THEN oa WHEN ra <> rb THEN ra > rb ELSE ca <= cb END AS leads FROM (
+        SELECT d.n, d.a, d.b, d.kind, z.gone, z.now, d.ca, d.cb, NOT list_contains(z.gone, d.a) AND NOT list_contains(z.gone, d.b) AS takes,
+          coalesce(ua.r, d.ra) AS ra, coalesce(ua.k, d.ka) AS ka, coalesce(ua.o, d.oa) AS oa, coalesce(ub.r, d.rb) AS rb, coalesce(ub.k, d.kb) AS kb, coalesce(ub.o, d.ob) AS ob
+        FROM (SELECT z.*, d.n AS m, list_filter(z.now, lambda u: u.id = d.a)[-1] AS ua, list_filter(z.now, lambda u: u.id = d.b)[-1] AS ub FROM z JOIN d ON d.n = z.n + 1) z JOIN d ON d.n = z.m))))
+    SELECT a, b, kind, survivor, absorbed FROM z WHERE a IS NOT NULL"""
+
+
+@_query(_DECISIONS)
 def merge_decisions(spark, sf_dir):
     events, links, sources = _all(spark, sf_dir, "events", "links", "sources")
     found = merging.decide(merging.scored(_candidates(spark, sf_dir)), merging.provenance(events, links, sources, OWNED))
@@ -185,8 +205,10 @@ def venue_proposals(spark, sf_dir):
     return venues.proposals(*_all(spark, sf_dir, "venues", "suggestions", "aliases")).select("a", "b", F.round("similarity", 6).alias("similarity"), "evidence")
 
 
-_LADDER = f"""s AS (SELECT v.id, r.id AS registry_id, {_sim("v.normalized_name", "lower(r.name)")} AS similarity, regexp_extract(trim(r.address), '^([0-9]+)', 1) AS ra, regexp_extract(trim(v.address), '^([0-9]+)', 1) AS va, r.lat AS rlat, r.lon AS rlon, v.lat, v.lng
-      FROM venues v, registry r WHERE {_sim("v.normalized_name", "lower(r.name)")} >= 0.55),
+_LADDER = f"""vg AS MATERIALIZED (SELECT *, {_GRAMS.format("normalized_name")} AS g FROM venues), rg AS MATERIALIZED (SELECT *, {_GRAMS.format("lower(name)")} AS g FROM registry),
+    sh AS (SELECT v.id, r.id AS registry_id, count(*) AS common FROM (SELECT id, unnest(g) AS x FROM vg) v JOIN (SELECT id, unnest(g) AS x FROM rg) r ON r.x = v.x GROUP BY v.id, r.id),
+    s AS (SELECT v.id, r.id AS registry_id, common::DOUBLE / (len(v.g) + len(r.g) - common) AS similarity, regexp_extract(trim(r.address), '^([0-9]+)', 1) AS ra, regexp_extract(trim(v.address), '^([0-9]+)', 1) AS va, r.lat AS rlat, r.lon AS rlon, v.lat, v.lng, v.address
+      FROM sh JOIN vg v ON v.id = sh.id JOIN rg r ON r.id = sh.registry_id WHERE common::DOUBLE / (len(v.g) + len(r.g) - common) >= 0.55),
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, registry_id) AS n, 2 * 6371000 * asin(sqrt(pow(sin(radians(rlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(rlat)) * pow(sin(radians(rlon - lng) / 2), 2))) AS m FROM s)"""
 _ACCEPT = "(similarity >= 0.92 OR (similarity >= 0.75 AND coalesce(ra = va AND ra <> '', false){0})"
 
@@ -206,6 +228,17 @@ def venue_waterfall(spark, sf_dir):
     return venues.resolve(places, registry, AS_OF)[1]
 
 
+@_query(f"""{ctes("venues", "registry")}, {_LADDER}, b AS (SELECT id, address, id % 5 AS made FROM venues WHERE id % 7 <> 0 ORDER BY id % 5, id LIMIT 50), g AS (SELECT DISTINCT id FROM k WHERE n <= 5 AND {_ACCEPT.format("")})),
+    w AS (SELECT id FROM b WHERE id NOT IN (SELECT id FROM g) AND address IS NOT NULL ORDER BY made, id LIMIT 10), h AS (SELECT DISTINCT id FROM k WHERE id IN (SELECT id FROM w) AND n <= 5 AND {_ACCEPT.format(" OR (similarity >= 0.6 AND coalesce(m <= 100, false))")}))
+    SELECT b.id, CASE WHEN b.id IN (SELECT id FROM g) OR b.id IN (SELECT id FROM h) THEN 'annotated' ELSE 'unmatched' END AS outcome FROM b""")
+def venue_waterfall_located(spark, sf_dir):
+    """As ``venue_waterfall``, with places for the first ten that names and addresses leave."""
+    places, registry = _all(spark, sf_dir, "venues", "registry")
+    coordinates = places.select("id", "lat", "lng")
+    places = places.withColumns({"matched_at": F.when(F.col("id") % 7 == 0, F.lit(AS_OF).cast("timestamp_ntz")), "created_at": F.col("id") % 5})
+    return venues.resolve(places, registry, AS_OF, coordinates, geocodes=10)[1]
+
+
 @_query(f"""{ctes("venues", "registry", "events", "suggestions")}, c AS (SELECT venue_id, count(*) AS n FROM events GROUP BY venue_id),
     r AS (SELECT v.id, v.registry_id, row_number() OVER (PARTITION BY v.registry_id ORDER BY {_sim("lower(v.normalized_name)", "lower(g.name)")} DESC, coalesce(c.n, 0) DESC, v.id) AS k, count(*) OVER (PARTITION BY v.registry_id) AS many
       FROM venues v JOIN registry g ON g.id = v.registry_id LEFT JOIN c ON c.venue_id = v.id)
@@ -365,14 +398,14 @@ def due_sources(spark, sf_dir):
     return persist.due_sources(table(spark, sf_dir, "sources"), "daily", AS_OF).select("id")
 
 
-@_query(f"""{ctes("events", "links", "instances")}, r AS (SELECT event_id AS k, start_at, row_number() OVER (PARTITION BY event_id ORDER BY start_at DESC) AS n FROM instances WHERE event_id % 3 = 0 AND start_at >= TIMESTAMP '2001-01-01')
+@_query(f"""{ctes("events", "links", "instances")}, r AS (SELECT event_id AS k, start_at, row_number() OVER (PARTITION BY event_id ORDER BY start_at DESC) AS n FROM instances WHERE start_at >= TIMESTAMP '2001-01-01')
     SELECT e.id, CASE WHEN r.k IS NOT NULL AND NOT list_contains(e.locked, 'title') THEN 'new title' ELSE e.title END AS title, CASE WHEN r.k IS NOT NULL AND list_contains(e.locked, 'status') THEN 'old' WHEN r.k IS NOT NULL THEN 'postponed' ELSE 'old' END AS status,
     coalesce(e.description, CASE WHEN r.k IS NOT NULL THEN NULL END) AS description FROM events e LEFT JOIN r ON r.k = e.id AND r.n = 1""")
 def persist_events(spark, sf_dir):
     return _persisted(spark, sf_dir)[0].filter(F.col("id").rlike("^[0-9]+$")).select(F.col("id").cast("long").alias("id"), "title", "status", "description")
 
 
-@_query(f"""{ctes("events", "instances")}, r AS (SELECT event_id, start_at, count(*) OVER (PARTITION BY event_id) AS n FROM instances WHERE event_id % 3 = 0 AND start_at >= TIMESTAMP '2001-01-01'),
+@_query(f"""{ctes("events", "instances")}, r AS (SELECT event_id, start_at, count(*) OVER (PARTITION BY event_id) AS n FROM instances WHERE start_at >= TIMESTAMP '2001-01-01'),
     o AS (SELECT r.* FROM r JOIN events e ON e.id = r.event_id WHERE NOT list_contains(e.locked, 'time')),
     k AS (SELECT i.event_id, i.start_at FROM instances i LEFT JOIN o ON o.event_id = i.event_id AND o.n = 1 WHERE NOT (o.event_id IS NOT NULL AND i.source_id = i.event_id % 5 AND i.start_at <> o.start_at))
     SELECT event_id, start_at FROM k UNION SELECT event_id, start_at FROM o""")
@@ -380,13 +413,13 @@ def persist_instances(spark, sf_dir):
     return _persisted(spark, sf_dir)[2].filter(F.col("event_id").rlike("^[0-9]+$")).select(F.col("event_id").cast("long").alias("event_id"), "start_at")
 
 
-@_query(f"""{ctes("links", "instances")}, r AS (SELECT DISTINCT event_id FROM instances WHERE event_id % 3 = 0 AND start_at >= TIMESTAMP '2001-01-01')
+@_query(f"""{ctes("links", "instances")}, r AS (SELECT DISTINCT event_id FROM instances WHERE start_at >= TIMESTAMP '2001-01-01')
     SELECT l.source_id, l.source_event_id, l.is_canonical, CASE WHEN r.event_id IS NOT NULL AND l.source_event_id LIKE 'e%' THEN {STAMP} ELSE TIMESTAMP '2001-01-01 00:00:00' END AS last_seen_at FROM links l LEFT JOIN r ON r.event_id = l.event_id""")
 def persist_links(spark, sf_dir):
     return _persisted(spark, sf_dir)[1].filter(F.col("event_id").rlike("^[0-9]+$")).select("source_id", "source_event_id", "is_canonical", "last_seen_at")
 
 
-@_query("""SELECT 5 AS source_id, concat('n', o_orderkey) AS source_event_id, 'brand new' AS title, concat('brand-new-', substring(sha256(concat('source-5:n', o_orderkey)), 1, 8)) AS slug FROM orders WHERE o_orderkey % 500 = 0""")
+@_query("""SELECT 5 AS source_id, concat('n', o_orderkey) AS source_event_id, 'brand new' AS title, concat('brand-new-', substring(sha256(concat('source-5:n', o_orderkey)), 1, 8)) AS slug FROM orders""")
 def persist_new_listings(spark, sf_dir):
     events, links, _ = _persisted(spark, sf_dir)
     new = links.filter("source_id = 5").select("event_id", "source_id", "source_event_id")
@@ -394,20 +427,80 @@ def persist_new_listings(spark, sf_dir):
 
 
 def _persisted(spark, sf_dir):
-    """A batch of recent instances of every third listing by their canonical links, and of new listings."""
+    """A batch of recent instances by their listings' canonical links, and of new listings."""
     events, links, instances = _all(spark, sf_dir, "events", "links", "instances")
     nothing = lambda kind="string": F.lit(None).cast(kind)
     stored = events.select(F.col("id").cast("string").alias("id"), "slug", "locked", "title", "normalized_title", "description", F.col("canonical_url").alias("url"), nothing().alias("image"), F.lit("old").alias("status"), "is_free", nothing().alias("venue_id"))
     known = links.select("source_id", "source_event_id", F.col("event_id").cast("string").alias("event_id"), "is_canonical", F.lit("2001-01-01 00:00:00").cast("timestamp_ntz").alias("last_seen_at"))
     times = instances.select(F.col("event_id").cast("string").alias("event_id"), "start_at", nothing("timestamp_ntz").alias("end_at"), F.lit("old").alias("status"), "source_id")
-    recent = instances.filter("event_id % 3 = 0 AND start_at >= TIMESTAMP_NTZ '2001-01-01 00:00:00'")
+    recent = instances.filter("start_at >= TIMESTAMP_NTZ '2001-01-01 00:00:00'")
     fields = [F.lit("postponed").alias("status"), nothing("boolean").alias("is_free"), nothing().alias("venue_name"), nothing().alias("description"), nothing().alias("url"), nothing().alias("image"), nothing("timestamp_ntz").alias("end_at")]
     records = recent.select((F.col("event_id") % 5).alias("source_id"), F.concat(F.lit("source-"), (F.col("event_id") % 5).cast("string")).alias("source_key"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("source_event_id"), F.unix_micros(F.col("start_at").cast("timestamp")).alias("ordinal"), F.lit("new title").alias("title"), "start_at", *fields)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 500 = 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     new = orders.select(F.lit(5).cast("long").alias("source_id"), F.lit("source-5").alias("source_key"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("source_event_id"), F.col("o_orderkey").alias("ordinal"), F.lit("brand new").alias("title"), F.col("o_orderdate").alias("start_at"), *fields)
     return persist.persist(records.unionByName(new), stored, known, times, spark.createDataFrame([], "normalized_name string, venue_id string"), AS_OF)
 
 
+_PLACED = f"""{ctes("events", "instances", "venues", "aliases")}, r AS (SELECT DISTINCT event_id AS id FROM instances WHERE start_at >= TIMESTAMP '2001-01-01'),
+    c AS (SELECT r.id, CASE r.id % 3 WHEN 1 THEN v.normalized_name WHEN 2 THEN concat('new place ', r.id % 90) END AS name FROM r LEFT JOIN venues v ON v.id = r.id % 50),
+    o AS (SELECT normalized_name, min(id) AS id FROM venues GROUP BY normalized_name), a AS (SELECT normalized_name, min(venue_id) AS id FROM aliases GROUP BY normalized_name),
+    m AS (SELECT c.id, c.name, CASE WHEN c.name IS NULL THEN NULL WHEN a.id IS NOT NULL THEN a.id::VARCHAR WHEN o.id IS NOT NULL THEN o.id::VARCHAR ELSE concat('venue-', substring(sha256(c.name), 1, 24)) END AS venue FROM c LEFT JOIN a ON a.normalized_name = c.name LEFT JOIN o ON o.normalized_name = c.name)"""
+
+
+@_query(f"""{_PLACED} SELECT e.id, CASE WHEN m.id IS NULL OR list_contains(e.locked, 'venue') THEN e.venue_id::VARCHAR ELSE m.venue END AS venue_id, CASE WHEN m.id IS NULL THEN 'old' WHEN list_contains(e.locked, 'status') THEN 'old' ELSE 'scheduled' END AS status FROM events e LEFT JOIN m ON m.id = e.id""")
+def persist_placed(spark, sf_dir):
+    """All listings with recent instances, a third of them without a venue, a third with a known and a third with a new one."""
+    events, links, instances, places, aliases = _all(spark, sf_dir, "events", "links", "instances", "venues", "aliases")
+    stored, known, times, records = _placed(events, links, instances, places)
+    own, other = _named(places, aliases)
+    names_, _ = persist.resolved_venues(records, own, other)
+    found = persist.persist(records, stored, known, times, names_, AS_OF)[0]
+    return found.select(F.col("id").cast("long").alias("id"), "venue_id", "status")
+
+
+@_query(f"""{_PLACED} SELECT DISTINCT venue AS id, name FROM m WHERE venue LIKE 'venue-%'""")
+def persist_minted_venues(spark, sf_dir):
+    events, links, instances, places, aliases = _all(spark, sf_dir, "events", "links", "instances", "venues", "aliases")
+    own, other = _named(places, aliases)
+    return persist.resolved_venues(_placed(events, links, instances, places)[3], own, other)[1].select("id", "name")
+
+
+def _named(places, aliases):
+    own = places.groupBy("normalized_name").agg(F.min("id").cast("string").alias("id"))
+    return own, aliases.groupBy("normalized_name").agg(F.min("venue_id").cast("string").alias("venue_id"))
+
+
+def _placed(events, links, instances, places):
+    nothing = lambda kind="string": F.lit(None).cast(kind)
+    stored = events.select(F.col("id").cast("string").alias("id"), "slug", "locked", "title", "normalized_title", "description", F.col("canonical_url").alias("url"), nothing().alias("image"), F.lit("old").alias("status"), "is_free", F.col("venue_id").cast("string").alias("venue_id"))
+    known = links.select("source_id", "source_event_id", F.col("event_id").cast("string").alias("event_id"), "is_canonical", F.lit("2001-01-01 00:00:00").cast("timestamp_ntz").alias("last_seen_at"))
+    times = instances.select(F.col("event_id").cast("string").alias("event_id"), "start_at", nothing("timestamp_ntz").alias("end_at"), F.lit("old").alias("status"), "source_id")
+    recent = instances.filter("start_at >= TIMESTAMP_NTZ '2001-01-01 00:00:00'").withColumn("_place", F.col("event_id") % 50)
+    recent = recent.join(places.select(F.col("id").alias("_place"), F.col("normalized_name").alias("_own")), "_place", "left")
+    third = F.col("event_id") % 3
+    venue = F.when(third == 1, F.col("_own")).when(third == 2, F.concat(F.lit("new place "), F.col("event_id") % 90))
+    fields = [F.lit("scheduled").alias("status"), nothing("boolean").alias("is_free"), venue.alias("venue_name"), *[nothing().alias(c) for c in ("description", "url", "image", "address")], nothing("double").alias("lat"), nothing("double").alias("lng"), nothing("timestamp_ntz").alias("end_at")]
+    source = F.col("event_id") % 5
+    records = recent.select(source.alias("source_id"), F.concat(F.lit("source-"), source.cast("string")).alias("source_key"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("source_event_id"), F.unix_micros(F.col("start_at").cast("timestamp")).alias("ordinal"), F.lit("new title").alias("title"), "start_at", *fields)
+    return stored, known, times, records
+
+
+@_query(f"""{ctes("sources")} SELECT id, key, row_number() OVER (ORDER BY CASE status WHEN 'failing' THEN 0 WHEN 'ok' THEN 2 ELSE 1 END, key) AS place FROM sources""")
+def source_report(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rank = F.when(F.col("status") == "failing", 0).when(F.col("status") == "ok", 2).otherwise(1)
+    rows = listing.source_report(table(spark, sf_dir, "sources"))  # a row a source
+    return rows.select("id", "key", F.row_number().over(Window.orderBy(rank, "key")).cast("long").alias("place"))
+
+
+@_query(f"""{ctes("venues")} SELECT id, concat('area ', id % 4) AS neighborhood FROM venues WHERE slug IS NOT NULL AND id % 2 = 0""")
+def curated_neighborhoods(spark, sf_dir):
+    places = table(spark, sf_dir, "venues")
+    curated = places.filter("slug IS NOT NULL AND id % 2 = 0").select("slug", F.concat(F.lit("area "), F.col("id") % 4).alias("neighborhood"))
+    return venues.curated_neighborhoods(places, curated)
+
+
 @_query(f"""{ctes("venues", "aliases")}, n AS (SELECT DISTINCT concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' stage' WHEN 1 THEN ' hall' ELSE ' attic' END) AS normalized_name FROM part),
     v AS (SELECT normalized_name, min(id) AS id FROM venues GROUP BY normalized_name), a AS (SELECT normalized_name, min(venue_id) AS venue_id FROM aliases GROUP BY normalized_name)
     SELECT n.normalized_name, CASE WHEN a.venue_id IS NOT NULL THEN CAST(a.venue_id AS STRING) WHEN v.id IS NOT NULL THEN CAST(v.id AS STRING) ELSE concat('venue-', substring(sha256(n.normalized_name), 1, 24)) END AS venue_id

@@ -16,7 +16,6 @@ from zoneinfo import ZoneInfo
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from almanac.functions.markup import Markup, plain_text, tree
 from almanac.functions.names import assumed_hour, clock24, occurrence_date, strip_html
@@ -134,11 +133,6 @@ def resolved(base: str, link: object) -> str | None:
         return None
 
 
-@F.pandas_udf(StringType())
-def _resolved(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([resolved(b or "", x) for b, x in zip(base, link)], dtype=object)
-
-
 def _parsed(pages: DataFrame, parse: Callable[[str, str], Iterator[dict]], shape: str = LISTING) -> DataFrame:
     """What ``parse`` gives for each page; one that it fails on gives a row of its url alone, which counts as skipped."""
     names = [x.split()[0] for x in shape.split(", ")]
