@@ -3,11 +3,12 @@
 Documents are tokenized once; only (doc_id, piece, start, length, checksum) rows go on. Pieces are dealt at random
 into groups of about GROUP_PIECES rows, and each group is packed on its own: best fit over pieces in falling length,
 then a local search between underfull bins. A move, a one-for-one or a two-for-one exchange is made only when it
-raises the sum of squared fills, so that light bins drain into others until they are empty. A group wastes at most
-about its last bin: of texts of 50 tokens, some 100 bins a group, that is up to half a per cent, of longer ones less.
+raises the sum of squared fills, so that light bins drain into others until they are empty. Rounds go on until one
+changes nothing. What a group cannot fill, the pieces of its bins below SPARSE of the capacity, is dealt anew with that
+of the other groups, and packed again; so what is wasted at the end is that of a few groups, not of all.
 
-The search is bounded, which loses no piece: ROUNDS rounds, in each of which the lightest eighth of the bins give
-pieces away, each to the PARTNERS emptiest others; pairs are sought among the PAIRED shortest pieces of a bin.
+In a round the lightest eighth of the bins give pieces away, each to the PARTNERS emptiest others; pairs are sought
+among the PAIRED shortest pieces of a bin. These bounds lose no piece.
 
 Edge cases: a null or empty text is the separator alone (one piece of length 1); texts longer than a sequence are
 cut into full pieces and a rest; repeated rows are packed each; an empty table gives an empty result.
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import materialize
+from almanac.llm.common import drop_tables, materialize
 from almanac.llm.units import UnitCache, folded_units
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
-ROUNDS, PARTNERS, PAIRED = 8, 64, 24
+PARTNERS, PAIRED = 64, 24
+#: Share of a sequence below which a bin of the first pass is dealt anew.
+SPARSE = 0.9
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,7 +103,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = ROUNDS, partners: int = PARTNERS) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, partners: int = PARTNERS) -> list[list[int]]:
     """Drain the lightest underfull bins into others by moves and exchanges that raise the squared fill.
 
     The emptiest bin in turn gives documents away: whole (move), against a smaller one (one for one), or two against
@@ -108,7 +111,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     open_bins = [b for b in range(len(bins)) if fill[b] < capacity]
-    for _ in range(rounds):
+    changed = True
+    while changed:  # every change raises the squared fill, so this ends
         changed = False
         open_bins.sort(key=lambda b: fill[b])
         for a in open_bins[: max(4, len(open_bins) // 8)]:
@@ -132,8 +136,6 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
                 if not fill[a]:
                     break
         open_bins = [b for b in open_bins if 0 < fill[b] < capacity]
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -178,29 +180,42 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
-def _pack(pieces: list[int], group: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece of a group."""
+def _pack(pieces: list[int], group: int, capacity: int, sparse: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece of a group; bins of less than ``sparse`` have the sequence -1."""
     sequence, offset = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
     for k, members in enumerate(pack_lengths(pieces, capacity)):
         at = 0
         for i in members:
-            sequence[i], offset[i] = k, at
+            sequence[i], offset[i] = k + (group << 31), at
             at += pieces[i]
-    return sequence + (group << 31), offset
+        if at < sparse:
+            sequence[members] = -1
+    return sequence, offset
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for each piece of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = materialize(tokenized_pieces(docs, path, capacity), "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "deal"), F.lit(groups)))
     order = [("length", "descending"), ("ids_crc32", "ascending"), ("piece", "ascending"), ("deal", "ascending")]
+    packed = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long, sequence_id long, offset long"
+
+    def passed(pieces: DataFrame, number: int, sparse: int) -> DataFrame:
+        groups = max(1, -(-pieces.count() // group_pieces))
+        dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "deal"), F.lit(groups)))
 
-    def pack(rows: pa.Table) -> pa.Table:  # Arrow, not pandas: ids keep their type beside nulls
-        rows = rows.sort_by(order)
-        sequence, offset = _pack(rows.column("length").to_pylist(), rows.column("group")[0].as_py(), capacity)
-        return rows.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        def pack(rows: pa.Table) -> pa.Table:  # Arrow, not pandas: ids keep their type beside nulls
+            rows = rows.sort_by(order)
+            group = 2 * rows.column("group")[0].as_py() + number
+            sequence, offset = _pack(rows.column("length").to_pylist(), group, capacity, sparse)
+            return rows.select([*packed, "deal"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("group").applyInArrow(pack, schema)
+        return dealt.groupBy("group").applyInArrow(pack, schema)
+
+    pieces = materialize(tokenized_pieces(docs, path, capacity), "pieces")
+    if pieces.count() <= group_pieces:
+        return passed(pieces, 0, 0).drop("deal")
+    first = materialize(passed(pieces, 0, int(SPARSE * capacity)), "packed")
+    drop_tables(pieces)
+    again = passed(first.filter("sequence_id < 0").select(*packed, "deal"), 1, 0)
+    return first.filter("sequence_id >= 0").unionByName(again).drop("deal")
