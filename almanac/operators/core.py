@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,7 +88,12 @@ def nearest_rank(rows: DataFrame, key: str, value: str, shares: dict[str, float]
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     cuts = F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts")
     bounds = counts.groupBy(key).agg(cuts, F.sum("_n").alias("_all"))
-    placed = counts.join(bounds.select(key, "_cuts"), key).select(key, value, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_part"))
+    # a value's range is found in two steps: among every ``step``-th cut, then among those up to the next
+    step = max(1, math.isqrt(parts))
+    below = lambda c: c < F.col(value)
+    placed = counts.join(bounds.select(key, "_cuts", F.filter("_cuts", lambda c, i: (i + 1) % step == 0).alias("_coarse")), key)
+    placed = placed.withColumn("_i", F.size(F.filter("_coarse", below)) * step)
+    placed = placed.select(key, value, "_n", (F.col("_i") + F.size(F.filter(F.slice("_cuts", F.col("_i") + 1, F.lit(step - 1)), below))).alias("_part"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     wanted = F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), F.greatest(F.ceil(F.lit(p) * F.col("_all")), F.lit(1)).alias("_at")) for name, p in shares.items()]))

@@ -58,12 +58,14 @@ def same_day_pairs(spark, sf_dir):
     return resolution.same_day_pairs(_t(spark, sf_dir, "events"), "event_id", "ts", ["user_id"], scoring.TIME_WINDOW_MINUTES).select("a", "b", "minutes")
 
 
-@_query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
-    WHERE NOT EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_partkey % 400 = y.l_partkey % 400 AND x.l_linenumber = 7 AND y.l_linenumber = 7 AND x.l_quantity > 40 AND y.l_quantity > 40 WHERE x.l_suppkey = a.s_suppkey AND y.l_suppkey = b.s_suppkey)""")
+@_query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey BETWEEN a.s_suppkey + 1 AND a.s_suppkey + 50
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey AND x.l_quantity = y.l_quantity AND x.l_linenumber = y.l_linenumber WHERE x.l_suppkey = a.s_suppkey AND y.l_suppkey = b.s_suppkey)""")
 def anti_shared_source(spark, sf_dir):
-    rows, links = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity > 40").select((F.col("l_partkey") % 400).alias("source"), "l_suppkey").distinct()
-    pairs = rows.select("s_nationkey", F.col("s_suppkey").alias("a")).join(rows.select("s_nationkey", F.col("s_suppkey").alias("b")), "s_nationkey").filter("a < b").select("a", "b")
-    return resolution.without_shared_source(pairs, links, "l_suppkey", "source")
+    """Suppliers of one nation with near keys, by a band join, that no kind of line has both of."""
+    rows = _t(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 50).alias("own"))
+    early = rows.select("s_nationkey", F.col("k").alias("a"), F.explode(F.array("own", F.col("own") + 1)).alias("own"))
+    pairs = early.join(rows.withColumnRenamed("k", "b"), ["s_nationkey", "own"]).filter("b > a AND b <= a + 50").select("a", "b")
+    return resolution.without_shared_source(pairs, _t(spark, sf_dir, "lineitem").select("l_suppkey", F.concat_ws("|", "l_partkey", "l_quantity", "l_linenumber").alias("source")), "l_suppkey", "source")
 
 
 @_query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey),

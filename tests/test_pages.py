@@ -182,3 +182,34 @@ def test_chains_of_any_length(spark):
     circle = spark.createDataFrame([(1, 2, 0), (2, 3, 1), (3, 1, 2)], "survivor long, absorbed long, step long")
     with pytest.raises(ValueError):
         merging.merge_paths(circle, locks)
+
+
+def test_the_box_reaches_the_scan(spark, tmp_path):
+    shape = "id string, names struct<primary:string>, categories struct<primary:string>, addresses array<struct<freeform:string,locality:string>>, bbox struct<xmin:double,xmax:double,ymin:double,ymax:double>, confidence double"
+    rows = [(str(k), (f"n{k}",), ("c",), [("1 st", "t")], (float(k), float(k), 1.0, 1.0), 0.9) for k in range(100)]
+    spark.createDataFrame(rows, shape).repartitionByRange(10, "bbox.xmin").write.parquet(str(tmp_path / "p"))
+    found = feeds.registry_slice(spark.read.parquet(str(tmp_path / "p")), 20.5, 29.5, 0.0, 2.0)
+    assert sorted(x.id for x in found.collect()) == [str(k) for k in range(21, 30)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = feeds.registry_slice(spark.read.parquet(str(tmp_path / "p")), 20.5, 29.5, 0.0, 2.0)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(bbox.xmin,20.5)" in plan and "LessThan(bbox.xmax,29.5)" in plan  # files and row groups are left out by their statistics
+
+
+def test_schedule_windows():
+    from datetime import timezone
+
+    from almanac.functions import windows
+
+    assert windows.schedule(datetime(2026, 7, 9, 3, tzinfo=timezone.utc), 14) == ("2026-07-08", "2026-07-22")
+
+
+def test_moved_starts_are_gone(spark, tmp_path):
+    rows = [(1, "e", "x", "2026-01-01", 1), (1, "e", "x", "2026-01-02", 2), (1, "e", "x", "2026-01-02", 2), (2, "f", "y", "2026-01-03", 1)]
+    shape = "source_id long, source_event_id string, event_id string, start_at string, seen_at long"
+    for k, part in enumerate((rows[:1], rows[1:])):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.superseded_upserts(read, str(tmp_path / "t"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = streams.current(spark.read.parquet(str(tmp_path / "t")))
+    assert sorted((x.source_event_id, x.start_at) for x in got.collect()) == [("e", "2026-01-02"), ("f", "2026-01-03")]
