@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from almanac.llm.common import drop_tables, materialize
+
 BLOCK = 64
 #: Blocks of a unit of 16 x 16 pixels: four of luma, one of each chroma.
 UNIT_BLOCKS = 6
@@ -483,8 +485,10 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (-len(raw) % BLOCK or BLOCK * (not raw))
 
 
-def _mapped(df: DataFrame, value: str, schema: str, row) -> DataFrame:
+def _mapped(df: DataFrame, value: str, schema: str, row, *kept: str) -> DataFrame:
+    """doc_id, the columns ``kept``, of numbers, and what ``row`` gives for each ``value``."""
     kind = df.schema["doc_id"].dataType.simpleString()
+    along = "".join(f"{c} long, " for c in kept)
 
     def run(batches):
         for batch in batches:
@@ -493,9 +497,10 @@ def _mapped(df: DataFrame, value: str, schema: str, row) -> DataFrame:
                 made = list(zip(*map(row, part.column(1).to_pylist())))
                 fields = [x.split() for x in schema.split(", ")]
                 kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, kinds[k]) for x, (_, k) in zip(made, fields))], names=["doc_id", *(n for n, _ in fields)])
+                arrays = [part.column(0), *(part.column(c) for c in kept), *(pa.array(x, kinds[k]) for x, (_, k) in zip(made, fields))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *kept, *(n for n, _ in fields)])
 
-    return df.select("doc_id", value).mapInArrow(run, f"doc_id {kind}, {schema}")
+    return df.select("doc_id", value, *kept).mapInArrow(run, f"doc_id {kind}, {along}{schema}")
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -520,14 +525,24 @@ def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
     return _mapped(media, column, "height int, width int, tensor binary", row)
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Store each text as media, read it back, and give digests of both with a feature of the tensor."""
+def stored_digests(media: DataFrame) -> DataFrame:
+    """Digests of the payload and the stored form, and a feature of the tensor, of each row of ``encode_media``."""
 
-    def row(text):
-        n, payload = padded(text)
-        media = encode_bytes(payload)
-        image = Decoder(media)
+    def row(data):
+        image = Decoder(data)
         back = image.payload()
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(image.rgb())
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(image.rgb())
 
-    return _mapped(docs, "text", "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", row)
+    return _mapped(media, "media", "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", row, "n_bytes")
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Store each text as media in a table, read the table back, and give digests of both with a feature of the tensor.
+
+    Media of text take about twice its bytes and compress well, so the table is written with zstandard. It is dropped
+    once the digests are written; who wants to keep it writes ``encode_media``.
+    """
+    stored = materialize(encode_media(docs), "media", "zstd")
+    found = materialize(stored_digests(stored), "media-digests")
+    drop_tables(stored)
+    return found
