@@ -17,7 +17,6 @@ cut into full pieces and a rest; repeated rows are packed each; an empty table g
 from __future__ import annotations
 
 import functools
-import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -33,19 +32,42 @@ from almanac.llm.units import UnitCache, folded_units
 CAPACITY = 2048
 GROUP_PIECES = 4096
 PARTNERS, PAIRED = 64, 24
+#: Units that are encoded as one text.
+JOINED_UNITS = 256
 #: Share of a sequence below which a bin of the first pass is dealt anew.
 SPARSE = 0.9
 
 
 @functools.lru_cache(maxsize=2)
 def _word_ids(path: str) -> UnitCache:
-    """Unit -> its ids as little-endian unsigned 32-bit bytes."""
+    """Unit -> its ids as little-endian unsigned 32-bit bytes.
+
+    Units are encoded many in one text, a bar between spaces after each: the tokenizer drops white space, and a bar that
+    stands alone is one id, which units without a bar never give. Where that does not hold, each is encoded by itself.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return UnitCache(lambda units: [struct.pack(f"<{len(x)}I", *x.ids) for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+    ids_of = lambda texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    (bar,) = ids_of(["|"])
+
+    def encode(units: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
+        plain = [u for u in units if "|" not in u] if len(bar) == 1 else []
+        for lo in range(0, len(plain), JOINED_UNITS):
+            part = plain[lo : lo + JOINED_UNITS]
+            (ids,) = ids_of([" | ".join(part)])
+            cuts = np.flatnonzero(ids == bar[0]) * 4
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                found.update((u, raw[x:y]) for u, x, y in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
+        rest = [u for u in units if u not in found]
+        found.update(zip(rest, (x.tobytes() for x in ids_of(rest))) if rest else ())
+        return [found[u] for u in units]
+
+    return UnitCache(encode)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
