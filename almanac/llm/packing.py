@@ -17,6 +17,8 @@ cut into full pieces and a rest; repeated rows are packed each; an empty table g
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -32,39 +34,66 @@ from almanac.llm.units import UnitCache, folded_units
 CAPACITY = 2048
 GROUP_PIECES = 4096
 PARTNERS, PAIRED = 64, 24
+# The words of the word-end tokenizer's splitter, and letters that are lower case and composed.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 #: Units that are encoded as one text.
 JOINED_UNITS = 256
 #: Share of a sequence below which a bin of the first pass is dealt anew.
 SPARSE = 0.9
 
 
+def _tokenizer(spec: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_str(spec)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def _word_model(spec: dict) -> dict | None:
+    """``spec`` without what leaves lower-case words of PLAIN letters as they are; None where it has other parts."""
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and not before[1]["use_regex"] and not before[1]["add_prefix_space"]
+    if not (known and spec["model"]["type"] == "BPE" and before[0]["pattern"] == {"Regex": SPLIT} and before[0]["behavior"] == "Removed" and before[0]["invert"]):
+        return None
+    return spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, before[1]]}}
+
+
 @functools.lru_cache(maxsize=2)
 def _word_ids(path: str) -> UnitCache:
     """Unit -> its ids as little-endian unsigned 32-bit bytes.
 
     Units are encoded many in one text, a bar between spaces after each: the tokenizer drops white space, and a bar that
-    stands alone is one id, which units without a bar never give. Where that does not hold, each is encoded by itself.
+    stands alone is one id, which units without a bar never give. Words of plain letters, most units, go through the
+    tokenizer's model alone. Where any of this does not hold, units are encoded as they are, each by itself.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    ids_of = lambda texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    (bar,) = ids_of(["|"])
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    whole = _tokenizer(json.dumps(spec))
+    model = _word_model(spec)
+    short = _tokenizer(json.dumps(model)) if model else whole
+    ids_of = lambda tokenizer, texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    (bar,) = ids_of(whole, ["|"])
+    joins = len(bar) == 1 and ids_of(short, ["|"])[0].tolist() == bar.tolist()
 
     def encode(units: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        plain = [u for u in units if "|" not in u] if len(bar) == 1 else []
-        for lo in range(0, len(plain), JOINED_UNITS):
-            part = plain[lo : lo + JOINED_UNITS]
-            (ids,) = ids_of([" | ".join(part)])
-            cuts = np.flatnonzero(ids == bar[0]) * 4
-            if len(cuts) == len(part) - 1:
-                raw = ids.tobytes()
-                found.update((u, raw[x:y]) for u, x, y in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
-        rest = [u for u in units if u not in found]
-        found.update(zip(rest, (x.tobytes() for x in ids_of(rest))) if rest else ())
+        plain = [u for u in units if PLAIN.fullmatch(u) and u.islower()] if joins and model else []
+        words = set(plain)
+        rest = [u for u in units if u not in words and "|" not in u] if joins else []
+        for tokenizer, some in ((short, plain), (whole, rest)):
+            for lo in range(0, len(some), JOINED_UNITS):
+                part = some[lo : lo + JOINED_UNITS]
+                (ids,) = ids_of(tokenizer, [" | ".join(part)])
+                cuts = np.flatnonzero(ids == bar[0]) * 4
+                if len(cuts) == len(part) - 1:
+                    raw = ids.tobytes()
+                    found.update((u, raw[x:y]) for u, x, y in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
+        left = [u for u in units if u not in found]
+        found.update(zip(left, (x.tobytes() for x in ids_of(whole, left))) if left else ())
         return [found[u] for u in units]
 
     return UnitCache(encode)

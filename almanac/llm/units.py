@@ -75,13 +75,14 @@ class UnitCache:
             self.old, self.young = self.young, {}
         get = self.young.get
         out = [list(map(get, units)) for units in texts]
-        gaps = [i for i, x in enumerate(out) if None in x]
+        gaps = [(row, units, [k for k, x in enumerate(row) if x is None]) for row, units in zip(out, texts) if None in row]
         if gaps:
-            missing = {u for i in gaps for u, x in zip(texts[i], out[i]) if x is None}
-            found = {u: self.old[u] for u in missing if u in self.old}
-            new = list(missing - found.keys()) if found else list(missing)
-            fresh = dict(zip(new, self.encode(new))) | found if new else found
-            for i in gaps:
-                out[i] = [fresh[u] if x is None else x for u, x in zip(texts[i], out[i])]
+            missing = {units[k] for _, units, places in gaps for k in places}
+            fresh = {u: self.old[u] for u in missing if u in self.old}
+            new = [u for u in missing if u not in fresh]
+            fresh.update(zip(new, self.encode(new)) if new else ())
+            for row, units, places in gaps:
+                for k in places:
+                    row[k] = fresh[units[k]]
             self.young.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
         return out
