@@ -7,7 +7,7 @@ week_of, sort_order, event_id, curator, blurb). ``as_of`` is the instant that co
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields
 from datetime import datetime
 from functools import reduce
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import scoring, timefn, windows
+from almanac.functions.bounded import or_none
 from almanac.functions.names import normalize_name
 from almanac.functions.understanding import parse_text
 from almanac.operators.index import SearchIndex
@@ -27,6 +28,8 @@ from almanac.operators.search import search
 MODULE, WEEKEND, LISTING, RELATED, VENUE_ROWS, REPORT, OVERFETCH, HIGHLIGHTS = 6, 8, 100, 3, 60, 50, 200, 5
 SITEMAP_READ, SITEMAP_ROWS = 15_000, 5_000
 LOW_ADAPTERS = ("html", "firecrawl")
+#: Seconds that a search waits for the vector of its text.
+EMBED_WAIT = 0.15
 
 
 # Filters
@@ -180,13 +183,16 @@ def base_rows(events: DataFrame, instances: DataFrame, venues: DataFrame, asked:
     return events.filter(both(of)).join(next_start, "id").join(where, "venue_id", "left").filter(both(place))
 
 
-def search_listings(events: DataFrame, instances: DataFrame, venues: DataFrame, request: Request, now: datetime, vector: Sequence[float] | None = None, limit: int = 50, stemmed: bool = True, index: SearchIndex | None = None) -> DataFrame:
+def search_listings(events: DataFrame, instances: DataFrame, venues: DataFrame, request: Request, now: datetime, vector: Sequence[float] | None = None, limit: int = 50, stemmed: bool = True, index: SearchIndex | None = None, embed: Callable[[str], Sequence[float]] | None = None, wait: float = EMBED_WAIT) -> DataFrame:
     """(id, score, next_start) of the listings that a request finds at the aware instant ``now``, best first.
 
-    ``vector`` is what the caller's model made of the text; without it, words alone rank. An ``index`` of
-    ``search_texts`` spares reading the texts.
+    ``vector`` is what the caller's model made of the text, or ``embed`` makes it of what is left of the text once dates
+    are understood. Without it, or when ``embed`` fails or takes more than ``wait`` seconds, words alone rank. An
+    ``index`` of ``search_texts`` spares reading the texts.
     """
     asked = request.resolve(now)
+    if vector is None and embed is not None and asked.text.strip():
+        vector = or_none(lambda: embed(asked.text), wait)
     base = base_rows(events, instances, venues, asked, now.replace(tzinfo=None))
     rows = base.select("id", "title", _tags().alias("tags"), "description", "venue", "next_start", *(["embedding"] if "embedding" in base.columns else []))
     return search(rows, "id", asked.text, list(vector) if vector is not None else None, None, limit, stemmed, index)
@@ -359,6 +365,18 @@ def home(tables: dict[str, DataFrame], as_of: datetime, tiles: Sequence[str] = (
     return {name: make() for name, make in made.items() if name != "picks" or "picks" in tables}
 
 
+def home_rows(tables: dict[str, DataFrame], as_of: datetime, tiles: Sequence[str] = ()) -> tuple[dict[str, list], dict[str, str]]:
+    """The rows of the modules of ``home``, a few each, and the errors of those that could not be read, which are empty."""
+    rows: dict[str, list] = {}
+    errors: dict[str, str] = {}
+    for name, module in home(tables, as_of, tiles).items():
+        try:
+            rows[name] = module.collect()
+        except Exception as problem:  # noqa: BLE001  the other modules are shown
+            rows[name], errors[name] = [], str(problem).split("\n")[0]
+    return rows, errors
+
+
 def digest(tables: dict[str, DataFrame], as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """The week's picks, and highlights of its weekend."""
     modules = home(tables, as_of)

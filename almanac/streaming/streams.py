@@ -106,8 +106,8 @@ def latest(spark, path: str, keys: Sequence[str], newest: str) -> DataFrame:
     return first_per_key(rows, keys, [F.desc(newest), F.desc("batch")]).drop("place", "batch")
 
 
-def compact(spark, path: str, keys: Sequence[str], newest: str, upto: int) -> None:
-    """Fold the batches up to ``upto``, none of which is still written, into one folder.
+def _folded(spark, path: str, upto: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Put ``fold`` of the batches up to ``upto``, none of which is still written, in place of them.
 
     The fold is written beside the table, renamed into it under a negative number that no folder has, by which later
     batches win ties, and only then are the folders that it was made of deleted. Cut short at any point, the table reads
@@ -119,15 +119,24 @@ def compact(spark, path: str, keys: Sequence[str], newest: str, upto: int) -> No
     old = {n: at for n, at in held.items() if n <= upto}
     if len(old) < 2 and all(n < 0 for n in old):
         return
-    rows = spark.read.parquet(path).filter(F.col("batch").isin(list(old)))
     beside, target = f"{path.rstrip('/')}-fold-{uuid.uuid4().hex}", hadoop.Path(f"{path}/batch={min(*held, 0) - 1}")
-    first_per_key(rows, keys, [F.desc(newest), F.desc("batch")]).drop("place", "batch").write.parquet(beside)
+    fold(spark.read.parquet(path).filter(F.col("batch").isin(list(old)))).drop("batch").write.parquet(beside)
     if files.exists(target) or not files.rename(hadoop.Path(beside), target):
         raise RuntimeError(f"{target} was made by another fold; this one is in {beside}")
     for at in old.values():
         files.delete(at, True)
 
 
+def compact(spark, path: str, keys: Sequence[str], newest: str, upto: int) -> None:
+    """Fold the batches of ``upsert_into`` up to ``upto`` into one folder; ``latest`` reads the same before and after."""
+    _folded(spark, path, upto, lambda rows: first_per_key(rows, keys, [F.desc(newest), F.desc("batch")]).drop("place"))
+
+
+def compact_current(spark, path: str, upto: int) -> None:
+    """Fold the batches of ``superseded_upserts`` up to ``upto`` into one folder; ``current`` reads the same before and after."""
+    _folded(spark, path, upto, lambda rows: current(rows).dropDuplicates(["source_id", "source_event_id", "start_at"]))
+
+
 def superseded_upserts(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Instances (source_id, source_event_id, event_id, start_at, seen_at) under ``path/batch=N``, late ones too; ``current`` reads those that hold."""
 

@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import core, plug, resolution
+from almanac.functions.bounded import or_none
+from almanac.operators import core, listing, plug, resolution
 from almanac.sources import frontier
 from almanac.streaming import streams
 
@@ -101,9 +102,9 @@ def test_calls_are_bounded(spark):
     assert got == {0: (2, None), 1: (2, None), 2: (None, "TimeoutError: no answer within 1.0 s"), 3: (None, "ValueError: no"), 4: (2, None)}
     over = plug.answers(rows, ask, "id long, n long", 6, batch=2, budget=-1).collect()
     assert len(over) == 6 and all(x.error == "TimeoutError: the run's time was over" for x in over)
-    assert plug.or_none(lambda: [1.0], 0.15) == [1.0]
-    assert plug.or_none(lambda: time.sleep(3), 0.15) is None
-    assert plug.or_none(lambda: 1 / 0, 0.15) is None
+    assert or_none(lambda: [1.0], 0.15) == [1.0]
+    assert or_none(lambda: time.sleep(3), 0.15) is None
+    assert or_none(lambda: 1 / 0, 0.15) is None
 
 
 def test_exact_counts_in_a_stream(spark, tmp_path):
@@ -137,3 +138,34 @@ def test_exact_counts_in_a_stream(spark, tmp_path):
     state = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "times").load()
     held = [x[0] for x in state.select("key.key").distinct().collect()]
     assert "a" not in held and "b" not in held and "once" not in held and "late" in held
+
+
+def test_a_search_does_not_wait_for_its_model(spark):
+    from datetime import timezone
+
+    rows = [(k, f"jazz night {k}", [1.0, 0.0] if k == 3 else [0.0, 1.0]) for k in range(5)]
+    base = spark.createDataFrame(rows, "id long, title string, embedding array<double>")
+    empty = F.array().cast("array<string>")
+    events = base.withColumns({"category": F.lit("music"), "vibe_tags": empty, "audience_tags": empty, "description": F.lit(None).cast("string"), "venue_id": F.lit(1), "is_free": F.lit(True), "price_min": F.lit(None).cast("double")})
+    instances = base.select(F.col("id").alias("event_id"), F.lit(datetime(2026, 7, 10)).cast("timestamp_ntz").alias("start_at"), F.lit("scheduled").alias("status"))
+    venues = spark.createDataFrame([(1, "hall", "hall", "east")], "id int, slug string, normalized_name string, neighborhood string")
+    now, asked = datetime(2026, 7, 8, tzinfo=timezone.utc), []
+    find = lambda embed, q="jazz tonight jazz": [x.id for x in listing.search_listings(events, instances, venues, listing.Request(q=q), now, embed=embed).collect()]
+    words = find(None, "jazz")
+    assert find(lambda text: asked.append(text) or [1.0, 0.0], "jazz")[0] == 3 and asked == ["jazz"]
+    assert find(lambda text: time.sleep(2), "jazz") == words == find(lambda text: 1 / 0, "jazz")
+    find(lambda text: asked.append(text), "")
+    assert asked == ["jazz"]
+
+
+def test_a_module_that_fails_leaves_the_others(spark):
+    from datetime import timezone
+
+    from almanac.plans import model
+
+    tables = {n: model.table(spark, "/root/testdata/sf0.001", n) for n in ("events", "instances", "venues")}
+    rows, errors = listing.home_rows(tables, model.NOW.astimezone(timezone.utc))
+    assert not errors and set(rows) == {"tonight", "weekend", "station", "hoods"} and rows["weekend"]
+    tables["venues"] = tables["venues"].withColumn("neighborhood", F.raise_error(F.lit("lost")).cast("string"))
+    rows, errors = listing.home_rows(tables, model.NOW.astimezone(timezone.utc))
+    assert "hoods" in errors and rows["hoods"] == [] and set(rows) == {"tonight", "weekend", "station", "hoods"}
