@@ -337,3 +337,12 @@ def test_stages_on_odd_tables(spark, tmp_path, stage):
     odd = spark.createDataFrame([(None,) * 9, (1, _sentence(random.Random(1), 80), None, None, None, "n", "l", "k", "c")], shape)
     found = stage(spark, odd, str(tmp_path))
     assert found.columns == odd.columns and 1 in [x.doc_id for x in found.collect()]
+
+
+def test_the_last_stage_on_odd_tables(spark, tmp_path):
+    shape = "doc_id long, text string, lang string, piece string, group string, deal string, length string, sequence_id string"
+    none = spark.createDataFrame([], shape)
+    assert corpus_pipeline.packing_stage(spark, none, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(None,) * 8, (1, "a b", "n", "l", "k", "c", "x", "y"), (1, "", None, None, None, None, None, None)], shape)
+    found = corpus_pipeline.packing_stage(spark, odd, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.length) for x in found) == Counter([(1, 3), (1, 1), (None, 1)])
