@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from almanac.llm import ngram_join, packing, quality_classifier, quality_rules
-from almanac.llm.common import shared_dir, table
+from almanac.llm.common import drop_tables, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -66,10 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again.
+
+    A written result is deleted once the next stage's is there; the last stage writes what it reads of its predecessor.
+    """
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/almanac-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if held is not None:
+            drop_tables(held)
+        docs = held = spark.read.parquet(path)
+    found = STAGES[-1][1](spark, docs, sf_dir)
+    drop_tables(held)
+    return found
