@@ -364,8 +364,14 @@ class Decoder:
     def _ac_first(self, p: _Part, t: int, rows, raw: bytes, ss: int, se: int, low: int) -> None:
         table, band = self.tables[True, t & 15], se - ss + 1
         if table.even and len(raw) % 2 == 0:
-            words = np.frombuffer(raw, ">u2")
+            words = np.frombuffer(raw, ">u2").astype(np.uint16)
             symbol = table.symbol[words]
+            if symbol.size == len(rows) * band and symbol.size and 0 < symbol[0] < 16 and (symbol == symbol[0]).all():
+                top = (1 << int(symbol[0])) - 1  # every coefficient is there, and all have as many bits
+                v = (words & np.uint16(top)).astype(np.int32)
+                v = np.where(v <= top >> 1, v - top, v) << low
+                p.blocks[rows, ss : se + 1] = v.reshape(len(rows), band)
+                return
             s = symbol & 15
             if s.size and s.min() > 0:  # neither ends of blocks nor long runs of zeros
                 place = np.cumsum((symbol >> 4).astype(np.int64) + 1) - 1
@@ -439,10 +445,14 @@ class Decoder:
         """Each component at full resolution, uint8."""
         out = []
         for p in self.parts.values():
-            values = p.blocks * self.quant[p.q]
+            quant = self.quant[p.q]
+            values = p.blocks if (quant == 1).all() else p.blocks * quant
             kind = np.float32 if np.abs(values).max(initial=0) < 512 else np.float64  # sums stay exact
             flat = values.astype(kind) @ _basis().astype(kind)
-            pixels = (((flat.astype(np.int32) + (1 << (_SHIFT - 1))) >> _SHIFT) + 128).clip(0, 255).astype(np.uint8)
+            pixels = flat.astype(np.int32)
+            pixels += (1 << (_SHIFT - 1)) + (128 << _SHIFT)  # rounded, about 128
+            pixels >>= _SHIFT
+            pixels = np.clip(pixels, 0, 255, out=pixels).astype(np.uint8)
             plane = pixels.reshape(-1, p.stride, 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8 * p.stride)
             plane = plane.repeat(self.v // p.v, 0).repeat(self.h // p.h, 1) if (self.v, self.h) != (p.v, p.h) else plane
             out.append(plane[: self.height, : self.width])
