@@ -43,9 +43,9 @@ def postings(rows: DataFrame, key: str, stemmed: bool = False) -> DataFrame:
 
     ``hits`` are the places and weights of a word; ``n`` is how many trigrams the text of a gram has.
     """
-    found = F.col("lexemes") if "lexemes" in rows.columns else search.lexemes({k: F.col(k) for k in search.WEIGHTS}, stemmed)
-    words = rows.select(key, F.explode(found).alias("x")).groupBy(key, F.col("x.w").alias("term"))
-    words = words.agg(F.array_sort(F.collect_list(F.struct(F.col("x.p").cast("int").alias("p"), F.col("x.v").cast("double").alias("v")))).alias("hits"))  # of one row
+    words = rows.select(key, F.explode("lexemes").alias("x")).select(key, "x.*") if "lexemes" in rows.columns else search.exploded(rows, key, stemmed)
+    hit = F.struct(F.col("p").cast("int").alias("p"), F.col("v").cast("double").alias("v"))
+    words = words.groupBy(key, F.col("w").alias("term")).agg(F.sort_array(F.collect_list(hit)).alias("hits"))  # of one row
     parts = [words.select(F.lit(WORD).alias("kind"), "term", key, F.col("hits").cast(_HIT).alias("hits"), F.lit(0).alias("n"))]
     for kind, column in ((TITLE, "title"), (VENUE, "venue")):
         grams = rows.select(key, trigrams(F.coalesce(column, F.lit(""))).alias("g"))
@@ -77,8 +77,10 @@ class SearchIndex:
     def _write(self, number: int, rows: DataFrame, keys: DataFrame) -> None:
         ranges = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         order = ["bucket", "kind", "term", self.key]
-        dealt = rows.withColumn("bucket", bucket(F.col("kind"), F.col("term"))).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        made = cut(rows.withColumn("bucket", bucket(F.col("kind"), F.col("term"))))  # read twice, for ranges and for rows
+        dealt = made.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
+        drop(made)
         keys.write.mode("overwrite").parquet(f"{self.path}/keys/segment={number}")
 
     def refresh(self, rows: DataFrame, fingerprint: Column) -> dict[str, int]:

@@ -47,8 +47,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _placed(columns: dict[str, Column], keep: Callable[[Column], Column], stemmed: bool) -> Column:
-    """Structs (w, p, v) of the words that ``keep`` accepts; places go on from column to column."""
+def _placed(columns: dict[str, Column], keep: Callable[[Column], Column], stemmed: bool, raw: bool = False) -> Column:
+    """Structs (w, p, v), and ``raw`` words if asked for, of the words that ``keep`` accepts; places go on from column to column."""
 
     def of(text: Column) -> Column:
         def own(found: Column) -> Column:
@@ -66,15 +66,16 @@ def _placed(columns: dict[str, Column], keep: Callable[[Column], Column], stemme
     def joined(fields: Column) -> Column:
         parts, shift = [], F.lit(0)
         for name in names:
-            parts.append(_shifted(fields[name]["k"], shift, WEIGHTS[name]))
+            parts.append(_shifted(fields[name]["k"], shift, WEIGHTS[name], raw))
             shift = shift + fields[name]["n"]
         return F.concat(*parts)
 
     return _let(F.struct(*[of(columns[k]).alias(k) for k in names]), joined)
 
 
-def _shifted(found: Column, shift: Column, weight: float) -> Column:
-    return F.transform(found, lambda x: F.struct(x["w"].alias("w"), (x["p"] + shift).alias("p"), F.lit(weight).alias("v")))
+def _shifted(found: Column, shift: Column, weight: float, raw: bool) -> Column:
+    more = lambda x: [x["raw"].alias("raw")] if raw else []
+    return F.transform(found, lambda x: F.struct(x["w"].alias("w"), (x["p"] + shift).alias("p"), F.lit(weight).alias("v"), *more(x)))
 
 
 def lexemes(columns: dict[str, Column], stemmed: bool = False) -> Column:
@@ -83,6 +84,12 @@ def lexemes(columns: dict[str, Column], stemmed: bool = False) -> Column:
     return _placed(columns, lambda x: ~F.array_contains(stop, x["raw"]), stemmed)
 
 
+def exploded(rows: DataFrame, key: str, stemmed: bool = False) -> DataFrame:
+    """(key, w, p, v): the ``lexemes`` of ``rows`` as rows; stop words are left out by one lookup a word, not by a walk."""
+    found = _placed({k: F.col(k) for k in WEIGHTS}, lambda x: F.lit(True), stemmed, raw=True)
+    return rows.select(key, F.explode(found).alias("x")).filter(~F.col("x.raw").isin(*STOP_WORDS)).select(key, "x.w", "x.p", "x.v")
+
+
 def parse(query: str, stemmed: bool = False) -> Query:
     """Alternatives of (wanted, words in a row with their places): quotes bind a phrase, ``or`` parts alternatives, ``-``
     denies; stop words are left out."""
