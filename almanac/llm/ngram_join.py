@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import drop_tables, materialize
+from almanac.llm.common import SLICE_ROWS, TEXT_BATCH_BYTES, by_slices, drop_tables, materialize
 from almanac.llm.components import connected_components
 from almanac.llm.packed import chunk_plan, range_edges, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from almanac.llm.words import word_hashes
@@ -58,8 +58,6 @@ RANGE_SHINGLES = 1 << 21
 SHINGLE_BYTES = 6
 #: Shingles of a range that are sorted together.
 SLICE_SHINGLES = 1 << 18
-#: Texts taken out of an Arrow batch together.
-TEXT_ROWS = 256
 #: Keys of texts up to this size are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -140,7 +138,7 @@ def _sender(chunk_shingles: int, ranges: int, kind):
     def send(batches):
         task, count, size, ids, sets, texts = TaskContext.get().partitionId(), 0, 0, [], [], []
         for batch in batches:
-            rows = (row for lo in range(0, batch.num_rows, TEXT_ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(lo, TEXT_ROWS).columns)))
+            rows = (row for lo in range(0, batch.num_rows, SLICE_ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns)))
             for key, text, name in rows:
                 found = shingles(text)
                 if ids and (size + len(found) > chunk_shingles or len(ids) == chunk_docs):
@@ -240,7 +238,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
     sent = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_sender(chunk, ranges, to_arrow_type(kind)), shape)
     known = sent.groupBy("dest").applyInArrow(_answers, shape)
     found = known.groupBy("chunk").applyInArrow(_prefixes, f"doc_id {kind.simpleString()}, t long, n long, s long, l int, at long, prefix array<long>")
-    return materialize(found, "profiles")
+    return materialize(found, "profiles", batch_bytes=TEXT_BATCH_BYTES)
 
 
 # Candidates and their verification
@@ -267,13 +265,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     here = docs["doc_id"].eqNullSafe(ids["key"]) & (F.xxhash64(docs["text"]) == ids["name"])
     texts = docs.join(ids, here, "left_semi").select("text")
 
-    def make(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, TEXT_ROWS):
-                sets = [x for x in map(shingles, batch.column(0).slice(lo, TEXT_ROWS).to_pylist()) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "members"])
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [x for x in map(shingles, part.column(0).to_pylist()) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "members"])
 
-    sets = materialize(texts.mapInArrow(make, "s long, members binary").dropDuplicates(["s"]), "sets")
+    sets = texts.mapInArrow(lambda batches: by_slices(batches, make), "s long, members binary").dropDuplicates(["s"])
+    sets = materialize(sets, "sets", batch_bytes=TEXT_BATCH_BYTES)
     loaded = pairs.join(sets.select(F.col("s").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("s").alias("a"), F.col("members").alias("left")), "a")
 
     def check(batches):
@@ -282,7 +279,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             good = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = materialize(loaded.select("a", "b", "left", "right").mapInArrow(check, "a long, b long"), "links")
+    links = materialize(loaded.select("a", "b", "left", "right").mapInArrow(check, "a long, b long"), "links", batch_bytes=TEXT_BATCH_BYTES)
     drop_tables(pairs, wanted, sets)
     return links
 

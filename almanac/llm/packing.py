@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import drop_tables, materialize
+from almanac.llm.common import TEXT_BATCH_BYTES, by_slices, drop_tables, materialize
 from almanac.llm.units import UnitCache, folded_units
 
 CAPACITY = 2048
@@ -78,10 +78,11 @@ def _word_ids(path: str) -> UnitCache:
     ids_of = lambda tokenizer, texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     (bar,) = ids_of(whole, ["|"])
     joins = len(bar) == 1 and ids_of(short, ["|"])[0].tolist() == bar.tolist()
+    by_words = joins and model is not None  # encode keeps the tokenizers, not what they were made of
 
     def encode(units: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        plain = [u for u in units if PLAIN.fullmatch(u) and u.islower()] if joins and model else []
+        plain = [u for u in units if PLAIN.fullmatch(u) and u.islower()] if by_words else []
         words = set(plain)
         rest = [u for u in units if u not in words and "|" not in u] if joins else []
         for tokenizer, some in ((short, plain), (whole, rest)):
@@ -107,24 +108,26 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separ
         ids = _word_ids(path)
         end, step = np.array([separator], "<u4").tobytes(), 4 * capacity
         row = 0
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                found = ids.lookup([folded_units(x or "") for x in texts[lo : lo + 256]])
-                owner, piece, length, crc = [], [], [], []
-                for i, parts in enumerate(found, lo):
-                    data = memoryview(b"".join(parts) + end)
-                    for k, at in enumerate(range(0, len(data), step)):
-                        part = data[at : at + step]
-                        owner.append(i)
-                        piece.append(k)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                start = np.array(piece, np.int64) * capacity
-                deal = np.arange(row, row + len(piece), dtype=np.int64)
-                row += len(piece)
-                arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+
+        def pieces(texts: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal row
+            found = ids.lookup([folded_units(x or "") for x in texts.column(1).to_pylist()])
+            owner, piece, length, crc = [], [], [], []
+            for i, parts in enumerate(found):
+                data = memoryview(b"".join(parts) + end)
+                for k, at in enumerate(range(0, len(data), step)):
+                    part = data[at : at + step]
+                    owner.append(i)
+                    piece.append(k)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            start = np.array(piece, np.int64) * capacity
+            deal = np.arange(row, row + len(piece), dtype=np.int64)
+            row += len(piece)
+            arrays = [texts.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal)]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+
+        yield from by_slices(batches, pieces)
         ids.old = {}  # the worker goes on to other work
 
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, deal long"
@@ -263,7 +266,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group_p
 
         return dealt.groupBy("group").applyInArrow(pack, schema)
 
-    pieces = materialize(tokenized_pieces(docs, path, capacity), "pieces")
+    pieces = materialize(tokenized_pieces(docs, path, capacity), "pieces", batch_bytes=TEXT_BATCH_BYTES)
     if pieces.count() <= group_pieces:
         return passed(pieces, 0, 0).drop("deal")
     first = materialize(passed(pieces, 0, int(SPARSE * capacity)), "packed")

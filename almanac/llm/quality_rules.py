@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import drop_tables, materialize
+from almanac.llm.common import TEXT_BATCH_BYTES, by_slices, drop_tables, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -96,15 +96,12 @@ def count_documents(docs: DataFrame) -> DataFrame:
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                columns = zip(*map(text_counts, part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "stratum", *COUNTS])
+    def count(part: pa.RecordBatch) -> pa.RecordBatch:
+        columns = zip(*map(text_counts, part.column(2).to_pylist()))
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "stratum", *COUNTS])
 
     schema = f"doc_id {kind}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select("doc_id", stratum.alias("stratum"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", stratum.alias("stratum"), "text").mapInArrow(lambda batches: by_slices(batches, count), schema)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -167,7 +164,7 @@ def _rejected(cutoffs: dict[str, dict[str, float]]):
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for every row."""
-    counted = materialize(count_documents(docs), "counts")
+    counted = materialize(count_documents(docs), "counts", batch_bytes=TEXT_BATCH_BYTES)
     cutoffs = calibrate(counted, labels)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & ~_rejected(cutoffs)).alias("kept"))
@@ -175,7 +172,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that neither base nor calibrated rules reject."""
-    counted = materialize(count_documents(docs), "counts")
+    counted = materialize(count_documents(docs), "counts", batch_bytes=TEXT_BATCH_BYTES)
     cutoffs = calibrate(counted, labels)
     drop_tables(counted)
     text_at = docs.columns.index("text")
@@ -188,9 +185,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         rules = cutoffs.get(stratum or "", {})
         return not any(counts[_MEASURES[r][0]] > counts[_MEASURES[r][1]] * c for r, c in rules.items())
 
-    def run(batches):
-        for batch in batches:
-            strata = pc.cast(batch.column(lang_at), pa.string()).to_pylist() if lang_at is not None else [""] * batch.num_rows
-            yield batch.filter(pa.array(list(map(good, batch.column(text_at).to_pylist(), strata)), pa.bool_()))
+    def keep(part: pa.RecordBatch) -> pa.RecordBatch:
+        strata = pc.cast(part.column(lang_at), pa.string()).to_pylist() if lang_at is not None else [""] * part.num_rows
+        return part.filter(pa.array(list(map(good, part.column(text_at).to_pylist(), strata)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: by_slices(batches, keep), docs.schema)
