@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -29,16 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import TEXT_BATCH_BYTES, by_slices, drop_tables, materialize
-from almanac.llm.units import UnitCache, folded_units
+from almanac.llm.units import UnitCache, folded, joined_codes
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
 PARTNERS, PAIRED = 64, 24
-# The words of the word-end tokenizer's splitter, and letters that are lower case and composed.
+# The words of the word-end tokenizer's splitter, and units of lower-case composed letters, digits and
+# ASCII symbols but the apostrophe, whose words are known without it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
+_LETTERS, _SYMBOLS = "a-zß-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"[{_LETTERS}0-9{_SYMBOLS}]+")
+WORD = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SYMBOLS}]+")
+#: Byte -> its character in a byte-level vocabulary: itself if it prints, else one of those from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _PRINTS} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PRINTS}))}
 #: Units that are encoded as one text.
 JOINED_UNITS = 256
+#: Texts whose distinct units are looked up together.
+UNIT_TEXTS = 1024
 #: Share of a sequence below which a bin of the first pass is dealt anew.
 SPARSE = 0.9
 
@@ -52,49 +61,52 @@ def _tokenizer(spec: str):
     return made
 
 
-def _word_model(spec: dict) -> dict | None:
-    """``spec`` without what leaves lower-case words of PLAIN letters as they are; None where it has other parts."""
+def _known_words(spec: dict) -> bool:
+    """Whether the tokenizer leaves PLAIN units as they are, cuts them as WORD does, and finds special strings by "<|"."""
     steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
     before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and not before[1]["use_regex"] and not before[1]["add_prefix_space"]
-    if not (known and spec["model"]["type"] == "BPE" and before[0]["pattern"] == {"Regex": SPLIT} and before[0]["behavior"] == "Removed" and before[0]["invert"]):
-        return None
-    return spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, before[1]]}}
+    cuts = known and before[0]["pattern"] == {"Regex": SPLIT} and before[0]["behavior"] == "Removed" and before[0]["invert"]
+    return bool(cuts and spec["model"]["type"] == "BPE" and all("<|" in x["content"] for x in spec["added_tokens"]))
 
 
 @functools.lru_cache(maxsize=2)
 def _word_ids(path: str) -> UnitCache:
     """Unit -> its ids as little-endian unsigned 32-bit bytes.
 
-    Units are encoded many in one text, a bar between spaces after each: the tokenizer drops white space, and a bar that
-    stands alone is one id, which units without a bar never give. Words of plain letters, most units, go through the
-    tokenizer's model alone. Where any of this does not hold, units are encoded as they are, each by itself.
+    The words of PLAIN units, most units, go through the tokenizer's model alone. Other units are encoded many in one
+    text, a bar between spaces after each: the tokenizer drops white space, and a bar that stands alone is one id, which
+    units without a bar never give. Where any of this does not hold, units are encoded as they are, each by itself.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     whole = _tokenizer(json.dumps(spec))
-    model = _word_model(spec)
-    short = _tokenizer(json.dumps(model)) if model else whole
-    ids_of = lambda tokenizer, texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    (bar,) = ids_of(whole, ["|"])
-    joins = len(bar) == 1 and ids_of(short, ["|"])[0].tolist() == bar.tolist()
-    by_words = joins and model is not None  # encode keeps the tokenizers, not what they were made of
+    by_words = _known_words(spec)  # encode keeps the tokenizer, not what it was made of
+    del spec
+    tokenize = whole.model.tokenize
+    ids_of = lambda texts: [np.array(x.ids, "<u4") for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    (bar,) = ids_of(["|"])
+    joins = len(bar) == 1
+
+    def word_ids(unit: str) -> bytes:
+        words = [unit] if unit.isalpha() else WORD.findall(unit)
+        if not unit.isascii():
+            words = [w.encode().decode("latin-1").translate(BYTE_CHARS) for w in words]
+        ids = [x.id for w in words for x in tokenize(w)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(units: list[str]) -> list[bytes]:
-        found: dict[str, bytes] = {}
-        plain = [u for u in units if PLAIN.fullmatch(u) and u.islower()] if by_words else []
-        words = set(plain)
-        rest = [u for u in units if u not in words and "|" not in u] if joins else []
-        for tokenizer, some in ((short, plain), (whole, rest)):
-            for lo in range(0, len(some), JOINED_UNITS):
-                part = some[lo : lo + JOINED_UNITS]
-                (ids,) = ids_of(tokenizer, [" | ".join(part)])
-                cuts = np.flatnonzero(ids == bar[0]) * 4
-                if len(cuts) == len(part) - 1:
-                    raw = ids.tobytes()
-                    found.update((u, raw[x:y]) for u, x, y in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
+        found = {u: word_ids(u) for u in units if PLAIN.fullmatch(u) and "<|" not in u and (u.isascii() or u == u.lower())} if by_words else {}
+        rest = [u for u in units if u not in found and "|" not in u] if joins else []
+        for lo in range(0, len(rest), JOINED_UNITS):
+            part = rest[lo : lo + JOINED_UNITS]
+            (ids,) = ids_of([" | ".join(part)])
+            cuts = np.flatnonzero(ids == bar[0]) * 4
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                found.update((u, raw[x:y]) for u, x, y in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
         left = [u for u in units if u not in found]
-        found.update(zip(left, (x.tobytes() for x in ids_of(whole, left))) if left else ())
+        found.update(zip(left, (x.tobytes() for x in ids_of(left))) if left else ())
         return [found[u] for u in units]
 
     return UnitCache(encode)
@@ -111,23 +123,23 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separ
 
         def pieces(texts: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row
-            found = ids.lookup([folded_units(x or "") for x in texts.column(1).to_pylist()])
+            data, ends = joined_codes([folded(x or "") for x in texts.column(1).to_pylist()], ids)
             owner, piece, length, crc = [], [], [], []
-            for i, parts in enumerate(found):
-                data = memoryview(b"".join(parts) + end)
-                for k, at in enumerate(range(0, len(data), step)):
-                    part = data[at : at + step]
+            for i, (lo, hi) in enumerate(zip(ends, ends[1:])):
+                for k, at in enumerate(range(lo, hi + 4, step)):  # the separator, 4 bytes, ends the last piece
+                    last = at + step > hi
+                    part = data[at : hi if last else at + step]
                     owner.append(i)
                     piece.append(k)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    length.append(len(part) // 4 + last)
+                    crc.append(zlib.crc32(end, zlib.crc32(part)) if last else zlib.crc32(part))
             start = np.array(piece, np.int64) * capacity
             deal = np.arange(row, row + len(piece), dtype=np.int64)
             row += len(piece)
             arrays = [texts.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal)]
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
-        yield from by_slices(batches, pieces)
+        yield from by_slices(batches, pieces, UNIT_TEXTS)
         ids.old = {}  # the worker goes on to other work
 
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, deal long"
