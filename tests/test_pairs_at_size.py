@@ -68,3 +68,14 @@ def test_candidates_shuffle_only_pairs_that_may_meet_again(spark, tables, monkey
     monkeypatch.setattr(merging, "CELL", 7)
     plan = merging.candidates(*tables[1], AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\(a#\d+L?, b#", plan)) <= 2 and "hashpartitioning(b#" not in plan
+
+
+def test_queued_pairs_are_decided_beside_the_loop(spark, monkeypatch):
+    """A queued pair is kept up to the merge that absorbs an end of it, and is in no group that the loop takes."""
+    seen = []
+    monkeypatch.setattr(merging, "linked_groups", lambda pairs, f=merging.linked_groups: seen.append(pairs.count()) or f(pairs))
+    pairs = spark.createDataFrame([(1, 2, 0.9, "queue"), (1, 2, 0.8, "merge"), (2, 3, 0.7, "queue"), (1, 3, 0.6, "queue"), (4, 1, 0.5, "queue")], "a long, b long, score double, kind string")
+    state = spark.createDataFrame([(i, i, 1, "k", False) for i in (1, 2, 3)], "id long, created_at long, rank int, key string, owned boolean")
+    got = {(x.a, x.b, x.score, x.kind, x.survivor, x.absorbed) for x in merging.decide(pairs, state).collect()}
+    assert got == {(1, 2, 0.9, "queue", None, None), (1, 2, 0.8, "merge", 1, 2), (1, 3, 0.6, "queue", None, None)}
+    assert seen == [1]
