@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions.text import text_grams
-from almanac.operators import merging
+from almanac.operators import core, merging
 
 AS_OF = datetime(2026, 7, 8, 12)
 
@@ -79,3 +79,13 @@ def test_queued_pairs_are_decided_beside_the_loop(spark, monkeypatch):
     got = {(x.a, x.b, x.score, x.kind, x.survivor, x.absorbed) for x in merging.decide(pairs, state).collect()}
     assert got == {(1, 2, 0.9, "queue", None, None), (1, 2, 0.8, "merge", 1, 2), (1, 3, 0.6, "queue", None, None)}
     assert seen == [1]
+
+
+def test_similar_pairs_by_lists(spark, monkeypatch):
+    """Keys of one text in lists of three: each pair once, and the similarity rounded once for each pair of texts."""
+    monkeypatch.setattr(core, "LIST", 3)
+    r = random.Random(9)
+    rows = [(i, r.choice(["red ring", "red rings", "old bolt", ""]), r.choice("xyz")) for i in range(80)]
+    found = core.similar_pairs(spark.createDataFrame(rows, "id long, t string, k string"), "id", "t", "k", 0.3, digits=6)
+    want = sorted((a, b, round(_like(s, t), 6)) for a, s, k in rows for b, t, m in rows if a < b and k == m and s and t and _like(s, t) >= 0.3)
+    assert len(want) > 100 and sorted((x.a, x.b, x.similarity) for x in found.collect()) == want
