@@ -29,25 +29,35 @@ def same_registry_possible(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(True))
 
 
-def _open_pairs(pairs: DataFrame, venues: DataFrame, suggestions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, similarity) without those of different registry entries, suggested ones, and names that are aliases."""
-    free = venues.join(aliases.select("normalized_name"), "normalized_name", "left_anti")
-    side = lambda k: free.select(F.col("id").alias(k), F.col("registry_id").alias(f"_r{k}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(same_registry_possible(F.col("_ra"), F.col("_rb")))
-    return without_reviewed(rows.select("a", "b", "similarity"), suggestions.select(F.col("keep_id").alias("x"), F.col("absorb_id").alias("y")))
+def _free(venues: DataFrame, aliases: DataFrame) -> DataFrame:
+    return venues.join(aliases.select("normalized_name"), "normalized_name", "left_anti")
+
+
+def _open_pairs(met: DataFrame, same: Column, suggestions: DataFrame) -> DataFrame:
+    """Pairs (a, b, similarity) of the lists ``x`` and ``y`` of ``met`` without those of different registry entries, and suggested ones."""
+    lists = met.filter(same_registry_possible(F.col("registry_id_x"), F.col("registry_id_y")))
+    rows = core.expanded(lists, same, "similarity")
+    return without_reviewed(rows, suggestions.select(F.col("keep_id").alias("x"), F.col("absorb_id").alias("y")))
 
 
 def name_pairs(venues: DataFrame, suggestions: DataFrame, aliases: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """Pairs (a, b, similarity) of similar, but not nearly equal, names."""
-    return _open_pairs(core.similar_pairs(venues, "id", "normalized_name", None, *band), venues, suggestions, aliases)
+    free = _free(venues, aliases)
+    near = core.similar_texts(free.select(F.col("normalized_name").alias("t")), *band)
+    lists = core.listed(free.select("normalized_name", "registry_id", "id"), ["normalized_name", "registry_id"], "id")
+    side = lambda k, t: lists.select(F.col("normalized_name").alias(t), F.col("registry_id").alias(f"registry_id_{k}"), F.col("list").alias(k))
+    met = near.join(side("x", "ta"), "ta").join(side("y", "tb"), "tb")
+    return _open_pairs(met, F.col("ta") == F.col("tb"), suggestions)
 
 
 def address_pairs(venues: DataFrame, suggestions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Pairs of one house number and one third word of the address."""
-    numbered = venues.filter(F.col("address").rlike("^[0-9]+ "))
-    side = lambda k: numbered.select(address_token(F.col("address"), 1).alias("_number"), address_token(F.col("address"), 3).alias("_street"), F.col("id").alias(k), F.col("normalized_name").alias(f"_n{k}"))
-    met = side("a").join(side("b"), ["_number", "_street"]).filter("a < b")
-    return _open_pairs(met.select("a", "b", trigram_similarity(F.col("_na"), F.col("_nb")).alias("similarity")), venues, suggestions, aliases)
+    """Pairs of one house number and one third word of the address; names are compared once for all venues that have them."""
+    numbered = _free(venues, aliases).filter(F.col("address").rlike("^[0-9]+ "))
+    rows = numbered.select(address_token(F.col("address"), 1).alias("_number"), address_token(F.col("address"), 3).alias("_street"), "normalized_name", "registry_id", "id")
+    place, kind = ["_number", "_street"], ["normalized_name", "registry_id"]
+    met = core.paired(core.listed(rows, [*place, *kind], "id"), place, kind)
+    met = met.withColumn("similarity", trigram_similarity(F.col("normalized_name_x"), F.col("normalized_name_y")))
+    return _open_pairs(met, F.col("same"), suggestions)
 
 
 def proposals(venues: DataFrame, suggestions: DataFrame, aliases: DataFrame, limit: int = BATCH) -> DataFrame:

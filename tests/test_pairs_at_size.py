@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions.text import text_grams
-from almanac.operators import core, merging
+from almanac.operators import core, merging, venues
 
 AS_OF = datetime(2026, 7, 8, 12)
 
@@ -89,3 +89,19 @@ def test_similar_pairs_by_lists(spark, monkeypatch):
     found = core.similar_pairs(spark.createDataFrame(rows, "id long, t string, k string"), "id", "t", "k", 0.3, digits=6)
     want = sorted((a, b, round(_like(s, t), 6)) for a, s, k in rows for b, t, m in rows if a < b and k == m and s and t and _like(s, t) >= 0.3)
     assert len(want) > 100 and sorted((x.a, x.b, x.similarity) for x in found.collect()) == want
+
+
+def test_venue_pairs_by_lists(spark, monkeypatch):
+    """Venues of one address and name are in lists: names are compared once for them, and null names and entries count."""
+    monkeypatch.setattr(core, "LIST", 2)
+    compared = []
+    monkeypatch.setattr(venues, "trigram_similarity", lambda a, b: compared.append((a, b)) or F.lit(0.5))
+    r = random.Random(3)
+    rows = [(i, r.choice(["red hall", "old hall", None]), r.choice(["1 n Oak st", "1 s oak rd", "2 n elm st", "oak st", None]), r.choice([None, "r1", "r2"])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, normalized_name string, address string, registry_id string")
+    suggestions, aliases = spark.createDataFrame([(5, 3), (8, 9)], "keep_id long, absorb_id long"), spark.createDataFrame([("blue hall",)], "normalized_name string")
+    got = sorted((x.a, x.b) for x in venues.address_pairs(frame, suggestions, aliases).collect())
+    place = {i: (t.split()[0], t.split()[2].lower()) for i, _, t, _ in rows if t and t[0].isdigit()}
+    entry = {i: e for i, _, _, e in rows}
+    want = sorted((a, b) for a in place for b in place if a < b and place[a] == place[b] and (entry[a] == entry[b] or None in (entry[a], entry[b])) and (a, b) not in ((3, 5), (8, 9)))
+    assert len(want) > 50 and got == want and "normalized_name_x" in str(compared)
