@@ -63,7 +63,7 @@ def address_pairs(venues: DataFrame, suggestions: DataFrame, aliases: DataFrame)
 def proposals(venues: DataFrame, suggestions: DataFrame, aliases: DataFrame, limit: int = BATCH) -> DataFrame:
     """(a, b, similarity, evidence), address pairs first, then by similarity; a pair of both kinds counts as one by address."""
     best = [F.desc("similarity"), "a", "b"]
-    by_address = address_pairs(venues, suggestions, aliases).orderBy(*best).limit(limit).withColumn("evidence", F.lit("address-pair"))
+    by_address = cut(address_pairs(venues, suggestions, aliases).orderBy(*best).limit(limit)).withColumn("evidence", F.lit("address-pair"))
     by_name = name_pairs(venues, suggestions, aliases).orderBy(*best).limit(limit).withColumn("evidence", F.lit(None).cast("string"))
     both = by_address.unionByName(by_name.join(by_address, ["a", "b"], "left_anti"))
     return both.orderBy(F.asc_nulls_last("evidence"), *best).limit(limit)
