@@ -86,10 +86,12 @@ def registry_matches(venues: DataFrame, registry: DataFrame, coordinates: DataFr
     both = near.unionByName(near.filter("ta <> tb").select(F.col("tb").alias("ta"), F.col("ta").alias("tb"), "similarity"))
     known = venues.select("id", "normalized_name", "address")
     known = known.join(coordinates.select("id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng")), "id", "left") if coordinates is not None else known.withColumns({"_lat": F.lit(None).cast("double"), "_lng": F.lit(None).cast("double")})
-    rows = known.join(both, F.col("normalized_name") == F.col("ta"))
     entries = registry.select(F.col("id").alias("registry_id"), F.lower("name").alias("tb"), F.col("address").alias("registry_address"), "lon", "lat")
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "registry_id")
-    top = rows.join(entries, "tb").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= REGISTRY_TOP)
+    # the order of entries is the same for all venues of a name, and has five at most of those of one name
+    few = core.first_per_key(entries, ["tb"], [F.asc("registry_id")], REGISTRY_TOP).drop("place")
+    order = Window.partitionBy("ta").orderBy(F.desc("similarity"), "registry_id")
+    best = both.join(few, "tb").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= REGISTRY_TOP)
+    top = known.join(best, F.col("normalized_name") == F.col("ta"))
     metres = scoring.haversine_m(F.col("_lat"), F.col("_lng"), F.col("lat"), F.col("lon"))
     good = top.filter(accepted(F.col("similarity"), F.col("registry_address"), F.col("address"), metres))
     return good.groupBy("id").agg(F.min_by(F.struct("registry_id", "similarity"), "_n").alias("x")).select("id", "x.*")

@@ -4,6 +4,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,26 @@ def test_venue_pairs_by_lists(spark, monkeypatch):
     entry = {i: e for i, _, _, e in rows}
     want = sorted((a, b) for a in place for b in place if a < b and place[a] == place[b] and (entry[a] == entry[b] or None in (entry[a], entry[b])) and (a, b) not in ((3, 5), (8, 9)))
     assert len(want) > 50 and got == want and "normalized_name_x" in str(compared)
+
+
+def test_registry_matches_take_five_entries_of_a_name(spark):
+    """A venue meets the five best entries of its name, not all that have a similar one."""
+    registry = spark.createDataFrame([(f"{i:03}", "Red Hall" if i % 2 else "red halls", "9 main st", None, None) for i in range(40)], "id string, name string, address string, lon double, lat double")
+    places = spark.createDataFrame([(i, "red hall" if i % 3 else "red halls", "1 main st") for i in range(30)], "id long, normalized_name string, address string")
+    found = venues.registry_matches(places, registry)
+    got = {x.id: (x.registry_id, x.similarity) for x in found.collect()}
+    assert got == {i: ("001" if i % 3 else "000", 1.0) for i in range(30)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"row_number\(\) windowspecdefinition\((\w+)#", plan)
+    assert {"ta", "tb"} <= set(windows) and "id" not in windows  # none is of a venue
+
+
+def test_page_headings_keep_entities(spark, tmp_path):
+    from almanac.plans import queries
+
+    pages = [(1, "<h1 class=x> A &quot;B&quot; &amp; C&amp</h1>"), (2, "<h1><b>x</b></h1><h1>y</h1>"), (3, "<p>none</p>"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: x.heading for x in queries.queries()["page_headings"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(queries.oracle_sql()["page_headings"]).fetchall())
