@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from almanac.functions.scoring import cosine_distance
 from almanac.functions.stemming import STOP_WORDS, stem, stems
 from almanac.functions.text import set_similarity, text_grams, trigrams
+from almanac.operators import core, ordered
 from almanac.operators.core import reciprocal_rank_fusion
 from almanac.operators.lineage import cut
 
@@ -237,6 +238,23 @@ def search(rows: DataFrame, key: str, query: str = "", vector: list[float] | Non
     return scored.select(key, "score", "next_start").orderBy(F.desc("score"), "next_start", key).limit(limit)
 
 
+def next_similar(rows: DataFrame, key: str, text: str, block: str, floor: float, most: int = 5) -> DataFrame:
+    """(a, b, similarity): for each row the ``most`` later ones (b > a) of its block with the most similar texts, of equals those with the smallest keys.
+
+    Of the rows of one text only the next ``most`` after a can count: their ordinals follow from how many come up to a. So a row
+    meets ``most`` rows for each similar text, however many have it, and no task has all rows of a text.
+    """
+    named = rows.select(F.col(block).alias("k"), F.col(text).alias("t"), F.col(key).alias("id")).filter("k IS NOT NULL AND t IS NOT NULL")
+    near = core.similar_texts(named.select("k", "t"), floor, block="k")
+    both = near.unionByName(near.filter("ta <> tb").select("k", F.col("tb").alias("ta"), F.col("ta").alias("tb"), "similarity"))
+    asks = named.withColumnRenamed("t", "ta").join(both, ["k", "ta"]).select("k", F.col("tb").alias("t"), "id", "similarity", F.lit(0).alias("held"))
+    held = named.select("k", "t", "id", F.lit(None).cast("double").alias("similarity"), F.lit(1).alias("held"))
+    placed = cut(ordered.running_sums(asks.unionByName(held), ["k", "t"], [F.asc("id"), F.desc("held")], {"upto": F.col("held")}))
+    after = placed.filter("held = 0").select("k", "t", F.col("id").alias("a"), "similarity", F.explode(F.sequence(F.col("upto") + 1, F.col("upto") + most)).alias("upto"))
+    met = after.join(placed.filter("held = 1").select("k", "t", "upto", F.col("id").alias("b")), ["k", "t", "upto"]).select("a", "b", "similarity")
+    return core.first_per_key(met, ["a"], [F.desc("similarity"), F.asc("b")], most).drop("place")
+
+
 def accept_ladder(candidates: DataFrame, key: str, choice: str, accepted: Column, most: int = 5) -> DataFrame:
     """The first accepted of the ``most`` candidates (similarity) nearest to each key."""
     order = Window.partitionBy(key).orderBy(F.desc("similarity"), choice)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions.text import text_grams
-from almanac.operators import core, merging, venues
+from almanac.operators import core, merging, search, venues
 
 AS_OF = datetime(2026, 7, 8, 12)
 
@@ -143,3 +143,15 @@ def test_seen_pairs_need_no_anti_join(spark, tmp_path, monkeypatch):
     want = con.execute(queries.oracle_sql()["anti_either_orientation"]).fetchall()
     assert len(want) > 100 and sorted(tuple(x) for x in found.collect()) == sorted(want)
     assert "Anti" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ladder_meets_the_next_rows_only(spark):
+    """As the first five of all pairs, also where a text's rows lie before those of a similar one."""
+    r = random.Random(7)
+    rows = [(i, r.choice(["red ring", "ring red", "red rings", "old bolt", "red rind"] if i < 50 else ["red ring", "old bolt"]), r.choice("xy")) for i in range(90)]
+    found = search.next_similar(spark.createDataFrame(rows, "id long, t string, k string"), "id", "t", "k", 0.4, 5)
+    want = []
+    for a, s, k in rows:
+        after = sorted((-_like(s, t), b) for b, t, m in rows if a < b and k == m and _like(s, t) >= 0.4)
+        want += [(a, b, round(-x, 9)) for x, b in after[:5]]
+    assert len(want) > 200 and sorted((x.a, x.b, round(x.similarity, 9)) for x in found.collect()) == sorted(want)
